@@ -1,0 +1 @@
+"""Nothing is built here: the inputs are closed yearly and quarterly files, so there is no stream to read."""
