@@ -33,15 +33,25 @@ def shared_folder(spark: SparkSession) -> str:
 
     A machine-local folder is only ever chosen in local mode, where the driver is the one executor.
     """
-    folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
+    folder = spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
+    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+    if folder:
+        spark.sparkContext.setCheckpointDir(folder)
+        return spark.sparkContext.getCheckpointDir()
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelweave-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """A reliable checkpoint, for small aggregates that several later steps read."""
+    shared_folder(frame.sparkSession)
+    return frame.checkpoint()
+
+
 @contextmanager
 def staged(frame: DataFrame, keep_plan: bool = False) -> Iterator[DataFrame]:
     """Write `frame` once and hand out the written table, for work that reads it many times.
