@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WEEKS_PER_MONTH = 4.3
@@ -71,14 +71,26 @@ def row_max(*values: str | Column) -> Column:
 
 def percent_text(share: str | Column, digits: int = 2) -> Column:
     """A share as percent text without trailing zeros: 0.125 -> 12.5%, 0.12 -> 12%."""
-    pattern = "0." + "#" * digits if digits else "0"
-    return F.concat(F.format_number(F.bround(_column(share) * 100, digits), pattern), F.lit("%"))
+    return F.concat(decimal_text(F.bround(_column(share) * 100, digits), "0." + "#" * digits), F.lit("%"))
 
 
-def number_text(value: str | Column) -> Column:
-    """A number as text the way a report prints it: whole numbers without a decimal point."""
-    value = _column(value)
-    return F.regexp_replace(value.cast("string"), r"\.0$", "")
+def decimal_text(value: str | Column, pattern: str) -> Column:
+    """A number written by a decimal pattern, where # is an optional digit."""
+    return F.call_function("format_number", _column(value), F.lit(pattern.rstrip(".")))
+
+
+def number_text(value: str | Column, digits: int = 10) -> Column:
+    """A number as text the way a report prints it: no exponent, whole numbers without a decimal point."""
+    return decimal_text(value, "0." + "#" * digits)
+
+
+def without_prefix(value: str | Column, length: int) -> Column:
+    """Text after a variable-name prefix of `length` characters."""
+    return F.substr(_column(value), F.lit(length + 1))
+
+
+def all_as_text(frame: DataFrame) -> DataFrame:
+    return frame.select(*[F.col(c).cast("string").alias(c) for c in frame.columns])
 
 
 # --- normal distribution -------------------------------------------------------------------------
