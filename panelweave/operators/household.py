@@ -50,15 +50,19 @@ class ParentRoles:
 
 def household_profile(
     persons: DataFrame,
-    household: str,
+    household: str | Sequence[str],
     income: IncomeRoles | None = None,
     parents: ParentRoles | None = None,
 ) -> DataFrame:
-    """Add INCOME_COLUMNS and/or PARENT_COLUMNS to every person, with one aggregate for both."""
+    """Add INCOME_COLUMNS and/or PARENT_COLUMNS to every person, with one aggregate for both.
+
+    `household` is the key column, or several when a household recurs in other waves or years.
+    """
+    keys = [household] if isinstance(household, str) else list(household)
     aggregates = _income_sums(income) if income is not None else []
     if parents is not None:
         aggregates += _first_parents(parents)
-    groups = persons.groupBy(household).agg(*aggregates)
+    groups = persons.groupBy(*keys).agg(*aggregates)
     if income is not None:
         groups = groups.withColumns(
             {
@@ -68,7 +72,7 @@ def household_profile(
         )
     if parents is not None:
         groups = groups.withColumn("parent_max", F.greatest("mother_edu", "father_edu"))
-    joined = attach_groups(persons, groups, [household])
+    joined = attach_groups(persons, groups, keys)
     if income is None:
         return joined
     hidden = ("income_own", "income_last", "pc_own", "pc_last")
