@@ -1 +1,8 @@
 """Survey-panel analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to the executors carry their own code, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

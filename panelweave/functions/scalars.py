@@ -122,18 +122,25 @@ def normal_pdf(z: str | Column) -> Column:
 
 def normal_cdf(z: str | Column) -> Column:
     z = _column(z)
-    tail = F.exp(z * z * F.lit(-0.5)) * _scaled_tail(F.abs(z))
-    return (
-        F.when(F.abs(z) <= CENTRE_EDGE, F.lit(0.5) + _centre(z))
-        .when(z > 0, F.lit(1.0) - tail)
-        .otherwise(F.when(z.isNotNull(), tail))
+    # One copy of the tail keeps the generated method small enough to be compiled.
+    tail = F.exp(z * z * F.lit(-0.5)) * _scaled_tail(z)
+    return F.when(F.abs(z) <= CENTRE_EDGE, F.lit(0.5) + _centre(z)).otherwise(
+        F.when(z > 0, 1.0).otherwise(0.0) + F.when(z > 0, -1.0).otherwise(1.0) * tail
     )
 
 
 def inverse_mills(z: str | Column) -> Column:
-    """pdf(z) / cdf(z). Below the centre the exponentials cancel, so the far tail keeps full precision."""
+    """pdf(z) / cdf(z). Below the centre the exponentials cancel, so the far tail keeps full precision.
+
+    Give it a plain column: the expression mentions z many times.
+    """
     z = _column(z)
-    return F.when(z < -CENTRE_EDGE, F.lit(INV_SQRT_2PI) / _scaled_tail(-z)).otherwise(normal_pdf(z) / normal_cdf(z))
+    density = F.exp(z * z * F.lit(-0.5))
+    top = F.when(z < 0, 1.0).otherwise(density)
+    bottom = F.when(z < 0, 0.0).otherwise(1.0) + F.when(z < 0, 1.0).otherwise(-density) * _scaled_tail(z)
+    return F.lit(INV_SQRT_2PI) * F.when(F.abs(z) <= CENTRE_EDGE, density / (F.lit(0.5) + _centre(z))).otherwise(
+        top / F.when(z.isNotNull(), bottom)
+    )
 
 
 def _centre(z: Column) -> Column:
@@ -141,12 +148,14 @@ def _centre(z: Column) -> Column:
     return z * _polynomial(CENTRE_TOP, square) / _polynomial(CENTRE_BOTTOM, square)
 
 
-def _scaled_tail(y: Column) -> Column:
-    """Upper tail probability times exp(y^2 / 2), for y > 0.67448975."""
-    inverse_square = F.lit(1.0) / F.greatest(y * y, F.lit(1.0))
-    far = inverse_square * _polynomial(TAIL_TOP, inverse_square) / _polynomial(TAIL_BOTTOM, inverse_square)
+def _scaled_tail(z: Column) -> Column:
+    """Tail probability beyond |z| times exp(z^2 / 2), for |z| > 0.67448975."""
+    y = F.abs(z)
+    square = z * z
+    # The far approximation is a ratio in 1 / z^2; both sides times z^10 make it a ratio in z^2.
+    far = _polynomial(TAIL_TOP[::-1], square) / _polynomial(TAIL_BOTTOM[::-1], square) / square
     return F.when(y <= MIDDLE_EDGE, _polynomial(MIDDLE_TOP, y) / _polynomial(MIDDLE_BOTTOM, y)).otherwise(
-        (F.lit(INV_SQRT_2PI) - far) / F.greatest(y, F.lit(1.0))
+        (F.lit(INV_SQRT_2PI) - far) / y
     )
 
 

@@ -21,6 +21,7 @@ from panelweave.operators.model import (
     Layout,
     Term,
     collected_vector,
+    complete_rows,
     independent_columns,
     model_frame,
     solve_scaled,
@@ -44,10 +45,11 @@ def fit_linear(
 ) -> Fit:
     """Weighted least squares over the complete rows of the domain.
 
-    `plain_scan` says that the design's rows are a plain file scan, which costs nothing to read again.
+    `plain_scan` says that the design's rows come from a staged table, which is cheap to read again.
     """
     layout = Layout(terms)
-    with staged(_frame(design, layout, response, domain), plain_scan) as frame:
+    with staged(_frame(design, layout, response, domain), plain_scan) as rows:
+        frame = complete_rows(rows).where(F.col("w") > 0)
         gram, cross, counts, n = _linear_sums(frame, layout)
         columns = independent_columns(gram, layout.kept(counts))
         beta = np.zeros(layout.width)
@@ -64,7 +66,8 @@ def fit_probit(
 ) -> Fit:
     """Weighted probit by Fisher scoring, one pass per step; a step that worsens the fit is halved."""
     layout = Layout(terms)
-    with staged(_frame(design, layout, response.cast("double"), domain), plain_scan) as frame:
+    with staged(_frame(design, layout, response.cast("double"), domain), plain_scan) as rows:
+        frame = complete_rows(rows).where(F.col("w") > 0)
         beta, step = np.zeros(layout.width), np.zeros(layout.width)
         information, score, deviance, counts, n = _probit_sums(frame, layout, beta)
         columns = independent_columns(information, layout.kept(counts))
@@ -100,10 +103,7 @@ def _frame(design: SurveyDesign, layout: Layout, response: Column, domain: Colum
     if design.poststratum:
         columns.append(F.col(design.poststratum).alias("g"))
     weight = F.col(design.weight).cast("double")
-    frame = model_frame(
-        design.data, layout, [*columns, weight.alias("w"), response.cast("double").alias("y")], domain
-    )
-    return frame.where(F.col("w") > 0)
+    return model_frame(design.data, layout, [*columns, weight.alias("w"), response.cast("double").alias("y")], domain)
 
 
 def _linear_sums(frame: DataFrame, layout: Layout):

@@ -132,9 +132,16 @@ class Layout:
 
 
 def model_frame(data: DataFrame, layout: Layout, columns: Sequence[Column], domain: Column | None = None) -> DataFrame:
-    """The numeric columns of complete rows inside the domain, ready for the fits."""
+    """The numeric columns of the domain's rows, ready for the fits."""
     rows = data if domain is None else data.where(domain)
-    frame = rows.select(*columns, *layout.columns())
+    return rows.select(*columns, *layout.columns())
+
+
+def complete_rows(frame: DataFrame) -> DataFrame:
+    """Rows without a missing value.
+
+    Applied to the staged frame: as a filter above computed terms it would compute each of them twice.
+    """
     return frame.where(reduce(and_, [F.col(c).isNotNull() for c in frame.columns]))
 
 

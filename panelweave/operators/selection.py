@@ -74,12 +74,15 @@ def impute_outcome(
 class TwoStep:
     selection: Fit
     outcome: Fit
-    mills: Column
 
 
-def mills_ratio(selection: Fit) -> Column:
-    """Inverse Mills ratio of a fitted probit; NULL where a covariate is missing."""
-    return inverse_mills(selection.predictor())
+def with_mills(rows: DataFrame, selection: Fit, name: str = MILLS) -> DataFrame:
+    """Add the inverse Mills ratio of a fitted probit; NULL where a covariate is missing.
+
+    The predictor gets a column of its own: the ratio uses it in many places.
+    """
+    predicted = rows.withColumn("__predictor", selection.predictor())
+    return predicted.withColumn(name, inverse_mills("__predictor")).drop("__predictor")
 
 
 def heckman_two_step(
@@ -96,8 +99,8 @@ def heckman_two_step(
     The second stage's standard errors are not corrected for the first, as in the published analysis.
     """
     probit = fit_probit(design, selected, selection_terms, domain, plain_scan)
-    ratio = mills_ratio(probit)
+    with_ratio = design.with_data(with_mills(design.data, probit))
     chosen = selected.cast("double") == 1.0
     inside = chosen if domain is None else domain & chosen
-    linear = fit_linear(design, outcome, [*outcome_terms, Number(MILLS, ratio)], inside, plain_scan)
-    return TwoStep(probit, linear, ratio)
+    linear = fit_linear(with_ratio, outcome, [*outcome_terms, Number(MILLS, F.col(MILLS))], inside)
+    return TwoStep(probit, linear)

@@ -14,6 +14,7 @@ from panelweave.operators.model import (
     Fit,
     Layout,
     Term,
+    complete_rows,
     independent_columns,
     model_frame,
     solve_scaled,
@@ -107,7 +108,8 @@ def fit_cox(
     """
     layout = Layout(terms, intercept=False)
     columns = [F.col(time).cast("double").alias("time"), F.col(status).cast("double").alias("status")]
-    with staged(model_frame(table, layout, columns, domain), plain_scan) as frame:
+    with staged(model_frame(table, layout, columns, domain), plain_scan) as rows:
+        frame = complete_rows(rows)
         width = layout.width
         center, beta, step = np.zeros(width), np.zeros(width), np.zeros(width)
         sums = _risk_sums(frame, layout, beta, center)

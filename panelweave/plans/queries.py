@@ -345,11 +345,11 @@ FIT_COLUMNS = ("term", "estimate", "std_error", "statistic")
 
 
 def _one_factor(spark, sf_dir):
-    return fit_linear(b.design(spark, sf_dir), b.log_price(), [b.flag_factor()], plain_scan=True)
+    return fit_linear(b.design(spark, sf_dir), b.log_price(), [b.flag_factor()])
 
 
 def _one_number(spark, sf_dir):
-    return fit_linear(b.design(spark, sf_dir), b.log_price(), [b.quantity()], plain_scan=True)
+    return fit_linear(b.design(spark, sf_dir), b.log_price(), [b.quantity()])
 
 
 def _fit_rows(fit, spark, model, columns=FIT_COLUMNS):
@@ -374,7 +374,7 @@ def wls_sandwich_se(spark, sf_dir):
 
 def mincer_fit(spark, sf_dir):
     terms = [b.flag_factor(), b.status_factor(), b.quantity()]
-    return fit_linear(b.design(spark, sf_dir), b.log_price(), terms, plain_scan=True).table(spark, "linear")
+    return fit_linear(b.design(spark, sf_dir), b.log_price(), terms).table(spark, "linear")
 
 
 def _has_left_number() -> Column:
@@ -384,12 +384,12 @@ def _has_left_number() -> Column:
 
 def probit_fit(spark, sf_dir):
     terms = [Factor("priority", F.col("o_orderpriority"), b.PRIORITIES), Number("log_price", F.ln("o_totalprice"))]
-    return fit_probit(b.order_design(spark, sf_dir), _has_left_number(), terms, plain_scan=True).table(spark, "probit")
+    return fit_probit(b.order_design(spark, sf_dir), _has_left_number(), terms).table(spark, "probit")
 
 
 def probit_one_factor(spark, sf_dir):
     terms = [Factor("priority", F.col("o_orderpriority"), b.PRIORITIES)]
-    fit = fit_probit(b.order_design(spark, sf_dir), _has_left_number(), terms, plain_scan=True)
+    fit = fit_probit(b.order_design(spark, sf_dir), _has_left_number(), terms)
     return _fit_rows(fit, spark, "probit", ("term", "estimate", "std_error"))
 
 
@@ -419,7 +419,7 @@ def residual_impute(spark, sf_dir):
     """Residuals of one group's fit drawn for another group, and the imputed outcome."""
     terms = [b.flag_factor(), b.status_factor(), b.quantity()]
     design = b.design(spark, sf_dir)
-    fit = fit_linear(design, b.log_price(), terms, domain=F.col("l_quantity") >= 25, plain_scan=True)
+    fit = fit_linear(design, b.log_price(), terms, domain=F.col("l_quantity") >= 25)
     donors = design.data.where("l_quantity >= 25").select(residuals(fit, b.log_price()).alias("residual"))
     targets = design.data.where("l_quantity < 25")
     imputed = impute_outcome(targets, fit, b.PERSON_ORDER, donors, "residual", seed=7, outcome="log_imputed")
@@ -433,7 +433,6 @@ def heckman_two_step_query(spark, sf_dir):
         selection_terms=[b.flag_factor(), Number("tax", F.col("l_tax"))],
         outcome=b.log_price(),
         outcome_terms=[b.flag_factor(), b.status_factor(), b.quantity(), Number("quantity2", F.col("l_quantity") * F.col("l_quantity"))],
-        plain_scan=True,
     )
     return fit.selection.table(spark, "selection").unionByName(fit.outcome.table(spark, "outcome"))
 

@@ -22,6 +22,7 @@ def local_session(cores: str = "*", name: str = "panelweave", shuffle_partitions
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
@@ -56,16 +57,17 @@ def checkpointed(frame: DataFrame) -> DataFrame:
 def staged(frame: DataFrame, keep_plan: bool = False) -> Iterator[DataFrame]:
     """Write `frame` once and hand out the written table, for work that reads it many times.
 
-    A lost executor then costs a re-read of files, not a rerun of every shuffle above. The table is
-    removed on exit, so nothing lazy may outlive the block. `keep_plan` skips the write, for frames
-    that are already a plain scan.
+    A lost executor then costs a re-read of files, not a rerun of every shuffle above. Rows are
+    rebalanced before the write, so that a narrow sub-population of a large survey does not end up in
+    many tiny files, nor a few large files in a few tasks. The table is removed on exit, so nothing
+    lazy may outlive the block. `keep_plan` skips the write, for frames read from a staged table.
     """
     if keep_plan:
         yield frame
         return
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/panelweave-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.hint("rebalance").write.parquet(path)
     try:
         yield spark.read.schema(frame.schema).parquet(path)
     finally:
