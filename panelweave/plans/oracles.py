@@ -523,6 +523,51 @@ WLS_ONE_FACTOR = f"WITH {DESIGN}, {_FACTOR} {_SHOW_FIT}"
 WLS_ONE_NUMBER = f"WITH {DESIGN}, {_number_fit('true', None)} {_SHOW_FIT}"
 WLS_SANDWICH_SE = f"WITH {POSTSTRATIFIED}, {_number_fit('l_discount >= 0.09', 'l_returnflag')} {_SHOW_FIT}"
 
+
+def _several_terms(terms: dict[str, str], y: str) -> str:
+    """Least squares of several terms: each coefficient from its term made orthogonal to all others."""
+    names = list(terms)
+    steps = [
+        "c AS (SELECT l_linenumber AS h, psu, w, " + f"{y} AS y, "
+        + ", ".join(f"CAST({e} AS DOUBLE) AS c{i}" for i, e in enumerate(terms.values()))
+        + " FROM design)"
+    ]
+    source = "c"
+    for k in range(len(names)):
+        order = [i for i in range(len(names)) if i != k] + [k]
+        for place, i in enumerate(order):
+            column = f"z{k}" if i == k else f"u{k}_{i}"
+            parts = "".join(
+                f" - sum(w * c{i} * u{k}_{j}) OVER () / sum(w * u{k}_{j} * u{k}_{j}) OVER () * u{k}_{j}" for j in order[:place]
+            )
+            name = f"o{k}_{place}"
+            steps.append(f"{name} AS (SELECT *, c{i}{parts} AS {column} FROM {source})")
+            source = name
+        drop = ", ".join(f"u{k}_{i}" for i in order[:-1])
+        steps.append(f"o{k} AS (SELECT * EXCLUDE ({drop}), sum(w * z{k} * y) OVER () / sum(w * z{k} * z{k}) OVER () AS b{k} FROM {source})")
+        source = f"o{k}"
+    fitted = " + ".join(f"b{k} * c{k}" for k in range(len(names)))
+    steps.append(f"e AS (SELECT *, y - ({fitted}) AS e FROM {source})")
+    scores = " UNION ALL ".join(
+        f"SELECT '{n}' AS term, b{k} AS estimate, h, psu, w * z{k} * e / sum(w * z{k} * z{k}) OVER () AS u FROM e"
+        for k, n in enumerate(names)
+    )
+    return ", ".join(steps) + f""",
+scores AS ({scores}),
+clusters AS (SELECT term, any_value(estimate) AS estimate, h, psu, sum(u) AS z FROM scores GROUP BY term, h, psu),
+strata AS (SELECT term, any_value(estimate) AS estimate, h, count(*) * var_samp(z) AS v FROM clusters GROUP BY term, h),
+fit AS (SELECT term, any_value(estimate) AS estimate, sqrt(sum(v)) AS se FROM strata GROUP BY term)"""
+
+
+_MINCER_TERMS = {
+    "(Intercept)": "1",
+    "flagN": "CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END",
+    "flagR": "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END",
+    "statusO": "CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END",
+    "quantity": "l_quantity",
+}
+MINCER_FIT = f"WITH {DESIGN}, {_several_terms(_MINCER_TERMS, _LOG_PRICE)} {_SHOW_FIT}"
+
 # Normal integral by its power series: pdf(z) * sum of z^(2k+1) / (2k+1)!!, which always has one sign.
 _PDF = "(exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()))"
 _CDF = (
@@ -673,6 +718,7 @@ ORACLES = {
     "wls_one_factor": WLS_ONE_FACTOR,
     "wls_one_number": WLS_ONE_NUMBER,
     "wls_sandwich_se": WLS_SANDWICH_SE,
+    "mincer_fit": MINCER_FIT,
     "probit_one_factor": PROBIT_ONE_FACTOR,
     "mills_ratio": MILLS_RATIO,
     "report_totals": REPORT_TOTALS,

@@ -374,7 +374,7 @@ def wls_sandwich_se(spark, sf_dir):
 
 def mincer_fit(spark, sf_dir):
     terms = [b.flag_factor(), b.status_factor(), b.quantity()]
-    return fit_linear(b.design(spark, sf_dir), b.log_price(), terms).table(spark, "linear")
+    return _fit_rows(fit_linear(b.design(spark, sf_dir), b.log_price(), terms), spark, "linear")
 
 
 def _has_left_number() -> Column:
