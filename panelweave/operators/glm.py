@@ -34,6 +34,8 @@ MAX_ITERATIONS = 25
 MAX_HALVINGS = 10
 DEVIANCE_TOLERANCE = 1e-10
 SMALLEST_PROBABILITY = 1e-300
+# Partial cluster sums a task keeps in memory before it hands them on.
+HELD_CLUSTERS = 50_000
 
 
 def fit_linear(
@@ -232,21 +234,33 @@ def _score_covariance(design, frame, layout, columns, beta, score) -> tuple[np.n
 
 
 def _score_rows(frame, layout, columns, beta, score, keys, names) -> DataFrame:
-    """Score sums per cluster within each batch; batches meet in the following grouped sum."""
-    build = layout.matrix_builder()
+    """Score sums per cluster, folded within each task; tasks meet in the following grouped sum.
+
+    A task holds at most HELD_CLUSTERS partial rows before it hands them on.
+    """
+    build, limit = layout.matrix_builder(), HELD_CLUSTERS
     types = [frame.schema[k] for k in keys]
     schema = T.StructType([*types, *[T.StructField(s, T.DoubleType()) for s in [*names, "n"]]])
 
+    def folded(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts).groupby(keys, sort=False).sum().reset_index()
+
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for batch in batches:
             x = build(batch)
             residual = score(x @ beta, batch["y"].to_numpy(float)) * batch["w"].to_numpy(float)
             out = pd.DataFrame(x[:, columns] * residual[:, None], columns=names)
             out["n"] = 1.0
-            by = [batch[k].to_numpy() for k in keys]
-            grouped = out.groupby(by, sort=False).sum()
-            grouped.index.names = keys
-            yield grouped.reset_index()
+            for k in reversed(keys):
+                out.insert(0, k, batch[k].to_numpy())
+            held.append(folded([out]))
+            if sum(map(len, held)) > limit:
+                held = [folded(held)]
+                if len(held[0]) > limit // 2:
+                    yield held.pop()
+        if held:
+            yield folded(held)
 
     return frame.select(*keys, *layout.column_names(), "w", "y").mapInPandas(partials, schema)
 

@@ -269,10 +269,10 @@ def _points(parts, domains=None, by="", digits=6, source="design") -> str:
             where = f"FROM {source} WHERE ({condition})"
             group = f"GROUP BY {by}" if by else ""
             if stat == "total":
-                selects.append(f"{head}, NULL AS level, round(sum(w), {digits}) AS value {where} {group}")
+                selects.append(f"{head}, CAST(NULL AS VARCHAR) AS level, round(sum(w), {digits}) AS value {where} {group}")
             elif stat == "mean":
                 selects.append(
-                    f"{head}, NULL AS level, round(sum(w * ({value})) / sum(w), {digits}) AS value "
+                    f"{head}, CAST(NULL AS VARCHAR) AS level, round(sum(w * ({value})) / sum(w), {digits}) AS value "
                     f"{where} AND ({value}) IS NOT NULL {group}"
                 )
             else:

@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
-from panelweave.operators import survival
+from panelweave.operators import glm, survival
 from panelweave.operators.design import SurveyDesign
 from panelweave.operators.glm import fit_linear, fit_probit, residuals
 from panelweave.operators.model import Factor, Number, incomplete_beta, two_sided_p
@@ -63,6 +63,13 @@ def test_staged_and_plain_scan_agree(lines):
     assert list(one.coefficients.values()) == pytest.approx(list(two.coefficients.values()))
 
 
+def test_many_clusters_are_handed_on_in_pieces(lines, monkeypatch):
+    terms = [b.flag_factor(), b.quantity()]
+    whole = fit_linear(lines, b.log_price(), terms)
+    monkeypatch.setattr(glm, "HELD_CLUSTERS", 5)
+    assert fit_linear(lines, b.log_price(), terms).covariance == pytest.approx(whole.covariance, rel=1e-9)
+
+
 def test_unused_levels_and_aliased_terms(spark, lines):
     terms = [
         Factor("flag", F.col("l_returnflag"), ("?", "N", "A", "R", "!")),
