@@ -77,7 +77,8 @@ def poststratify(design: SurveyDesign, group: str, totals: Mapping | str, adjust
     else:
         known = F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, float(v))])
         sums = design.data.groupBy(*keys).agg(F.sum(design.weight).alias("__weight"))
-        sums = sums.withColumn("__total", known[F.col(group)])
+        unknown = F.raise_error(F.concat(F.lit("post-stratum without a known total: "), F.col(group).cast("string")))
+        sums = sums.withColumn("__total", F.coalesce(known[F.col(group)], unknown.cast("double")))
     factors = sums.select(*keys, (F.col("__total") / F.col("__weight")).alias("__factor"))
     # One row per post-stratum, written once: counted, then broadcast, without summing the rows twice.
     joined = lookup_join(design.data, checkpointed(factors), keys)

@@ -28,6 +28,8 @@ Z_95 = 1.959963984540054
 MAX_ITERATIONS = 20
 MAX_HALVINGS = 10
 LIKELIHOOD_TOLERANCE = 1e-9
+# The driver holds the risk sums of every distinct time; a panel has a handful of waves.
+MAX_TIMES = 1_000
 # Up to this many tied events are summed one by one; more use the closed form of the same sums.
 DIRECT_TIES = 1000
 
@@ -180,7 +182,10 @@ def _risk_sums(frame: DataFrame, layout: Layout, beta: np.ndarray, center: np.nd
             yield pd.DataFrame({"time": t, "pos": np.arange(size, dtype="int32"), "value": vector})
 
     names = ["time", "status", *layout.column_names()]
-    rows = summed_vectors(frame.select(*names), partials, "time double").collect()
+    sums = summed_vectors(frame.select(*names), partials, "time double")
+    rows = sums.limit(MAX_TIMES * size + 1).collect()
+    if len(rows) > MAX_TIMES * size:
+        raise ValueError(f"more than {MAX_TIMES} distinct times: Cox times are waves of a panel")
     times = sorted({r["time"] for r in rows})
     index = {t: i for i, t in enumerate(times)}
     table = np.zeros((len(times), size))

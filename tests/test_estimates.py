@@ -87,6 +87,11 @@ def test_poststratified_weights_reach_known_totals(spark, small_dir, totals):
     assert {r[0]: r[1] for r in sums} == pytest.approx(b.TOTALS)
 
 
+def test_poststratum_without_total_is_refused(spark, small_dir):
+    with pytest.raises(PySparkException, match="without a known total: R"):
+        poststratify(b.design(spark, small_dir), "l_returnflag", {"A": 1.0, "N": 1.0}).data.count()
+
+
 def test_poststratified_total_of_a_poststratum_is_certain(spark, small_dir):
     adjusted = poststratify(b.design(spark, small_dir), "l_returnflag", b.TOTALS)
     row = value(svy_total(adjusted, {"a": F.col("l_returnflag") == "A"}, "taylor"))

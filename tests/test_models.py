@@ -159,6 +159,13 @@ def test_many_ties_use_the_closed_form(spark, monkeypatch):
     assert survival.fit_cox(frame, [Number("x", F.col("x"))]).coefficients["x"] == pytest.approx(closed.coefficients["x"], rel=1e-9)
 
 
+def test_too_many_times_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(survival, "MAX_TIMES", 3)
+    frame = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(20)], "time int, status int, x int")
+    with pytest.raises(ValueError, match="distinct times"):
+        survival.fit_cox(frame, [Number("x", F.col("x"))])
+
+
 def test_km_reaches_zero(spark):
     frame = spark.createDataFrame([(2, 1), (3, 1)], "time int, status int")
     rows = survival.km_curve(frame).orderBy("time").collect()
