@@ -524,13 +524,13 @@ WLS_ONE_NUMBER = f"WITH {DESIGN}, {_number_fit('true', None)} {_SHOW_FIT}"
 WLS_SANDWICH_SE = f"WITH {POSTSTRATIFIED}, {_number_fit('l_discount >= 0.09', 'l_returnflag')} {_SHOW_FIT}"
 
 
-def _several_terms(terms: dict[str, str], y: str) -> str:
+def _several_terms(terms: dict[str, str], y: str, source: str = "design") -> str:
     """Least squares of several terms: each coefficient from its term made orthogonal to all others."""
     names = list(terms)
     steps = [
         "c AS (SELECT l_linenumber AS h, psu, w, " + f"{y} AS y, "
         + ", ".join(f"CAST({e} AS DOUBLE) AS c{i}" for i, e in enumerate(terms.values()))
-        + " FROM design)"
+        + f" FROM {source})"
     ]
     source = "c"
     for k in range(len(names)):
@@ -598,6 +598,67 @@ quantiles AS (SELECT p_level, z FROM newton WHERE step = 8),
 )}
 SELECT term, round(estimate, 6) AS estimate, round(se, 6) AS std_error FROM fit"""
 
+
+def _line_probit(x: str, y: str, table: str, weight: str, stratum: str, psu: str) -> str:
+    """Probit of one number by Newton's method on two parameters, over the distinct values of the number."""
+    return f"""
+probit_rows AS (SELECT {x} AS x, {y} AS y, {weight} AS w, {stratum} AS h, {psu} AS psu FROM {table}),
+cells AS (
+  SELECT x, CAST(sum(w) AS DOUBLE) AS w, CAST(sum(w * y) AS DOUBLE) AS wy FROM probit_rows GROUP BY x
+),
+newton AS (
+  SELECT 0 AS step, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b,
+    CAST(0 AS DOUBLE) AS i00, CAST(0 AS DOUBLE) AS i01, CAST(0 AS DOUBLE) AS i11
+  UNION ALL
+  SELECT step + 1, a + (i11 * s0 - i01 * s1) / (i00 * i11 - i01 * i01), b + (i00 * s1 - i01 * s0) / (i00 * i11 - i01 * i01),
+    i00, i01, i11
+  FROM (
+    SELECT step, a, b, sum(f) AS i00, sum(f * x) AS i01, sum(f * x * x) AS i11, sum(s) AS s0, sum(s * x) AS s1
+    FROM (
+      SELECT step, a, b, x, d * (wy - w * p) / (p * (1 - p)) AS s, w * d * d / (p * (1 - p)) AS f FROM (
+        SELECT step, a, b, x, w, wy, {_CDF.format(z="(a + b * x)")} AS p, {_PDF.format(z="(a + b * x)")} AS d
+        FROM newton, cells WHERE step < 12
+      )
+    ) GROUP BY step, a, b
+  )
+),
+probit AS (SELECT * FROM newton WHERE step = 12),
+fitted AS (
+  SELECT x AS fx, a + b * x AS z, {_CDF.format(z="(a + b * x)")} AS p, {_PDF.format(z="(a + b * x)")} AS d,
+    i00, i01, i11, i00 * i11 - i01 * i01 AS det, a, b FROM cells, probit
+),
+probit_scores AS (
+  SELECT h, psu, w * d * (y - p) / (p * (1 - p)) AS s, x, a, b, i00, i01, i11, det FROM probit_rows JOIN fitted ON fx = x
+),
+probit_parts AS (
+  SELECT '(Intercept)' AS term, a AS estimate, h, psu, (i11 * s - i01 * s * x) / det AS u FROM probit_scores
+  UNION ALL SELECT 'x', b, h, psu, (i00 * s * x - i01 * s) / det FROM probit_scores
+),
+probit_clusters AS (
+  SELECT term, any_value(estimate) AS estimate, h, psu, sum(u) AS z FROM probit_parts GROUP BY term, h, psu
+),
+probit_strata AS (
+  SELECT term, any_value(estimate) AS estimate, h, count(*) * var_samp(z) AS v FROM probit_clusters GROUP BY term, h
+),
+probit_fit AS (SELECT term, any_value(estimate) AS estimate, sqrt(sum(v)) AS se FROM probit_strata GROUP BY term)"""
+
+
+PROBIT_ONE_NUMBER = f"""
+WITH RECURSIVE {_line_probit(
+    "CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) + month(o_orderdate) / CAST(12 AS DOUBLE)",
+    "CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END", "orders", "1 + o_custkey % 7", "o_orderpriority", "o_custkey % 20")}
+SELECT replace(term, 'x', 'season') AS term, round(estimate, 6) AS estimate, round(se, 6) AS std_error FROM probit_fit"""
+
+_TWO_STEP_TERMS = _MINCER_TERMS | {"quantity2": "l_quantity * l_quantity", "mills": "mills"}
+HECKMAN_ONE_NUMBER = f"""
+WITH RECURSIVE {DESIGN.strip()},
+{_line_probit("l_tax", "CASE WHEN l_discount > 0 THEN 1 ELSE 0 END", "design", "w", "l_linenumber", "psu")},
+chosen AS (SELECT design.*, d / p AS mills FROM design JOIN fitted ON fx = l_tax WHERE l_discount > 0),
+{_several_terms(_TWO_STEP_TERMS, _LOG_PRICE, "chosen")}
+SELECT 'selection' AS model, replace(term, 'x', 'tax') AS term, round(estimate, 5) AS estimate, round(se, 5) AS std_error
+FROM probit_fit
+UNION ALL SELECT 'outcome', term, round(estimate, 5), round(se, 5) FROM fit"""
+
 MILLS_RATIO = f"""
 WITH predicted AS (
   SELECT {ROW_KEYS}, CASE WHEN l_linenumber <> 4 THEN
@@ -606,6 +667,28 @@ WITH predicted AS (
 )
 SELECT {ROW_KEYS}, round(z, 8) AS z, round({_PDF.format(z="z")} / {_CDF.format(z="z")}, 8) AS mills FROM predicted"""
 
+# --- a study on the survey view --------------------------------------------------------------------
+
+_STUDY_PARTS = (("total", "count", ""), ("total_by", "course", "'Regular do ensino médio'"), ("share", "grade", "grade"))
+_GONE = "gone AND age <= 24 AND pc <= 660"
+DROPOUT_STUDY = f"""
+WITH {PANEL},
+design AS (
+  SELECT x.wave, CAST(1 + x.o_custkey % 7 AS DOUBLE) AS w,
+    CASE CAST(substr(x.o_orderpriority, 1, 1) AS INTEGER) % 4
+      WHEN 0 THEN 'Primeira (o)' WHEN 1 THEN 'Segunda (o)' WHEN 2 THEN 'Terceira (o)' END AS grade,
+    14 + x.o_custkey % 13 AS age, (c_acctbal + 1000) / 8 * CAST(1.02 AS DOUBLE) AS pc,
+    x.o_custkey % 9 = 0 AS alone, x.o_custkey % 4 <> 0 AS started,
+    x.o_orderstatus = 'F' AS attending, x.o_orderstatus = 'F' AND coalesce(y.o_orderstatus = 'P', false) AS gone
+  FROM latest x JOIN customer ON c_custkey = x.o_custkey
+    LEFT JOIN latest y ON y.o_custkey = x.o_custkey AND y.wave = x.wave + 1
+  WHERE x.wave < 4 AND x.o_custkey % 11 <> 0 AND x.o_custkey % 50 <> 0
+)
+{_points(_STUDY_PARTS, {
+    "first_visit": "true", "attending": "attending", "dropout": "gone",
+    "dropout_target": f"{_GONE} AND NOT alone", "dropout_potential": f"{_GONE} AND started",
+}, by="wave")}"""
+
 # --- reports -------------------------------------------------------------------------------------
 
 _LABELS = {"target": "target_group", "potential": "potential_group", "public": "public_school"}
@@ -720,7 +803,10 @@ ORACLES = {
     "wls_sandwich_se": WLS_SANDWICH_SE,
     "mincer_fit": MINCER_FIT,
     "probit_one_factor": PROBIT_ONE_FACTOR,
+    "probit_one_number": PROBIT_ONE_NUMBER,
+    "heckman_one_number": HECKMAN_ONE_NUMBER,
     "mills_ratio": MILLS_RATIO,
+    "dropout_study": DROPOUT_STUDY,
     "report_totals": REPORT_TOTALS,
     "report_blocks": REPORT_BLOCKS,
     "report_shares": REPORT_SHARES,

@@ -27,6 +27,7 @@ from panelweave.operators.model import Factor, Layout, Number
 from panelweave.operators.selection import heckman_two_step, impute_outcome
 from panelweave.operators.skew import lookup_join
 from panelweave.plans import bindings as b
+from panelweave.plans import studies, survey_view
 from panelweave.session import shared_folder
 from panelweave.sources import estimates as saved
 from panelweave.sources import microdata
@@ -393,6 +394,12 @@ def probit_one_factor(spark, sf_dir):
     return _fit_rows(fit, spark, "probit", ("term", "estimate", "std_error"))
 
 
+def probit_one_number(spark, sf_dir):
+    season = F.expr("CAST(substring(o_orderpriority, 1, 1) AS DOUBLE) + month(o_orderdate) / 12")
+    fit = fit_probit(b.order_design(spark, sf_dir), _has_left_number(), [Number("season", season)])
+    return _fit_rows(fit, spark, "probit", ("term", "estimate", "std_error"))
+
+
 def evasion_probit(spark, sf_dir):
     """Evasion flags with covariates, weighted: the year-over-year study end to end."""
     people = panel.with_covariates(_evasion(spark, sf_dir), _covariates(spark, sf_dir), "o_custkey")
@@ -437,6 +444,28 @@ def heckman_two_step_query(spark, sf_dir):
     return fit.selection.table(spark, "selection").unionByName(fit.outcome.table(spark, "outcome"))
 
 
+def heckman_one_number(spark, sf_dir):
+    """The two steps with one number in the selection, where both have a counterpart in SQL."""
+    fit = heckman_two_step(
+        b.design(spark, sf_dir),
+        selected=(F.col("l_discount") > 0).cast("int"),
+        selection_terms=[Number("tax", F.col("l_tax"))],
+        outcome=b.log_price(),
+        outcome_terms=[b.flag_factor(), b.status_factor(), b.quantity(), Number("quantity2", F.col("l_quantity") * F.col("l_quantity"))],
+    )
+    both = fit.selection.table(spark, "selection").unionByName(fit.outcome.table(spark, "outcome"))
+    return _rounded(both.select("model", "term", "estimate", "std_error"), {"estimate": 5, "std_error": 5})
+
+
+# --- studies -------------------------------------------------------------------------------------
+
+
+def dropout_study(spark, sf_dir):
+    """Weighted drop-out of every wave pair in five sub-populations, on the survey view of the tables."""
+    waves = survey_view.waves(spark, sf_dir)
+    return _rounded(studies.dropout_study(waves, b.WAVES, se=None, lonely_psu="remove"), ESTIMATE_DIGITS)
+
+
 # --- reports -------------------------------------------------------------------------------------
 
 SUBPOPS = {"target": "target_group", "potential": "potential_group", "public": "public_school"}
@@ -538,10 +567,13 @@ QUERIES = {
     "mincer_fit": mincer_fit,
     "probit_fit": probit_fit,
     "probit_one_factor": probit_one_factor,
+    "probit_one_number": probit_one_number,
     "evasion_probit": evasion_probit,
     "mills_ratio": mills_ratio,
     "residual_impute": residual_impute,
     "heckman_two_step": heckman_two_step_query,
+    "heckman_one_number": heckman_one_number,
+    "dropout_study": dropout_study,
     "report_totals": report_totals,
     "report_blocks": report_blocks,
     "report_shares": report_shares,
