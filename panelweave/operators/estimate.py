@@ -7,12 +7,14 @@ clusters, when a standard error is wanted), whatever the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
 from operator import or_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,16 +55,16 @@ def estimates(
     if se not in (None, "taylor", "replicate"):
         raise ValueError(f"unknown standard error: {se}")
     domains = domains or {EVERYONE: F.lit(True)}
-    clusters = design.cluster_columns if se == "taylor" else []
-    weights = [design.weight, *(design.replicates if se == "replicate" else ())]
-    sums = _item_sums(design, wanted, domains, clusters, weights)
-    if se == "taylor":
-        sums = checkpointed(sums)
+    if se == "replicate":
+        result = _replicated(design, _replicate_cells(design, wanted, domains))
+    elif se == "taylor":
+        clusters = design.cluster_columns
+        sums = checkpointed(_item_sums(design, wanted, domains, clusters))
         places = sums.where(F.col("item") == DESIGN_ITEM).select(*design.by, *clusters, "w")
-        result = _taylor(design, _cells(design, sums, domains, clusters, len(weights)), places)
+        result = _taylor(design, _cells(design, sums, domains, clusters), places)
     else:
-        cells = _cells(design, sums, domains, clusters, len(weights))
-        result = _replicated(design, cells) if se else _points(design, cells).drop("__bottom")
+        sums = _item_sums(design, wanted, domains, [])
+        result = _points(design, _cells(design, sums, domains, [])).drop("__bottom")
     if wanted.interactions:
         result = _with_empty_combinations(design, wanted, result)
     return result.withColumn("level", F.when(F.col("level") != NO_LEVEL, F.col("level")))
@@ -115,15 +117,19 @@ def _items(wanted: Statistics) -> dict[str, Column]:
     return items
 
 
-def _item_sums(design, wanted, domains, clusters, weights) -> DataFrame:
+def _inside(domains: Mapping[str, Column]) -> dict[str, Column]:
+    return {f"in_{i}": F.coalesce(c, F.lit(False)) for i, c in enumerate(domains.values())}
+
+
+def _item_sums(design: SurveyDesign, wanted: Statistics, domains: Mapping[str, Column], clusters) -> DataFrame:
     """One row per (by, clusters, item, level) with the weighted sums of every sub-population.
 
-    For sub-population i and weight j, `y_i_j` sums weight times value and `x_i_j` the weight. The
-    design item covers all rows and carries the weight `w` of the cluster.
+    For sub-population i, `y_i` sums weight times value and `x_i` the weight. With clusters there is
+    also the design item, which covers all rows and carries the weight `w` of the cluster.
     """
-    items, inside = _items(wanted), {f"in_{i}": F.coalesce(c, F.lit(False)) for i, c in enumerate(domains.values())}
+    items, inside = _items(wanted), _inside(domains)
     anywhere = reduce(or_, inside.values())
-    ids = [*design.by, *clusters, *weights, *inside]
+    ids = [*design.by, *clusters, design.weight, *inside]
     rows = design.data.withColumns(inside).select(
         *ids,
         F.struct(F.lit(NO_LEVEL).alias("level"), F.lit(0.0).alias("y")).alias(DESIGN_ITEM),
@@ -135,38 +141,99 @@ def _item_sums(design, wanted, domains, clusters, weights) -> DataFrame:
         .where(F.col("cell").isNotNull())
         .select(*ids, "item", F.col("cell.level").alias("level"), F.col("cell.y").alias("y"))
     )
-    sums = [F.sum(weights[0]).alias("w")]
+    weight = F.col(design.weight)
+    sums = [F.sum(weight).alias("w")]
     for i, flag in enumerate(inside):
-        for j, weight in enumerate(weights):
-            sums.append(F.sum(F.when(F.col(flag), F.col(weight) * F.col("y"))).alias(f"y_{i}_{j}"))
-            sums.append(F.sum(F.when(F.col(flag), F.col(weight))).alias(f"x_{i}_{j}"))
+        sums.append(F.sum(F.when(F.col(flag), weight * F.col("y"))).alias(f"y_{i}"))
+        sums.append(F.sum(F.when(F.col(flag), weight)).alias(f"x_{i}"))
     return long.groupBy(*design.by, *clusters, "item", "level").agg(*sums)
 
 
-def _cells(design, sums: DataFrame, domains, clusters, n_weights: int) -> DataFrame:
-    """The wide sums as one row per sub-population: y, x, and with replicates the arrays ys, xs."""
+def _named(item: Column) -> list[Column]:
+    split = F.split(item, r"\|")
+    return [split[0].alias("stat"), split[1].alias("var")]
 
-    def one(i: int, name: str) -> Column:
-        columns = [F.lit(name).alias("subpop"), F.col(f"y_{i}_0").alias("y"), F.col(f"x_{i}_0").alias("x")]
-        if n_weights > 1:
-            columns += [F.array(*[F.col(f"{v}_{i}_{j}") for j in range(1, n_weights)]).alias(f"{v}s") for v in "yx"]
-        return F.struct(*columns)
 
-    split = F.split("item", r"\|")
+def _cells(design: SurveyDesign, sums: DataFrame, domains: Mapping[str, Column], clusters) -> DataFrame:
+    """The wide sums as one row per sub-population with y and x."""
+    per_domain = F.array(
+        *[
+            F.struct(F.lit(name).alias("subpop"), F.col(f"y_{i}").alias("y"), F.col(f"x_{i}").alias("x"))
+            for i, name in enumerate(domains)
+        ]
+    )
     return (
         sums.where(F.col("item") != DESIGN_ITEM)
-        .select(
-            *design.by,
-            *clusters,
-            split[0].alias("stat"),
-            split[1].alias("var"),
-            "level",
-            F.inline(F.array(*[one(i, name) for i, name in enumerate(domains)])),
-        )
+        .select(*design.by, *clusters, *_named(F.col("item")), "level", F.inline(per_domain))
         .where(F.col("y").isNotNull())
     )
 
 
+def _replicate_cells(design: SurveyDesign, wanted: Statistics, domains: Mapping[str, Column]) -> DataFrame:
+    """Sums for the full weight and every replicate weight: arrays ys and xs, the full weight first.
+
+    Hundreds of weights per row make a matrix product: categories by rows times rows by weights. Each
+    task multiplies its batches and hands on one pair of arrays per category.
+    """
+    items, inside, by = _items(wanted), _inside(domains), list(design.by)
+    weights = [design.weight, *design.replicates]
+    columns = [F.col(w).cast("double").alias(f"w{j}") for j, w in enumerate(weights)]
+    for i, item in enumerate(items.values()):
+        columns += [item["level"].alias(f"l{i}"), item["y"].alias(f"v{i}")]
+    rows = design.data.where(reduce(or_, inside.values())).select(
+        *by, *[c.alias(name) for name, c in inside.items()], *columns
+    )
+    is_mean = [name.startswith(f"{MEAN}|") for name in items]
+    flags, weight_names = list(inside), [f"w{j}" for j in range(len(weights))]
+    by_types = "".join(f"{rows.schema[k].name} {rows.schema[k].dataType.simpleString()}, " for k in by)
+
+    def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for period, part in batch.groupby(by, sort=False, dropna=False) if by else [((), batch)]:
+                for k, flag in enumerate(flags):
+                    chosen = part[part[flag].to_numpy(bool)]
+                    if len(chosen) == 0:
+                        continue
+                    labels, blocks = [], []
+                    for i, mean in enumerate(is_mean):
+                        codes, found = pd.factorize(chosen[f"l{i}"])
+                        hits = (codes[:, None] == np.arange(len(found))).astype(float)
+                        blocks.append(hits)
+                        # For shares and totals y is the weight itself, so one column serves both sums.
+                        if mean:
+                            blocks.append(hits * np.nan_to_num(chosen[f"v{i}"].to_numpy(float))[:, None])
+                        labels += [(i, level, "x") for level in found] + [(i, level, "y") for level in found if mean]
+                    sums = np.hstack(blocks).T @ chosen[weight_names].to_numpy(float)
+                    for (i, level, kind), row in zip(labels, sums, strict=True):
+                        key = (*period, i, level, k, kind)
+                        totals[key] = totals.get(key, 0.0) + row
+        out = [
+            (*key[:-1], totals.get((*key[:-1], "y"), x).tolist(), x.tolist()) for key, x in totals.items() if key[-1] == "x"
+        ]
+        yield pd.DataFrame(out, columns=[*by, "item", "level", "domain", "ys", "xs"])
+
+    schema = f"{by_types}item int, level string, domain int, ys array<double>, xs array<double>"
+    keys = [*by, "item", "level", "domain"]
+    added = (
+        rows.mapInPandas(partials, schema)
+        .select(*keys, F.posexplode(F.arrays_zip("ys", "xs")).alias("pos", "sums"))
+        .groupBy(*keys, "pos")
+        .agg(F.sum("sums.ys").alias("y"), F.sum("sums.xs").alias("x"))
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "y", "x"))).alias("sums"))
+    )
+    item_names, domain_names = (F.array(*[F.lit(n) for n in names]) for names in (items, domains))
+    return added.select(
+        *by,
+        domain_names[F.col("domain")].alias("subpop"),
+        *_named(item_names[F.col("item")]),
+        "level",
+        F.col("sums.y").alias("ys"),
+        F.col("sums.x").alias("xs"),
+    )
+
+
 def _variable_keys(design: SurveyDesign) -> list[str]:
     return [*design.by, "subpop", "stat", "var"]
 
@@ -177,7 +244,8 @@ def _is_total() -> Column:
 
 def _points(design: SurveyDesign, cells: DataFrame) -> DataFrame:
     keys = [*_variable_keys(design), "level"]
-    sums = cells.groupBy(*keys).agg(F.sum("y").alias("y"), F.sum("x").alias("x"))
+    by_cluster = design.strata in cells.columns
+    sums = cells.groupBy(*keys).agg(F.sum("y").alias("y"), F.sum("x").alias("x")) if by_cluster else cells
     # A window over the categories of one variable: a handful of rows, all after aggregation.
     bottom = F.sum("x").over(Window.partitionBy(*_variable_keys(design)))
     return sums.withColumn("__bottom", F.when(_is_total(), F.lit(1.0)).otherwise(bottom)).select(
@@ -234,14 +302,20 @@ def _taylor(design: SurveyDesign, cells: DataFrame, clusters: DataFrame) -> Data
 def _replicated(design: SurveyDesign, cells: DataFrame) -> DataFrame:
     """Standard errors from replicate weights: mean squared distance from the full-sample estimate."""
     variable = _variable_keys(design)
-    window = Window.partitionBy(*variable)
-    n = len(design.replicates)
-    spread = cells.withColumn("__bottom", F.when(_is_total(), F.lit(1.0)).otherwise(F.sum("x").over(window)))
-    bottoms = [F.when(_is_total(), F.lit(1.0)).otherwise(F.sum(F.col("xs")[r]).over(window)) for r in range(n)]
-    spread = spread.withColumn("__bottoms", F.array(*bottoms)).withColumn("value", F.try_divide("y", "__bottom"))
-    squares = F.zip_with("ys", "__bottoms", lambda y, x: F.pow(F.try_divide(y, x) - F.col("value"), F.lit(2.0)))
-    variance = F.aggregate(squares, F.lit(0.0), lambda total, s: total + s) / F.lit(float(n))
-    return spread.select(*variable, "level", "value", F.sqrt(variance).alias("std_error"))
+    # The categories of one variable: a handful of rows, whose x arrays add up to the denominators.
+    gathered = cells.groupBy(*variable).agg(F.collect_list(F.struct("level", "ys", "xs")).alias("cells"))
+    ones = F.transform(F.col("cells")[0]["xs"], lambda x: F.lit(1.0))
+    zeros = F.transform(ones, lambda x: F.lit(0.0))
+    added = F.aggregate(F.col("cells"), zeros, lambda total, c: F.zip_with(total, c["xs"], lambda t, x: t + x))
+    rows = gathered.withColumn("bottoms", F.when(_is_total(), ones).otherwise(added)).select(
+        *variable, "bottoms", F.inline("cells")
+    )
+    estimates = rows.select(
+        *variable, "level", F.zip_with("ys", "bottoms", lambda y, x: F.try_divide(y, x)).alias("e")
+    ).withColumn("value", F.col("e")[0])
+    squares = F.transform("e", lambda e: (e - F.col("value")) * (e - F.col("value")))
+    variance = F.aggregate(squares, F.lit(0.0), lambda total, q: total + q) / F.lit(float(len(design.replicates)))
+    return estimates.select(*variable, "level", "value", F.sqrt(variance).alias("std_error"))
 
 
 def _with_empty_combinations(design: SurveyDesign, wanted: Statistics, result: DataFrame) -> DataFrame:

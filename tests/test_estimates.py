@@ -118,6 +118,28 @@ def test_batch_reads_the_table_once(spark, small_dir):
     assert plan._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
 
 
+def test_replicates_by_year(spark, small_dir):
+    weights = {f"r{k}": F.expr(f"w * (1 + ((l_orderkey * {k}) % 5 - 2) / 10)") for k in (1, 2, 3)}
+    design = replace(b.design(spark, small_dir, by_year=True).with_columns(weights), replicates=tuple(weights))
+    wanted = Statistics(population=True, shares={"status": b.status()}, means={"price": b.price()})
+    got = {
+        (r["year"], r["stat"], r["level"]): (r["value"], r["std_error"])
+        for r in estimates(design, wanted, {"p": F.expr("l_discount >= 0.09")}, "replicate").collect()
+    }
+    rows = design.data.where("l_discount >= 0.09").toPandas()
+    assert set(rows.year) == {y for y, _, _ in got}
+    for year, part in rows.groupby("year"):
+        known = part[part.l_linenumber != 3]
+        priced = part[part.l_quantity > 5]
+        for key, points in {
+            ("total", None): [part[w].sum() for w in ("w", *weights)],
+            ("share", "F"): [known[known.l_linestatus == "F"][w].sum() / known[w].sum() for w in ("w", *weights)],
+            ("mean", None): [(priced[w] * priced.l_extendedprice).sum() / priced[w].sum() for w in ("w", *weights)],
+        }.items():
+            error = (sum((p - points[0]) ** 2 for p in points[1:]) / 3) ** 0.5
+            assert got[(year, *key)] == pytest.approx((points[0], error))
+
+
 def test_unknown_standard_error_is_refused(design):
     with pytest.raises(ValueError):
         svy_total(design, se="jackknife")
