@@ -61,6 +61,16 @@ def _baseline_with_outcome(waves: DataFrame, outcome: DataFrame, c: SurveyColumn
     return attach_groups(people, outcome, ["person_id"], "inner")
 
 
+def _model_columns(rows: DataFrame, c: SurveyColumns, *extra: str) -> DataFrame:
+    """Only what the designs, groups and models read: a survey row is wide, and these rows get written."""
+    names = [
+        c.strata, c.psu, c.weight, c.poststratum, c.poststratum_total, c.age, c.sex, c.area, c.residents, "race", "region",
+        "pc_last", "parent_max", c.network, c.course, c.household_type, c.schooling_level, *extra,
+    ]
+    wanted = [x for n in names if n for x in (n, f"{n}_code") if x in rows.columns]
+    return rows.select(*dict.fromkeys(wanted))
+
+
 def _covariates(c: SurveyColumns, levels) -> list[Term]:
     return [
         factor("sex", c.sex, levels),
@@ -87,7 +97,7 @@ def survival_study(
     people = _baseline_with_outcome(waves, table, c, first, cohort)
     spark = waves.sparkSession
     out: dict[str, DataFrame] = {}
-    with staged(people) as rows:
+    with staged(_model_columns(people, c, "status", "time", c.grade)) as rows:
         domains = quarterly_domains(c)
         populations = {"cohort": F.lit(True), **domains}
         levels = observed_levels(rows, [c.sex, c.area, c.grade])
@@ -159,7 +169,7 @@ def evasion_study(
     visits = waves.where(audience.first_visit(F.col(c.visit)) & audience.birth_year_known(F.col(c.birth[2])))
     people = _baseline_with_outcome(visits, flags, c, pair[0], in_scope)
     spark = waves.sparkSession
-    with staged(people) as rows:
+    with staged(_model_columns(people, c, "evaded")) as rows:
         levels = observed_levels(rows, [c.sex, c.area])
         design = survey_design(rows, c, lonely_psu=lonely_psu)
         tables = [
@@ -231,13 +241,13 @@ def wage_study(annual: DataFrame, seed: int, c: SurveyColumns = SURVEY, lonely_p
     spark = annual.sparkSession
     wages = annual.withColumn("person_id", person_key(c)).withColumns(
         {
-            "log_wage": log_or_zero(c.wage),
             "hourly": hourly_wage(c.wage, c.hours),
             "employed": is_employed(c.wage),
         }
     )
     wages = with_household_profile(wages.withColumn("log_hourly", log_or_zero("hourly")), c, annual=True)
-    with staged(wages) as rows:
+    columns = ("person_id", "log_hourly", "employed", c.schooling, c.relation, c.sector)
+    with staged(_model_columns(wages, c, *columns)) as rows:
         levels = observed_levels(rows, [c.schooling, c.sex, c.area, c.relation])
         design = survey_design(rows, c, lonely_psu=lonely_psu)
         region = Factor("region", F.col("region"), tuple(REGIONS.values()))
