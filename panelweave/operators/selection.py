@@ -8,29 +8,38 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.scalars import inverse_mills
+from panelweave.functions.scalars import inverse_mills, text_key
 from panelweave.operators.design import SurveyDesign
 from panelweave.operators.glm import fit_linear, fit_probit
 from panelweave.operators.model import Fit, Number, Term
 
-# Donor values are numbered bucket by bucket; the running count over buckets has this many rows.
-NUMBERING_BUCKETS = 65_536
-# A value shared by very many donors is numbered in pieces of this many, spread over tasks.
+# Donors are numbered bucket by bucket, a bucket being this many leading hex digits of the donor's hash.
+BUCKET_DIGITS = 4
+# A donor row that occurs very often is numbered in pieces of this many, spread over tasks.
 PIECE = 100_000
+# Leading hex digits of a hash that make a uniform number: 52 bits, which a double holds exactly.
+UNIFORM_DIGITS = 13
 MILLS = "mills"
 
 
 def draw_residuals(
-    targets: DataFrame, keys: Sequence[str], donors: DataFrame, value: str, seed: int, drawn: str = "drawn_residual"
+    targets: DataFrame,
+    target_keys: Sequence[str],
+    donors: DataFrame,
+    donor_keys: Sequence[str],
+    value: str,
+    seed: int,
+    drawn: str = "drawn_residual",
 ) -> DataFrame:
     """Give every target row one donor value, drawn with replacement.
 
-    The draw is a hash of the target's `keys` and the seed, and the donors are numbered by value, so
-    the result depends only on the data: not on partitions, task order or a lost executor. `keys` must
-    tell target rows apart; rows with equal keys draw the same donor.
+    The draw is a hash of the target's keys and the seed; donors are numbered in the order of a hash of
+    theirs. So the result depends only on the data: not on partitions, task order or a lost executor.
+    Keys must tell rows apart: targets with equal keys draw the same donor.
     """
-    numbered, size = _numbered(donors, value)
-    uniform = F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11) / F.lit(float(2**53))
+    numbered, size = _numbered(donors, donor_keys, value)
+    hashed = F.md5(text_key(*target_keys, F.lit(seed), sep="|"))
+    uniform = F.conv(F.substring(hashed, 1, UNIFORM_DIGITS), 16, 10).cast("long") / F.lit(float(16**UNIFORM_DIGITS))
     position = F.least(F.floor(uniform * size), size - 1).cast("long")
     picked = targets.withColumn("__position", position).join(
         numbered.withColumnRenamed(value, drawn), "__position", "left"
@@ -38,15 +47,20 @@ def draw_residuals(
     return picked.drop("__position")
 
 
-def _numbered(donors: DataFrame, value: str) -> tuple[DataFrame, Column]:
-    """Donor values numbered 0 .. n-1 without gaps, and n as a scalar."""
-    distinct = donors.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__copies"))
-    distinct = distinct.withColumn("__bucket", F.pmod(F.xxhash64(value), F.lit(NUMBERING_BUCKETS)))
+def _numbered(donors: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, Column]:
+    """Donor values numbered 0 .. n-1 without gaps in the order of their hash, and n as a scalar.
+
+    Copies of a donor are one row with a count until the end, so a row repeated without bound neither
+    fills a bucket nor a task.
+    """
+    known = donors.where(F.col(value).isNotNull()).select(F.md5(text_key(*keys, sep="|")).alias("__hash"), value)
+    distinct = known.groupBy("__hash", value).agg(F.count(F.lit(1)).alias("__copies"))
+    distinct = distinct.withColumn("__bucket", F.substring("__hash", 1, BUCKET_DIGITS))
     totals = distinct.groupBy("__bucket").agg(F.sum("__copies").alias("__total"))
-    # At most NUMBERING_BUCKETS rows: small enough for one running sum and for a broadcast.
+    # At most 16^BUCKET_DIGITS rows: small enough for one running sum and for a broadcast.
     before = F.sum("__total").over(Window.orderBy("__bucket")) - F.col("__total")
     offsets = F.broadcast(totals.select("__bucket", before.alias("__offset")))
-    in_bucket = Window.partitionBy("__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    in_bucket = Window.partitionBy("__bucket").orderBy("__hash", value).rowsBetween(Window.unboundedPreceding, -1)
     starts = distinct.join(offsets, "__bucket").withColumn(
         "__start", F.col("__offset") + F.coalesce(F.sum("__copies").over(in_bucket), F.lit(0))
     )
@@ -63,10 +77,17 @@ def _numbered(donors: DataFrame, value: str) -> tuple[DataFrame, Column]:
 
 
 def impute_outcome(
-    targets: DataFrame, fit: Fit, keys: Sequence[str], donors: DataFrame, residual: str, seed: int, outcome: str
+    targets: DataFrame,
+    target_keys: Sequence[str],
+    fit: Fit,
+    donors: DataFrame,
+    donor_keys: Sequence[str],
+    residual: str,
+    seed: int,
+    outcome: str,
 ) -> DataFrame:
     """Predicted outcome plus a drawn residual; coefficients meet their terms by name."""
-    drawn = draw_residuals(targets, keys, donors, residual, seed)
+    drawn = draw_residuals(targets, target_keys, donors, donor_keys, residual, seed)
     return drawn.withColumn(outcome, fit.predictor() + F.col("drawn_residual"))
 
 

@@ -524,11 +524,11 @@ WLS_ONE_NUMBER = f"WITH {DESIGN}, {_number_fit('true', None)} {_SHOW_FIT}"
 WLS_SANDWICH_SE = f"WITH {POSTSTRATIFIED}, {_number_fit('l_discount >= 0.09', 'l_returnflag')} {_SHOW_FIT}"
 
 
-def _several_terms(terms: dict[str, str], y: str, source: str = "design") -> str:
+def _several_terms(terms: dict[str, str], y: str, source: str = "design", extra: str = "") -> str:
     """Least squares of several terms: each coefficient from its term made orthogonal to all others."""
     names = list(terms)
     steps = [
-        "c AS (SELECT l_linenumber AS h, psu, w, " + f"{y} AS y, "
+        f"c AS (SELECT {extra} l_linenumber AS h, psu, w, {y} AS y, "
         + ", ".join(f"CAST({e} AS DOUBLE) AS c{i}" for i, e in enumerate(terms.values()))
         + f" FROM {source})"
     ]
@@ -659,6 +659,27 @@ SELECT 'selection' AS model, replace(term, 'x', 'tax') AS term, round(estimate,
 FROM probit_fit
 UNION ALL SELECT 'outcome', term, round(estimate, 5), round(se, 5) FROM fit"""
 
+_HASHED = ", ".join(f"CAST({k} AS VARCHAR)" for k in b.ROW_KEYS)
+RESIDUAL_IMPUTE = f"""
+WITH {DESIGN},
+{_several_terms(_MINCER_TERMS, _LOG_PRICE, "design WHERE l_quantity >= 25", ROW_KEYS + ",")},
+donors AS (SELECT e AS residual, row_number() OVER (ORDER BY md5(concat_ws('|', {_HASHED})), e) - 1 AS position FROM e),
+model AS (SELECT count(*) AS n, {", ".join(f"any_value(b{k}) AS b{k}" for k in range(5))} FROM e),
+targets AS (
+  SELECT {ROW_KEYS}, l_returnflag, l_linestatus, l_quantity,
+    CAST(floor(CAST('0x' || substr(md5(concat_ws('|', {_HASHED}, '7')), 1, 13) AS BIGINT) / CAST(16 AS DOUBLE) ** 13
+      * (SELECT n FROM model)) AS BIGINT) AS position
+  FROM design WHERE l_quantity < 25
+),
+imputed AS (
+  SELECT {", ".join("targets." + k for k in b.ROW_KEYS)}, residual,
+    b0 + CASE l_returnflag WHEN 'N' THEN b1 WHEN 'R' THEN b2 ELSE 0 END + CASE WHEN l_linestatus = 'O' THEN b3 ELSE 0 END
+      + b4 * l_quantity + residual AS imputed
+  FROM targets JOIN donors USING (position), model
+)
+SELECT {ROW_KEYS}, round(residual, 6) AS drawn_residual, round(imputed, 6) AS log_imputed, round(exp(imputed), 2) AS imputed
+FROM imputed"""
+
 MILLS_RATIO = f"""
 WITH predicted AS (
   SELECT {ROW_KEYS}, CASE WHEN l_linenumber <> 4 THEN
@@ -806,6 +827,7 @@ ORACLES = {
     "probit_one_number": PROBIT_ONE_NUMBER,
     "heckman_one_number": HECKMAN_ONE_NUMBER,
     "mills_ratio": MILLS_RATIO,
+    "residual_impute": RESIDUAL_IMPUTE,
     "dropout_study": DROPOUT_STUDY,
     "report_totals": REPORT_TOTALS,
     "report_blocks": REPORT_BLOCKS,

@@ -427,10 +427,15 @@ def residual_impute(spark, sf_dir):
     terms = [b.flag_factor(), b.status_factor(), b.quantity()]
     design = b.design(spark, sf_dir)
     fit = fit_linear(design, b.log_price(), terms, domain=F.col("l_quantity") >= 25)
-    donors = design.data.where("l_quantity >= 25").select(residuals(fit, b.log_price()).alias("residual"))
+    donors = design.data.where("l_quantity >= 25").select(*b.ROW_KEYS, residuals(fit, b.log_price()).alias("residual"))
     targets = design.data.where("l_quantity < 25")
-    imputed = impute_outcome(targets, fit, b.PERSON_ORDER, donors, "residual", seed=7, outcome="log_imputed")
-    return imputed.select(*b.ROW_KEYS, "drawn_residual", "log_imputed", F.exp("log_imputed").alias("imputed"))
+    imputed = impute_outcome(targets, b.ROW_KEYS, fit, donors, b.ROW_KEYS, "residual", seed=7, outcome="log_imputed")
+    return imputed.select(
+        *b.ROW_KEYS,
+        F.round("drawn_residual", 6).alias("drawn_residual"),
+        F.round("log_imputed", 6).alias("log_imputed"),
+        F.round(F.exp("log_imputed"), 2).alias("imputed"),
+    )
 
 
 def heckman_two_step_query(spark, sf_dir):

@@ -261,9 +261,10 @@ def wage_study(annual: DataFrame, seed: int, c: SurveyColumns = SURVEY, lonely_p
         mincer = fit_linear(design, outcome, terms, working, plain_scan=True)
 
         potential = quarterly_domains(c)["potential"]
-        donors = design.data.where(working).select(residuals(mincer, outcome).alias("residual"))
+        donors = design.data.where(working).select("person_id", residuals(mincer, outcome).alias("residual"))
         targets = design.data.where(potential)
-        imputed = impute_outcome(targets, mincer, ["person_id"], donors, "residual", seed, "log_hourly_imputed")
+        person = ["person_id"]
+        imputed = impute_outcome(targets, person, mincer, donors, person, "residual", seed, "log_hourly_imputed")
         imputed = imputed.withColumn("hourly_imputed", F.exp("log_hourly_imputed"))
         # Clusters without a potential person still count: the other rows stay, without an outcome.
         others = design.data.where(~audience.flag(potential))

@@ -7,12 +7,12 @@ from panelweave.operators import selection
 
 
 def donors(spark):
-    return spark.range(0, 300, 1, 4).select((F.col("id") % 50).cast("double").alias("value"))
+    return spark.range(0, 300, 1, 4).select((F.col("id") % 50).alias("donor"), (F.col("id") % 50).cast("double").alias("value"))
 
 
 def test_numbering_has_no_gaps_and_keeps_copies(spark, monkeypatch):
     monkeypatch.setattr(selection, "PIECE", 4)
-    numbered, size = selection._numbered(donors(spark), "value")
+    numbered, size = selection._numbered(donors(spark), ["donor"], "value")
     rows = numbered.collect()
     assert sorted(r["__position"] for r in rows) == list(range(300))
     assert {v: sum(r["value"] == v for r in rows) for v in (0.0, 49.0)} == {0.0: 6, 49.0: 6}
@@ -23,7 +23,7 @@ def test_draw_does_not_depend_on_partitions(spark, settings):
     targets = spark.range(500).withColumnRenamed("id", "person")
 
     def draw(frame, seed=1):
-        out = selection.draw_residuals(frame, ["person"], donors(spark), "value", seed)
+        out = selection.draw_residuals(frame, ["person"], donors(spark), ["donor"], "value", seed)
         return {r["person"]: r["drawn_residual"] for r in out.collect()}
 
     one = draw(targets.repartition(1))
@@ -38,6 +38,6 @@ def test_draw_is_uniform_over_donors(spark):
     weighted = spark.createDataFrame([(0.0,)] * 3 + [(1.0,)], "value double").union(
         spark.createDataFrame([(None,)], "value double")
     )
-    out = selection.draw_residuals(targets, ["person"], weighted, "value", seed=5)
+    out = selection.draw_residuals(targets, ["person"], weighted, ["value"], "value", seed=5)
     share = out.agg(F.avg("drawn_residual")).first()[0]
     assert share == pytest.approx(0.25, abs=5 * math.sqrt(0.25 * 0.75 / 40_000))
