@@ -643,6 +643,122 @@ probit_strata AS (
 probit_fit AS (SELECT term, any_value(estimate) AS estimate, sqrt(sum(v)) AS se FROM probit_strata GROUP BY term)"""
 
 
+
+PROBIT_STEPS = 8
+
+
+def _orthogonal(order: list[int], weight: str, prefix: str, source: str, carried: str) -> tuple[list[str], str]:
+    """CTEs that make the columns c<i> orthogonal one after another under a weight; the last is complete."""
+    steps = []
+    for place, i in enumerate(order):
+        parts = "".join(
+            f" - sum({weight} * c{i} * {prefix}{j}) OVER () / sum({weight} * {prefix}{j} * {prefix}{j}) OVER () * {prefix}{j}"
+            for j in order[:place]
+        )
+        name = f"{carried}_{place}"
+        steps.append(f"{name} AS (SELECT *, c{i}{parts} AS {prefix}{i} FROM {source})")
+        source = name
+    return steps, source
+
+
+def _probit(terms: dict[str, str], y: str, source: str, design: tuple[str, str, str]) -> str:
+    """Probit by repeated least squares over the distinct covariate values, unrolled; linearised errors.
+
+    Each step projects the working response on the terms through an orthogonal basis, so no step needs
+    the coefficients; those follow once at the end.
+    """
+    n, (weight, stratum, psu) = len(terms), design
+    names = ", ".join(f"c{i}" for i in range(n))
+    out = [
+        f"q AS (SELECT *, {weight} AS pw, {stratum} AS ph, {psu} AS pc, {y} AS py, "
+        + ", ".join(f"CAST({e} AS DOUBLE) AS c{i}" for i, e in enumerate(terms.values()))
+        + f" FROM {source})",
+        f"k0 AS (SELECT {names}, CAST(sum(pw) AS DOUBLE) AS sw, sum(pw * py) / CAST(sum(pw) AS DOUBLE) AS ybar,"
+        f" CAST(0 AS DOUBLE) AS eta FROM q GROUP BY {names})",
+    ]
+
+    def working(table: str, name: str) -> list[str]:
+        return [
+            f"{name}p AS (SELECT {names}, sw, ybar, eta, {_CDF.format(z='eta')} AS p, {_PDF.format(z='eta')} AS d FROM {table})",
+            f"{name}w AS (SELECT *, sw * d * d / (p * (1 - p)) AS ww, eta + (ybar - p) / d AS zz FROM {name}p)",
+        ]
+
+    table = "k0"
+    for step in range(1, PROBIT_STEPS + 1):
+        out += working(table, f"k{step}")
+        chain, last = _orthogonal(list(range(n)), "ww", "u", f"k{step}w", f"k{step}u")
+        out += chain
+        projected = " + ".join(f"sum(ww * zz * u{i}) OVER () / sum(ww * u{i} * u{i}) OVER () * u{i}" for i in range(n))
+        table = f"k{step}"
+        out.append(f"{table} AS (SELECT {names}, sw, ybar, {projected} AS eta FROM {last})")
+    out += working(table, "f")
+    table = "fw"
+    for k in range(n):
+        chain, last = _orthogonal([i for i in range(n) if i != k] + [k], "ww", f"r{k}_", table, f"f{k}")
+        out += chain
+        drop = ", ".join(f"r{k}_{i}" for i in range(n) if i != k)
+        out.append(
+            f"g{k} AS (SELECT * EXCLUDE ({drop}), sum(ww * r{k}_{k} * eta) OVER () / sum(ww * r{k}_{k} * r{k}_{k}) OVER () AS b{k},"
+            f" sum(ww * r{k}_{k} * r{k}_{k}) OVER () AS a{k} FROM {last})"
+        )
+        table = f"g{k}"
+    same = " AND ".join(f"q.c{i} = {table}.c{i}" for i in range(n))
+    parts = " UNION ALL ".join(
+        f"SELECT '{t}' AS term, b{k} AS estimate, ph, pc, pw * d * (py - p) / (p * (1 - p)) * r{k}_{k} / a{k} AS u"
+        f" FROM q JOIN {table} ON {same}"
+        for k, t in enumerate(terms)
+    )
+    out += [
+        f"probit_parts AS ({parts})",
+        "probit_terms AS (SELECT term, any_value(estimate) AS estimate FROM probit_parts GROUP BY term)",
+        # Clusters of the whole design count, also those without a complete row.
+        f"all_clusters AS (SELECT DISTINCT {stratum} AS ph, {psu} AS pc FROM {source.split(' WHERE ')[0]})",
+        "probit_clusters AS (SELECT term, any_value(estimate) AS estimate, ph, pc, sum(u) AS z FROM"
+        " (SELECT * FROM probit_parts UNION ALL SELECT term, estimate, ph, pc, 0 FROM probit_terms, all_clusters)"
+        " GROUP BY term, ph, pc)",
+        "probit_strata AS (SELECT term, any_value(estimate) AS estimate, ph, CASE WHEN count(*) > 1 THEN count(*) * var_samp(z)"
+        " ELSE 0 END AS v FROM probit_clusters GROUP BY term, ph)",
+        "probit_fit AS (SELECT term, any_value(estimate) AS estimate, sqrt(sum(v)) AS se FROM probit_strata GROUP BY term)",
+        f"probit_cells AS (SELECT {names}, p, d FROM {table})",
+    ]
+    return ",\n".join(out)
+
+
+_SHOW_PROBIT = """
+SELECT term, round(estimate, 5) AS estimate, round(se, 5) AS std_error, round(estimate / se, 5) AS statistic FROM probit_fit"""
+_LEFT = "CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END"
+_PRIORITY_DUMMIES = {"(Intercept)": "1"} | {
+    f"priority{p}": f"CASE WHEN o_orderpriority = '{p}' THEN 1 ELSE 0 END" for p in b.PRIORITIES[1:]
+}
+PROBIT_FIT = f"""
+WITH {_probit(_PRIORITY_DUMMIES | {"log_price": "ln(o_totalprice)"}, _LEFT, "orders",
+    ("1 + o_custkey % 7", "o_orderpriority", "o_custkey % 20"))}
+{_SHOW_PROBIT}"""
+
+_GROUP_DUMMIES = {
+    "(Intercept)": "1",
+    "groupMACHINERY": "CASE WHEN \"group\" = 'MACHINERY' THEN 1 ELSE 0 END",
+    "groupHOME": "CASE WHEN \"group\" = 'HOME' THEN 1 ELSE 0 END",
+    "balance": "balance / 1000",
+}
+EVASION_PROBIT = f"""
+WITH {COVARIATES}, evasion AS ({EVASION}),
+people AS (SELECT * FROM evasion JOIN covariates USING (o_custkey)),
+{_probit(_GROUP_DUMMIES, "evaded", 'people WHERE "group" IS NOT NULL', ("1 + o_custkey % 7", "o_custkey % 3", "o_custkey % 20"))}
+{_SHOW_PROBIT}"""
+
+_SELECTION_TERMS = {k: v for k, v in _MINCER_TERMS.items() if not k.startswith(("status", "quantity"))} | {"tax": "l_tax"}
+HECKMAN_TWO_STEP = f"""
+WITH {DESIGN},
+{_probit(_SELECTION_TERMS, "CASE WHEN l_discount > 0 THEN 1 ELSE 0 END", "design", ("w", "l_linenumber", "psu"))},
+chosen AS (
+  SELECT q.* EXCLUDE (c0, c1, c2, c3), d / p AS mills
+  FROM q JOIN probit_cells x ON q.c0 = x.c0 AND q.c1 = x.c1 AND q.c2 = x.c2 AND q.c3 = x.c3 WHERE l_discount > 0
+),
+{_several_terms(_MINCER_TERMS | {"quantity2": "l_quantity * l_quantity", "mills": "mills"}, _LOG_PRICE, "chosen")}
+SELECT 'selection' AS model, term, round(estimate, 5) AS estimate, round(se, 5) AS std_error FROM probit_fit
+UNION ALL SELECT 'outcome', term, round(estimate, 5), round(se, 5) FROM fit"""
+
 PROBIT_ONE_NUMBER = f"""
 WITH RECURSIVE {_line_probit(
     "CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) + month(o_orderdate) / CAST(12 AS DOUBLE)",
@@ -824,6 +940,9 @@ ORACLES = {
     "wls_sandwich_se": WLS_SANDWICH_SE,
     "mincer_fit": MINCER_FIT,
     "probit_one_factor": PROBIT_ONE_FACTOR,
+    "probit_fit": PROBIT_FIT,
+    "evasion_probit": EVASION_PROBIT,
+    "heckman_two_step": HECKMAN_TWO_STEP,
     "probit_one_number": PROBIT_ONE_NUMBER,
     "heckman_one_number": HECKMAN_ONE_NUMBER,
     "mills_ratio": MILLS_RATIO,

@@ -385,7 +385,8 @@ def _has_left_number() -> Column:
 
 def probit_fit(spark, sf_dir):
     terms = [Factor("priority", F.col("o_orderpriority"), b.PRIORITIES), Number("log_price", F.ln("o_totalprice"))]
-    return fit_probit(b.order_design(spark, sf_dir), _has_left_number(), terms).table(spark, "probit")
+    fit = fit_probit(b.order_design(spark, sf_dir), _has_left_number(), terms)
+    return _rounded(fit.table(spark, "probit").select(*FIT_COLUMNS), dict.fromkeys(FIT_COLUMNS[1:], 5))
 
 
 def probit_one_factor(spark, sf_dir):
@@ -406,7 +407,8 @@ def evasion_probit(spark, sf_dir):
     rows = people.withColumns({"w": F.expr("1 + o_custkey % 7"), "psu": F.expr("o_custkey % 20"), "h": F.expr("o_custkey % 3")})
     design = SurveyDesign(rows, "w", "h", "psu", lonely_psu="remove")
     terms = [Factor("group", F.col("group"), ("AUTOMOBILE", "MACHINERY", "HOME")), Number("balance", F.col("balance") / 1000)]
-    return fit_probit(design, F.col("evaded"), terms).table(spark, "evasion")
+    fit = fit_probit(design, F.col("evaded"), terms)
+    return _rounded(fit.table(spark, "evasion").select(*FIT_COLUMNS), dict.fromkeys(FIT_COLUMNS[1:], 5))
 
 
 # --- selection and imputation --------------------------------------------------------------------
@@ -438,6 +440,11 @@ def residual_impute(spark, sf_dir):
     )
 
 
+def _two_step_rows(fit, spark):
+    both = fit.selection.table(spark, "selection").unionByName(fit.outcome.table(spark, "outcome"))
+    return _rounded(both.select("model", "term", "estimate", "std_error"), {"estimate": 5, "std_error": 5})
+
+
 def heckman_two_step_query(spark, sf_dir):
     fit = heckman_two_step(
         b.design(spark, sf_dir),
@@ -446,7 +453,7 @@ def heckman_two_step_query(spark, sf_dir):
         outcome=b.log_price(),
         outcome_terms=[b.flag_factor(), b.status_factor(), b.quantity(), Number("quantity2", F.col("l_quantity") * F.col("l_quantity"))],
     )
-    return fit.selection.table(spark, "selection").unionByName(fit.outcome.table(spark, "outcome"))
+    return _two_step_rows(fit, spark)
 
 
 def heckman_one_number(spark, sf_dir):
@@ -458,8 +465,7 @@ def heckman_one_number(spark, sf_dir):
         outcome=b.log_price(),
         outcome_terms=[b.flag_factor(), b.status_factor(), b.quantity(), Number("quantity2", F.col("l_quantity") * F.col("l_quantity"))],
     )
-    both = fit.selection.table(spark, "selection").unionByName(fit.outcome.table(spark, "outcome"))
-    return _rounded(both.select("model", "term", "estimate", "std_error"), {"estimate": 5, "std_error": 5})
+    return _two_step_rows(fit, spark)
 
 
 # --- studies -------------------------------------------------------------------------------------
