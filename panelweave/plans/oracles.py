@@ -804,6 +804,71 @@ WITH predicted AS (
 )
 SELECT {ROW_KEYS}, round(z, 8) AS z, round({_PDF.format(z="z")} / {_CDF.format(z="z")}, 8) AS mills FROM predicted"""
 
+# --- Cox regression of several terms --------------------------------------------------------------
+
+COX_STEPS = 7
+
+
+def _cox(terms: dict[str, str], source: str) -> str:
+    """Newton's method for the Efron likelihood, unrolled.
+
+    For every tied event the people at risk are rows with their risk shares as weights. Then the
+    information is the weighted cross-product of the centred terms, and the score that of the terms with
+    "is the event" over the share, so a Newton step is a least squares fit.
+    """
+    n = len(terms)
+    names = ", ".join(f"c{i}" for i in range(n))
+    out = [
+        "cox_people AS (SELECT time, status, " + ", ".join(f"CAST({e} AS DOUBLE) AS c{i}" for i, e in enumerate(terms.values()))
+        + f" FROM {source})",
+        "cox_events AS (SELECT time AS t, count(*) AS d FROM cox_people WHERE status = 1 GROUP BY time)",
+        f"cox_rows AS (SELECT t, l / CAST(d AS DOUBLE) AS part, d, CASE WHEN time = t AND status = 1 THEN 1 ELSE 0 END AS e, {names}"
+        " FROM cox_people JOIN (SELECT t, d, unnest(range(d)) AS l FROM cox_events) ON time >= t)",
+        "cox0 AS (SELECT " + ", ".join(f"CAST(0 AS DOUBLE) AS b{i}" for i in range(n)) + ")",
+    ]
+
+    def step(before: str, name: str) -> str:
+        """Adds the CTEs of one step at the coefficients of `before`; returns the last, with z<k> for each term."""
+        eta = " + ".join(f"b{i} * c{i}" for i in range(n))
+        centred = ", ".join(f"c{i} - sum(p * c{i}) OVER (PARTITION BY t, part) AS c{i}" for i in range(n))
+        out.extend(
+            [
+                f"{name}r AS (SELECT t, part, e, d, {names}, exp({eta}) * (1 - part * e) AS r FROM cox_rows, {before})",
+                f"{name}p AS (SELECT *, r / sum(r) OVER (PARTITION BY t, part) AS p FROM {name}r)",
+                f"{name}c AS (SELECT p, e / CAST(d AS DOUBLE) / p AS y, {centred} FROM {name}p)",
+            ]
+        )
+        last = f"{name}c"
+        for k in range(n):
+            chain, last = _orthogonal([i for i in range(n) if i != k] + [k], "p", f"z{k}_", last, f"{name}o{k}")
+            out.extend(chain)
+        return last
+
+    for number in range(1, COX_STEPS + 1):
+        last = step(f"cox{number - 1}", f"s{number}")
+        moved = ", ".join(
+            f"any_value(b{k}) + sum(p * z{k}_{k} * y) / sum(p * z{k}_{k} * z{k}_{k}) AS b{k}" for k in range(n)
+        )
+        out.append(f"cox{number} AS (SELECT {moved} FROM {last}, cox{number - 1})")
+    last = step(f"cox{COX_STEPS}", "sf")
+    out.append(
+        "cox_fit AS ("
+        + " UNION ALL ".join(
+            f"SELECT '{t}' AS term, any_value(b{k}) AS estimate, 1 / sqrt(sum(p * z{k}_{k} * z{k}_{k})) AS se"
+            f" FROM {last}, cox{COX_STEPS}"
+            for k, t in enumerate(terms)
+        )
+        + ")"
+    )
+    return ",\n".join(out)
+
+
+_SEGMENT_DUMMIES = {f"segment{v}": f"CASE WHEN segment = '{v}' THEN 1 ELSE 0 END" for v in b.SEGMENTS[1:]}
+COX_FIT = f"""
+WITH {SURVIVAL}, {COVARIATES}, people AS (SELECT * FROM survival JOIN covariates USING (o_custkey)),
+{_cox(_SEGMENT_DUMMIES | {"balance": "balance / 1000"}, "people")}
+SELECT term, round(estimate, 5) AS estimate, round(se, 5) AS std_error, round(estimate / se, 5) AS statistic FROM cox_fit"""
+
 # --- a study on the survey view --------------------------------------------------------------------
 
 _STUDY_PARTS = (("total", "count", ""), ("total_by", "course", "'Regular do ensino médio'"), ("share", "grade", "grade"))
@@ -935,6 +1000,7 @@ ORACLES = {
     "km_curve": KM_CURVE,
     "km_curve_by": KM_CURVE_BY,
     "cox_one_binary": COX_ONE_BINARY,
+    "cox_fit": COX_FIT,
     "wls_one_factor": WLS_ONE_FACTOR,
     "wls_one_number": WLS_ONE_NUMBER,
     "wls_sandwich_se": WLS_SANDWICH_SE,

@@ -333,7 +333,8 @@ def km_curve_by(spark, sf_dir):
 def cox_fit(spark, sf_dir):
     people = cohort_covariates(spark, sf_dir)
     terms = [Factor("segment", F.col("segment"), b.SEGMENTS), Number("balance", F.col("balance") / 1000)]
-    return survival.fit_cox(people, terms).table(spark, "cox")
+    table = survival.fit_cox(people, terms).table(spark, "cox").select(*FIT_COLUMNS)
+    return _rounded(table, dict.fromkeys(FIT_COLUMNS[1:], 5))
 
 
 def cox_one_binary(spark, sf_dir):
