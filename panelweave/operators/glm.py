@@ -203,34 +203,32 @@ def _score_covariance(design, frame, layout, columns, beta, score) -> tuple[np.n
         keys.append("g")
     plain = SurveyDesign(frame, "w", "h", "c", "g" if design.poststratum else None, lonely_psu=design.lonely_psu)
 
-    whole = design.data.select(*places, F.col(design.weight).cast("double").alias("w"))
-    clusters = checkpointed(whole.groupBy(*keys).agg(F.sum("w").alias("w")))
-    scores = _score_rows(frame, layout, columns, beta, score, keys, names)
+    # Every cluster of the design takes part, with zero scores where it has no row in the fit.
+    scores = _score_rows(frame, layout, columns, beta, score, keys, names).withColumn("w", F.lit(0.0))
+    nothing = [F.lit(0.0).alias(s) for s in [*names, "n"]]
+    whole = design.data.select(*places, *nothing, F.col(design.weight).cast("double").alias("w"))
     sums = [F.sum(s).alias(s) for s in [*names, "n"]]
-    cells = scores.groupBy(*keys).agg(*sums)
-    used = cells
+    cells = checkpointed(scores.unionByName(whole).groupBy(*keys).agg(*sums, F.sum("w").alias("w")))
+    totals = cells
     if design.poststratum:
-        cells = checkpointed(cells)
-        used = cells.groupBy("h", "c").agg(*sums)
-        totals = residualised(plain, clusters, cells, [], names)
-        totals = totals.join(used.select("h", "c", "n"), ["h", "c"], "left")
-    else:
-        totals = used
-    totals = checkpointed(totals)
-
-    # The covariance is a weighted cross-product of cluster rows minus one of stratum rows.
-    factors = plain.stratum_factors(clusters)
-    per_cluster = totals.join(factors, "h").select(F.col("factor").alias("w"), *names)
+        used = cells.groupBy("h", "c").agg(F.sum("n").alias("n"))
+        totals = checkpointed(residualised(plain, cells, cells, [], names).join(used, ["h", "c"]))
+
+    # The covariance is a weighted cross-product of cluster rows minus one of stratum rows. Both kinds
+    # of row also say whether the fit used them, for the degrees of freedom.
+    factors = plain.stratum_factors(totals)
+    in_fit = (F.col("n") > 0).cast("double")
+    no = F.lit(0.0)
+    per_cluster = totals.join(factors, "h").select(
+        F.col("factor").alias("w"), *names, in_fit.alias("clusters"), no.alias("strata")
+    )
     per_stratum = (
         totals.groupBy("h")
-        .agg(*[F.sum(s).alias(s) for s in names])
+        .agg(*sums)
         .join(factors, "h")
-        .select((-F.col("factor") / F.col("n_psu")).alias("w"), *names)
+        .select((-F.col("factor") / F.col("n_psu")).alias("w"), *names, no.alias("clusters"), in_fit.alias("strata"))
     )
-    meat = _gram(per_cluster.unionByName(per_stratum), names)
-    in_fit = totals.where(F.col("n") > 0).groupBy("h").agg(F.count(F.lit(1)).alias("k"))
-    row = in_fit.agg(F.sum("k").alias("clusters"), F.count(F.lit(1)).alias("strata")).first()
-    return meat, int(row["clusters"] or 0), int(row["strata"])
+    return _gram(per_cluster.unionByName(per_stratum), names)
 
 
 def _score_rows(frame, layout, columns, beta, score, keys, names) -> DataFrame:
@@ -265,17 +263,19 @@ def _score_rows(frame, layout, columns, beta, score, keys, names) -> DataFrame:
     return frame.select(*keys, *layout.column_names(), "w", "y").mapInPandas(partials, schema)
 
 
-def _gram(frame: DataFrame, names: Sequence[str]) -> np.ndarray:
-    """Weighted cross-products of a frame with one row per cluster or stratum."""
-    width = len(names)
+def _gram(frame: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, int, int]:
+    """Weighted cross-products of a frame with one row per cluster or stratum, and the sums of its flags."""
+    width, names = len(names), list(names)
     upper = np.triu_indices(width)
-    names = list(names)
+    size = len(upper[0]) + 2
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(upper[0]))
+        total = np.zeros(size)
         for batch in batches:
             block, w = batch[names].to_numpy(float), batch["w"].to_numpy(float)
-            total += (block.T @ (block * w[:, None]))[upper]
+            flags = [batch["clusters"].sum(), batch["strata"].sum()]
+            total += np.concatenate([(block.T @ (block * w[:, None]))[upper], flags])
         yield vector_rows(total)
 
-    return symmetric(collected_vector(frame, partials, len(upper[0])), width)
+    total = collected_vector(frame, partials, size)
+    return symmetric(total[:-2], width), int(total[-2]), int(total[-1])
