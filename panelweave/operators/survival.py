@@ -56,7 +56,11 @@ def km_curve(
     per_time = table.groupBy(stratum.alias("stratum"), F.col(time).alias("time")).agg(*counts)
     per_population = F.array(
         *[
-            F.struct(F.lit(name).alias("population"), F.col(f"event_{i}").alias("n_event"), F.col(f"censor_{i}").alias("n_censor"))
+            F.struct(
+                F.lit(name).alias("population"),
+                F.col(f"event_{i}").alias("n_event"),
+                F.col(f"censor_{i}").alias("n_censor"),
+            )
             for i, name in enumerate(populations)
         ]
     )

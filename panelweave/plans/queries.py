@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -340,7 +339,7 @@ def cox_fit(spark, sf_dir):
 def cox_one_binary(spark, sf_dir):
     people = cohort_covariates(spark, sf_dir)
     fit = survival.fit_cox(people, [Number("solvent", (F.col("balance") > 4000).cast("int"))])
-    return fit.table(spark, "cox").select("term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"))
+    return _fit_rows(fit, spark, "cox", ("term", "estimate", "std_error"))
 
 
 FIT_COLUMNS = ("term", "estimate", "std_error", "statistic")
@@ -441,6 +440,11 @@ def residual_impute(spark, sf_dir):
     )
 
 
+def _outcome_terms():
+    squared = Number("quantity2", F.col("l_quantity") * F.col("l_quantity"))
+    return [b.flag_factor(), b.status_factor(), b.quantity(), squared]
+
+
 def _two_step_rows(fit, spark):
     both = fit.selection.table(spark, "selection").unionByName(fit.outcome.table(spark, "outcome"))
     return _rounded(both.select("model", "term", "estimate", "std_error"), {"estimate": 5, "std_error": 5})
@@ -452,7 +456,7 @@ def heckman_two_step_query(spark, sf_dir):
         selected=(F.col("l_discount") > 0).cast("int"),
         selection_terms=[b.flag_factor(), Number("tax", F.col("l_tax"))],
         outcome=b.log_price(),
-        outcome_terms=[b.flag_factor(), b.status_factor(), b.quantity(), Number("quantity2", F.col("l_quantity") * F.col("l_quantity"))],
+        outcome_terms=_outcome_terms(),
     )
     return _two_step_rows(fit, spark)
 
@@ -464,7 +468,7 @@ def heckman_one_number(spark, sf_dir):
         selected=(F.col("l_discount") > 0).cast("int"),
         selection_terms=[Number("tax", F.col("l_tax"))],
         outcome=b.log_price(),
-        outcome_terms=[b.flag_factor(), b.status_factor(), b.quantity(), Number("quantity2", F.col("l_quantity") * F.col("l_quantity"))],
+        outcome_terms=_outcome_terms(),
     )
     return _two_step_rows(fit, spark)
 

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from panelweave.operators import panel
 
-ATTENDS, LEFT = F.lit, F.lit
 ROWS = [
     ("never_left", 1, "S"), ("never_left", 2, "S"), ("never_left", 3, None), ("never_left", 4, "S"),
     ("absent_then_out", 1, "S"), ("absent_then_out", 3, "N"),
