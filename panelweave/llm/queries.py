@@ -7,11 +7,23 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import bpe, exact_dedup, language, mixing, ngram_join
+from panelweave.llm import archives, bpe, exact_dedup, language, license_scan, mixing, ngram_join, pseudonyms, url_trust, vector_dedup
 
 # The vocabulary's place is a parameter; the file is never part of the repository.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 VOCABULARY = "word_bpe_49k.json"
+URL_RULES = tuple(
+    url_trust.Rule(*rule)
+    for rule in (
+        ("allow", "org", "/"),
+        ("block", "example.org", "/es/"),
+        ("block", "example.org", "/en/1"),
+        ("allow", "com", "/fr/"),
+        ("block", "com", "/de/"),
+    )
+)
+# Only a stand-in: whoever holds the key can undo the pseudonyms, so a deployment passes its own.
+PSEUDONYM_KEY = os.environ.get("PSEUDONYM_KEY", "public demonstration key").encode()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +39,28 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
+def op1_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.find_near(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a folder per source and thousand ids, every tenth document the folder's licence file."""
+    docs = _table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("LICENSE-"), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), name)
+    found = license_scan.scan(docs.select("doc_id", "text", path.alias("path")), "doc_id", "path", "text")
+    return found.withColumnRenamed("file_id", "doc_id")
+
+
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY).withColumn("n_spans", F.size("spans").cast("long"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -61,6 +95,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archived_pages(_table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.fit(docs.select("doc_id", "text", "lang"), ~held_out())
@@ -68,4 +106,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op5_source_mix, op6_bpe_round_trip, op7_ngram_links, op8_exact_dedup, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_verdicts,
+        op2_near_vectors,
+        op3_license_scan,
+        op4_pseudonyms,
+        op5_source_mix,
+        op6_bpe_round_trip,
+        op7_ngram_links,
+        op8_exact_dedup,
+        op9_archives,
+        op10_language_id,
+    )
+}
