@@ -67,20 +67,31 @@ class SurveyDesign:
 def poststratify(design: SurveyDesign, group: str, totals: Mapping | str, adjusted: str = "weight_adj") -> SurveyDesign:
     """Scale the weights so that each post-stratum sums to its known total.
 
-    `totals` maps each group to its total, or names a column that carries the total on every row.
+    `totals` maps each group to its total, or names a column that carries the total on every row. A group
+    without one known total is refused in either form, as is one whose weights don't add up to anything.
     """
     keys = [*design.by, group]
+    text = F.coalesce(F.col(group).cast("string"), F.lit("NULL"))
     if isinstance(totals, str):
         sums = design.data.groupBy(*keys).agg(
-            F.sum(design.weight).alias("__weight"), F.max(totals).cast("double").alias("__total")
+            F.sum(design.weight).alias("__weight"),
+            F.min(totals).cast("double").alias("__total"),
+            F.max(totals).cast("double").alias("__most"),
+            F.count_if(F.col(totals).isNull()).alias("__unknown"),
         )
+        known = (F.col("__unknown") == 0) & (F.col("__total") == F.col("__most")) & F.col(group).isNotNull()
+        refused = F.raise_error(F.concat(F.lit("post-stratum without one known total: "), text)).cast("double")
+        sums = sums.withColumn("__total", F.when(known, F.col("__total")).otherwise(refused))
     else:
         known = F.create_map(*[F.lit(x) for k, v in totals.items() for x in (k, float(v))])
         sums = design.data.groupBy(*keys).agg(F.sum(design.weight).alias("__weight"))
-        unknown = F.raise_error(F.concat(F.lit("post-stratum without a known total: "), F.col(group).cast("string")))
+        unknown = F.raise_error(F.concat(F.lit("post-stratum without a known total: "), text))
         sums = sums.withColumn("__total", F.coalesce(known[F.col(group)], unknown.cast("double")))
-    factors = sums.select(*keys, (F.col("__total") / F.col("__weight")).alias("__factor"))
-    # One row per post-stratum, written once: counted, then broadcast, without summing the rows twice.
+    weightless = F.raise_error(F.concat(F.lit("post-stratum without weight: "), text)).cast("double")
+    factors = sums.select(
+        *keys, F.when(F.col("__weight") > 0, F.col("__total") / F.col("__weight")).otherwise(weightless).alias("__factor")
+    )
+    # One row per post-stratum, written once, so that the rows are not summed twice.
     joined = lookup_join(design.data, checkpointed(factors), keys)
     data = joined.withColumn(adjusted, F.col(design.weight) * F.col("__factor")).drop("__factor")
     return replace(design, data=data, weight=adjusted, poststratum=group)

@@ -11,7 +11,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
-from operator import or_
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,8 @@ EVERYONE = "all"
 LEVEL_SEPARATOR = "."
 DESIGN_ITEM = "design"
 NO_LEVEL = ""
+# Sums a task adds up before it hands them on.
+HELD_SUMS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -59,7 +61,7 @@ def estimates(
         result = _replicated(design, _replicate_cells(design, wanted, domains))
     elif se == "taylor":
         clusters = design.cluster_columns
-        sums = checkpointed(_item_sums(design, wanted, domains, clusters))
+        sums = checkpointed(_item_sums(_with_known_places(design), wanted, domains, clusters))
         places = sums.where(F.col("item") == DESIGN_ITEM).select(*design.by, *clusters, "w")
         result = _taylor(design, _cells(design, sums, domains, clusters), places)
     else:
@@ -92,6 +94,17 @@ def svy_interaction(
     return estimates(design, Statistics(interactions={name: columns}, levels=levels), domains, se)
 
 
+def _with_known_places(design: SurveyDesign) -> SurveyDesign:
+    """Refuse rows without a period, stratum or cluster: a variance cannot place them, and must not lose them."""
+    checked = {}
+    for name in design.cluster_keys:
+        field_ = design.data.schema[name]
+        if field_.nullable:
+            missing = F.raise_error(F.lit(f"a row of the design has no {name}")).cast(field_.dataType)
+            checked[name] = F.coalesce(F.col(name), missing)
+    return design.with_columns(checked)
+
+
 def _items(wanted: Statistics) -> dict[str, Column]:
     """Each statistic as a struct (level, y), NULL where the row does not take part."""
 
@@ -170,10 +183,10 @@ def _cells(design: SurveyDesign, sums: DataFrame, domains: Mapping[str, Column],
 
 
 def _replicate_cells(design: SurveyDesign, wanted: Statistics, domains: Mapping[str, Column]) -> DataFrame:
-    """Sums for the full weight and every replicate weight: arrays ys and xs, the full weight first.
+    """Sums y and x for the full weight (pos 0) and every replicate weight.
 
-    Hundreds of weights per row make a matrix product: categories by rows times rows by weights. Each
-    task multiplies its batches and hands on one pair of arrays per category.
+    Each task sorts its batches by category and adds up the weights of each, all weights at once. It hands
+    on one pair of arrays per category, early when it holds many.
     """
     items, inside, by = _items(wanted), _inside(domains), list(design.by)
     weights = [design.weight, *design.replicates]
@@ -189,29 +202,38 @@ def _replicate_cells(design: SurveyDesign, wanted: Statistics, domains: Mapping[
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[tuple, np.ndarray] = {}
+
+        def add(place: tuple, levels, kind: str, sums: np.ndarray) -> None:
+            for level, row in zip(levels, sums, strict=True):
+                key = (*place[:-1], level, place[-1], kind)
+                totals[key] = totals.get(key, 0.0) + row
+
+        def handed_on() -> pd.DataFrame:
+            out = [(*key[:-1], totals.get((*key[:-1], "y"), x).tolist(), x.tolist()) for key, x in totals.items() if key[-1] == "x"]
+            return pd.DataFrame(out, columns=[*by, "item", "level", "domain", "ys", "xs"])
+
         for batch in batches:
             for period, part in batch.groupby(by, sort=False, dropna=False) if by else [((), batch)]:
                 for k, flag in enumerate(flags):
                     chosen = part[part[flag].to_numpy(bool)]
                     if len(chosen) == 0:
                         continue
-                    labels, blocks = [], []
+                    weight = chosen[weight_names].to_numpy(float)
                     for i, mean in enumerate(is_mean):
-                        codes, found = pd.factorize(chosen[f"l{i}"])
-                        hits = (codes[:, None] == np.arange(len(found))).astype(float)
-                        blocks.append(hits)
+                        codes, found = pd.factorize(chosen[f"l{i}"], sort=True)
+                        order = np.argsort(codes, kind="stable")[(codes < 0).sum() :]
+                        if len(order) == 0:
+                            continue
+                        starts = np.searchsorted(codes[order], np.arange(len(found)))
+                        add((*period, i, k), found, "x", np.add.reduceat(weight[order], starts))
                         # For shares and totals y is the weight itself, so one column serves both sums.
                         if mean:
-                            blocks.append(hits * np.nan_to_num(chosen[f"v{i}"].to_numpy(float))[:, None])
-                        labels += [(i, level, "x") for level in found] + [(i, level, "y") for level in found if mean]
-                    sums = np.hstack(blocks).T @ chosen[weight_names].to_numpy(float)
-                    for (i, level, kind), row in zip(labels, sums, strict=True):
-                        key = (*period, i, level, k, kind)
-                        totals[key] = totals.get(key, 0.0) + row
-        out = [
-            (*key[:-1], totals.get((*key[:-1], "y"), x).tolist(), x.tolist()) for key, x in totals.items() if key[-1] == "x"
-        ]
-        yield pd.DataFrame(out, columns=[*by, "item", "level", "domain", "ys", "xs"])
+                            value = chosen[f"v{i}"].to_numpy(float)[order, None]
+                            add((*period, i, k), found, "y", np.add.reduceat(weight[order] * value, starts))
+            if len(totals) * len(weights) > HELD_SUMS:
+                yield handed_on()
+                totals.clear()
+        yield handed_on()
 
     schema = f"{by_types}item int, level string, domain int, ys array<double>, xs array<double>"
     keys = [*by, "item", "level", "domain"]
@@ -220,17 +242,10 @@ def _replicate_cells(design: SurveyDesign, wanted: Statistics, domains: Mapping[
         .select(*keys, F.posexplode(F.arrays_zip("ys", "xs")).alias("pos", "sums"))
         .groupBy(*keys, "pos")
         .agg(F.sum("sums.ys").alias("y"), F.sum("sums.xs").alias("x"))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "y", "x"))).alias("sums"))
     )
     item_names, domain_names = (F.array(*[F.lit(n) for n in names]) for names in (items, domains))
     return added.select(
-        *by,
-        domain_names[F.col("domain")].alias("subpop"),
-        *_named(item_names[F.col("item")]),
-        "level",
-        F.col("sums.y").alias("ys"),
-        F.col("sums.x").alias("xs"),
+        *by, domain_names[F.col("domain")].alias("subpop"), *_named(item_names[F.col("item")]), "level", "pos", "y", "x"
     )
 
 
@@ -302,44 +317,33 @@ def _taylor(design: SurveyDesign, cells: DataFrame, clusters: DataFrame) -> Data
 def _replicated(design: SurveyDesign, cells: DataFrame) -> DataFrame:
     """Standard errors from replicate weights: mean squared distance from the full-sample estimate."""
     variable = _variable_keys(design)
-    # The categories of one variable: a handful of rows, whose x arrays add up to the denominators.
-    gathered = cells.groupBy(*variable).agg(F.collect_list(F.struct("level", "ys", "xs")).alias("cells"))
-    ones = F.transform(F.col("cells")[0]["xs"], lambda x: F.lit(1.0))
-    zeros = F.transform(ones, lambda x: F.lit(0.0))
-    added = F.aggregate(F.col("cells"), zeros, lambda total, c: F.zip_with(total, c["xs"], lambda t, x: t + x))
-    rows = gathered.withColumn("bottoms", F.when(_is_total(), ones).otherwise(added)).select(
-        *variable, "bottoms", F.inline("cells")
-    )
-    estimates = rows.select(
-        *variable, "level", F.zip_with("ys", "bottoms", lambda y, x: F.try_divide(y, x)).alias("e")
-    ).withColumn("value", F.col("e")[0])
+    # Denominators are one row per variable and weight; the window partitions hold the categories' numbers.
+    bottom = F.sum("x").over(Window.partitionBy(*variable, "pos"))
+    each = cells.withColumn("e", F.try_divide("y", F.when(_is_total(), F.lit(1.0)).otherwise(bottom)))
+    # One estimate has as many values as there are weights.
+    gathered = each.groupBy(*variable, "level").agg(F.sort_array(F.collect_list(F.struct("pos", "e"))).alias("es"))
+    gathered = gathered.select(*variable, "level", F.col("es.e").alias("e")).withColumn("value", F.col("e")[0])
     squares = F.transform("e", lambda e: (e - F.col("value")) * (e - F.col("value")))
     variance = F.aggregate(squares, F.lit(0.0), lambda total, q: total + q) / F.lit(float(len(design.replicates)))
-    return estimates.select(*variable, "level", "value", F.sqrt(variance).alias("std_error"))
+    return gathered.select(*variable, "level", "value", F.sqrt(variance).alias("std_error"))
 
 
 def _with_empty_combinations(design: SurveyDesign, wanted: Statistics, result: DataFrame) -> DataFrame:
     """Add the declared combinations that nobody has, with value 0.
 
-    The categories of one variable are gathered into a map, which holds a handful of entries, so the
-    estimates are computed once.
+    The finished estimates are written once; of the interactions only their variables and levels are compared.
     """
     variable = _variable_keys(design)
+    result = checkpointed(result)
     values = [c for c in result.columns if c not in (*variable, "level")]
     declared = F.array().cast("array<string>")
     for name, columns in wanted.interactions.items():
         combined = [LEVEL_SEPARATOR.join(parts) for parts in product(*[wanted.levels[c] for c in columns])]
         is_this = (F.col("stat") == SHARE) & (F.col("var") == name)
         declared = F.when(is_this, F.array(*[F.lit(c) for c in combined])).otherwise(declared)
-    found = F.map_from_entries(F.collect_list(F.struct("level", F.struct(*values))))
-    return (
-        result.groupBy(*variable)
-        .agg(found.alias("__found"))
-        .select(*variable, "__found", F.explode(F.array_union(F.map_keys("__found"), declared)).alias("level"))
-        .withColumn("__values", F.col("__found")[F.col("level")])
-        .select(
-            *variable,
-            "level",
-            *[F.when(F.col("__values").isNull(), 0.0).otherwise(F.col("__values")[v]).alias(v) for v in values],
-        )
-    )
+    keys = [*variable, "level"]
+    expected = result.select(*variable).distinct().withColumn("level", F.explode(declared))
+    found = result.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    absent = expected.join(found, same, "left_anti")
+    return result.unionByName(absent.select(*keys, *[F.lit(0.0).alias(v) for v in values]))

@@ -15,6 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelweave.functions.scalars import (
+    CENTRE_BOTTOM,
+    CENTRE_EDGE,
+    CENTRE_TOP,
+    INV_SQRT_2PI,
+    MIDDLE_BOTTOM,
+    MIDDLE_EDGE,
+    MIDDLE_TOP,
+    TAIL_BOTTOM,
+    TAIL_TOP,
+)
 from panelweave.operators.design import SurveyDesign, residualised
 from panelweave.operators.model import (
     Fit,
@@ -33,7 +44,6 @@ from panelweave.session import checkpointed, staged
 MAX_ITERATIONS = 25
 MAX_HALVINGS = 10
 DEVIANCE_TOLERANCE = 1e-10
-SMALLEST_PROBABILITY = 1e-300
 # Partial cluster sums a task keeps in memory before it hands them on.
 HELD_CLUSTERS = 50_000
 
@@ -81,10 +91,14 @@ def fit_probit(
                 break
             previous = deviance
             for _ in range(MAX_HALVINGS):
-                information, score, deviance, _, _ = _probit_sums(frame, layout, beta + step)
-                if math.isfinite(deviance) and deviance <= previous * (1 + 1e-9) + 1e-9:
+                tried = _probit_sums(frame, layout, beta + step)
+                if math.isfinite(tried[2]) and tried[2] <= previous * (1 + 1e-9) + 1e-9:
                     break
                 step = step / 2.0
+            else:
+                # No step of this direction helps: the accepted coefficients stay.
+                break
+            information, score, deviance = tried[:3]
             beta = beta + step
             if abs(deviance - previous) / (abs(deviance) + 0.1) < DEVIANCE_TOLERANCE:
                 converged = True
@@ -160,16 +174,31 @@ def _probit_sums(frame: DataFrame, layout: Layout, beta: np.ndarray):
 def _probit_parts(eta: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per row: score and Fisher weight with respect to the linear predictor, and the log-likelihood.
 
-    Both tails come from erfc directly, so neither suffers from 1 - p.
+    Far from the centre density and tail share the factor exp(-eta^2 / 2). It cancels in their ratio and is a
+    plain term of the logarithm, so both stay exact however small the probability is.
     """
-    root = math.sqrt(2.0)
-    above = np.fromiter(map(math.erfc, (-eta / root).tolist()), float, len(eta)) * 0.5
-    below = np.fromiter(map(math.erfc, (eta / root).tolist()), float, len(eta)) * 0.5
-    above, below = np.maximum(above, SMALLEST_PROBABILITY), np.maximum(below, SMALLEST_PROBABILITY)
-    density = np.exp(-0.5 * eta * eta) / math.sqrt(2.0 * math.pi)
-    score = density * (y / above - (1.0 - y) / below)
-    fisher = density * density / (above * below)
-    return score, fisher, y * np.log(above) + (1.0 - y) * np.log(below)
+    size = np.abs(eta)
+    central = size <= CENTRE_EDGE
+    square = eta * eta
+    far = np.where(central, 1.0, size)
+    near_zero = np.where(central, eta, 0.0)
+    half = near_zero * np.polyval(CENTRE_TOP, near_zero**2) / np.polyval(CENTRE_BOTTOM, near_zero**2)
+    middle = np.minimum(far, MIDDLE_EDGE)
+    inverse = 1.0 / np.maximum(far, MIDDLE_EDGE) ** 2
+    beyond = (INV_SQRT_2PI - inverse * np.polyval(TAIL_TOP, inverse) / np.polyval(TAIL_BOTTOM, inverse)) / far
+    scaled = np.where(far <= MIDDLE_EDGE, np.polyval(MIDDLE_TOP, middle) / np.polyval(MIDDLE_BOTTOM, middle), beyond)
+    falling = np.exp(-0.5 * square)
+    small = np.where(central, 0.5 - np.abs(half), scaled * falling)
+    density = INV_SQRT_2PI * falling
+    # Of the two probabilities the smaller one is in scaled form, the larger one its complement.
+    with np.errstate(divide="ignore"):
+        log_small = np.where(central, np.log(0.5 - np.abs(half)), np.log(scaled) - 0.5 * square)
+    ratio_small = np.where(central, density / (0.5 - np.abs(half)), INV_SQRT_2PI / scaled)
+    ratio_large, log_large = density / (1.0 - small), np.log1p(-small)
+    up = eta >= 0
+    above, below = np.where(up, ratio_large, ratio_small), np.where(up, ratio_small, ratio_large)
+    log_above, log_below = np.where(up, log_large, log_small), np.where(up, log_small, log_large)
+    return y * above - (1.0 - y) * below, above * below, y * log_above + (1.0 - y) * log_below
 
 
 def _linear_score(eta: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -32,15 +32,15 @@ def wave_states(
 ) -> DataFrame:
     """One row per person with each named state of its wave.
 
-    With `order`, the last row of the person in the wave gives the state; without it a person has one
-    row per wave (the largest state is taken otherwise).
+    With `order`, the last row of the person in the wave gives the state. Without it the largest state
+    counts; operators code states so that attending outweighs having left.
     """
 
     def state(at: int, value: Column) -> Column:
         here = F.col(wave) == at
         if not order:
             return F.max(F.when(here, value))
-        return F.max_by(value, F.when(here, order_key(order)))
+        return F.max_by(value, F.when(here, order_key(order, panel.schema)))
 
     columns = [state(at, value).alias(name) for name, (at, value) in states.items()]
     return panel.groupBy(person).agg(*columns, *extra)
@@ -104,10 +104,10 @@ def pair_dropouts(
     states: dict[str, tuple[int, Column]] = {}
     for w in waves:
         states[f"__from{w}"] = (w, F.when(eligible & attends, 1).otherwise(0))
-        states[f"__to{w}"] = (w, F.when(left, 1).otherwise(0))
+        states[f"__to{w}"] = (w, F.when(left, LEFT).otherwise(ATTENDS))
     people = wave_states(panel.where(F.col(wave).isin(*waves)), person, wave, states, order)
     hits = [
-        F.when((F.col(f"__from{a}") == 1) & (F.col(f"__to{b}") == 1), F.lit(a))
+        F.when((F.col(f"__from{a}") == 1) & (F.col(f"__to{b}") == LEFT), F.lit(a))
         for a, b in zip(waves, waves[1:], strict=False)
     ]
     return people.select(person, F.explode(F.array_compact(F.array(*hits))).alias(wave))
@@ -163,11 +163,11 @@ def evasion_flags(
         "__attended": (first, F.when(attends, 1).otherwise(0)),
         "__final": (first, F.when(last_grade, 1).otherwise(0)),
         "__follow": (second, F.when(follow_up, 1).otherwise(0)),
-        "__left": (second, F.when(left, 1).otherwise(0)),
+        "__left": (second, F.when(left, LEFT).otherwise(ATTENDS)),
         "__nograde": (second, F.when(grade_missing, 1).otherwise(0)),
     }
     people = wave_states(panel.where(F.col(wave).isin(first, second)), person, wave, states, order)
-    gone = (F.col("__attended") == 1) & (F.col("__left") == 1)
+    gone = (F.col("__attended") == 1) & (F.col("__left") == LEFT)
     graduated = (F.col("__final") == 1) & (F.col("__nograde") == 1)
     return people.where((F.col("__scope") == 1) & (F.col("__follow") == 1)).select(
         person, F.when(gone & ~graduated, 1).otherwise(0).alias("evaded")

@@ -16,7 +16,9 @@ from panelweave.operators.model import Fit, Number, Term
 # Donors are numbered bucket by bucket, a bucket being this many leading hex digits of the donor's hash.
 BUCKET_DIGITS = 4
 # A donor row that occurs very often is numbered in pieces of this many, spread over tasks.
-PIECE = 100_000
+PIECE = 6_400_000
+# Numbers that targets and donors meet by; a piece takes part in every block it reaches into.
+BLOCK = 64
 # Leading hex digits of a hash that make a uniform number: 52 bits, which a double holds exactly.
 UNIFORM_DIGITS = 13
 MILLS = "mills"
@@ -37,21 +39,22 @@ def draw_residuals(
     theirs. So the result depends only on the data: not on partitions, task order or a lost executor.
     Keys must tell rows apart: targets with equal keys draw the same donor.
     """
-    numbered, size = _numbered(donors, donor_keys, value)
+    blocks, size = _numbered(donors, donor_keys, value)
     hashed = F.md5(text_key(*target_keys, F.lit(seed), sep="|"))
     uniform = F.conv(F.substring(hashed, 1, UNIFORM_DIGITS), 16, 10).cast("long") / F.lit(float(16**UNIFORM_DIGITS))
     position = F.least(F.floor(uniform * size), size - 1).cast("long")
-    picked = targets.withColumn("__position", position).join(
-        numbered.withColumnRenamed(value, drawn), "__position", "left"
-    )
-    return picked.drop("__position")
+    placed = targets.withColumn("__position", position)
+    same_block = F.floor(F.col("__position") / BLOCK) == F.col("__block")
+    inside = F.col("__position").between(F.col("__first"), F.col("__last"))
+    picked = placed.join(blocks.withColumnRenamed(value, drawn), same_block & inside, "left")
+    return picked.drop("__position", "__block", "__first", "__last")
 
 
 def _numbered(donors: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, Column]:
-    """Donor values numbered 0 .. n-1 without gaps in the order of their hash, and n as a scalar.
+    """Donor values with the first and last of their numbers 0 .. n-1, in the order of their hash, and n as a scalar.
 
-    Copies of a donor are one row with a count until the end, so a row repeated without bound neither
-    fills a bucket nor a task.
+    Copies of a donor share one row per block of numbers, so a row repeated without bound neither fills a
+    bucket nor a task, and a block holds at most BLOCK rows for a target to look through.
     """
     known = donors.where(F.col(value).isNotNull()).select(F.md5(text_key(*keys, sep="|")).alias("__hash"), value)
     distinct = known.groupBy("__hash", value).agg(F.count(F.lit(1)).alias("__copies"))
@@ -72,8 +75,10 @@ def _numbered(donors: DataFrame, keys: Sequence[str], value: str) -> tuple[DataF
         .select(value, "__first", "__last")
         .repartition("__first")
     )
-    numbered = pieces.select(value, F.explode(F.sequence("__first", "__last")).alias("__position"))
-    return numbered, totals.agg(F.sum("__total")).scalar()
+    block = F.explode(F.sequence(F.floor(F.col("__first") / BLOCK), F.floor(F.col("__last") / BLOCK)))
+    # Dealt out after the rows have multiplied, so that adaptive execution measures what it may broadcast.
+    blocks = pieces.select(value, "__first", "__last", block.alias("__block")).repartition("__block")
+    return blocks, totals.agg(F.sum("__total")).scalar()
 
 
 def impute_outcome(

@@ -8,9 +8,10 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Lookup tables up to this many rows are broadcast; larger ones are joined by shuffle.
-LOOKUP_ROWS = 100_000
+# Types whose values are whole numbers of at most 18 digits.
+SHORT = (T.DateType, T.TimestampType, T.TimestampNTZType, T.ByteType, T.ShortType, T.IntegerType)
 
 
 def attach_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -29,15 +30,36 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how:
     return rows.join(renamed, same & route, how).drop(*right_keys)
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """Left join to a lookup table, broadcast only after counting that it is small."""
-    small = lookup.limit(max_rows + 1).count() <= max_rows
-    return rows.join(F.broadcast(lookup) if small else lookup, list(keys), "left")
+def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join to a lookup table with unique keys; Spark broadcasts it if its measured size allows."""
+    return attach_groups(rows, lookup, keys)
 
 
-def order_key(columns: Sequence[str]) -> Column:
-    """One sortable value from several columns; a single number keeps the aggregate in hash mode."""
-    return F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
+def order_key(columns: Sequence[str], schema: T.StructType | None = None) -> Column:
+    """One sortable value from several columns, missing values first.
+
+    A time, date or short whole number followed by another whole number is packed into one number, which keeps the aggregate in hash
+    mode; anything else becomes a struct, by which an aggregate sorts.
+    """
+    if len(columns) == 1:
+        return F.col(columns[0])
+    kinds = [schema[c].dataType for c in columns] if schema else []
+    if len(kinds) == 2 and isinstance(kinds[0], SHORT) and isinstance(kinds[1], (*SHORT, T.LongType)):
+        first, second = (_whole(c, k) for c, k in zip(columns, kinds, strict=True))
+        high = F.coalesce(first.cast("decimal(18,0)"), F.lit("-900000000000000000").cast("decimal(18,0)"))
+        low = F.coalesce(second.cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)"))
+        return (high * F.lit(str(2**65)).cast("decimal(20,0)") + low).cast("decimal(38,0)")
+    return F.struct(*columns)
+
+
+def _whole(name: str, kind: T.DataType) -> Column:
+    if isinstance(kind, T.DateType):
+        return F.unix_date(name)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(name)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', `{name}`)")
+    return F.col(name)
 
 
 def _right(key: str) -> str:

@@ -14,24 +14,28 @@ from panelweave.operators.model import (
     Fit,
     Layout,
     Term,
+    collected_vector,
     complete_rows,
     independent_columns,
     model_frame,
     solve_scaled,
     summed_vectors,
     symmetric,
+    vector_rows,
 )
-from panelweave.session import staged
+from panelweave.session import checkpointed, staged
 
 OVERALL = "all"
 Z_95 = 1.959963984540054
 MAX_ITERATIONS = 20
 MAX_HALVINGS = 10
 LIKELIHOOD_TOLERANCE = 1e-9
-# The driver holds the risk sums of every distinct time; a panel has a handful of waves.
-MAX_TIMES = 1_000
-# Up to this many tied events are summed one by one; more use the closed form of the same sums.
-DIRECT_TIES = 1000
+# Of the events tied at a time the last ones, where the summands bend most, are summed one by one.
+DIRECT_TIES = 64
+# Sums over later times are added up within so many ranges of time, and over the ranges before.
+TIME_RANGES = 256
+# Values a task adds up before it hands them on.
+HELD_VALUES = 4_000_000
 
 
 def km_curve(
@@ -109,8 +113,8 @@ def fit_cox(
 ) -> Fit:
     """Proportional hazards with Efron's handling of ties, by Newton's method.
 
-    Each pass adds up risk sums by time on the executors. The driver sees one row per distinct time,
-    which for a panel is the number of waves, and the tied events at a time cost the same however many.
+    Each pass adds up risk sums by time, then over later times, and reduces them to the score and the
+    information on the executors: times and ties may be as many as there are people.
     """
     layout = Layout(terms, intercept=False)
     columns = [F.col(time).cast("double").alias("time"), F.col(status).cast("double").alias("status")]
@@ -118,10 +122,8 @@ def fit_cox(
         frame = complete_rows(rows)
         width = layout.width
         center, beta, step = np.zeros(width), np.zeros(width), np.zeros(width)
-        sums = _risk_sums(frame, layout, beta, center)
-        n, counts = int(sums["n"].sum()), sums["counts"].sum(axis=0)
-        center = sums["s1"].sum(axis=0) / max(n, 1)
-        likelihood, score, information = _efron(sums, beta, np.zeros(width))
+        n, counts, center = _column_sums(frame, layout)
+        likelihood, score, information = _efron_sums(frame, layout, beta, center)
         kept = layout.kept(counts)
         columns = independent_columns(information, kept)
         converged = False
@@ -132,11 +134,14 @@ def fit_cox(
                 break
             previous = likelihood
             for _ in range(MAX_HALVINGS):
-                sums = _risk_sums(frame, layout, beta + step, center)
-                likelihood, score, information = _efron(sums, beta + step, center)
-                if math.isfinite(likelihood) and likelihood >= previous - 1e-9 * abs(previous):
+                tried = _efron_sums(frame, layout, beta + step, center)
+                if math.isfinite(tried[0]) and tried[0] >= previous - 1e-9 * abs(previous):
                     break
                 step = step / 2.0
+            else:
+                # No step of this direction helps: the accepted coefficients stay.
+                break
+            likelihood, score, information = tried
             beta = beta + step
             if abs(likelihood - previous) <= LIKELIHOOD_TOLERANCE * abs(likelihood):
                 converged = True
@@ -148,17 +153,31 @@ def fit_cox(
         return Fit(layout, names, coefficients, covariance, None, converged, n)
 
 
-def _risk_sums(frame: DataFrame, layout: Layout, beta: np.ndarray, center: np.ndarray) -> dict[str, np.ndarray]:
-    """Sums by time, in ascending order of time.
+def _column_sums(frame: DataFrame, layout: Layout) -> tuple[int, np.ndarray, np.ndarray]:
+    """People, rows where each column is not zero, and the mean of each column."""
+    build, width = layout.matrix_builder(), layout.width
+
+    def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(2 * width + 1)
+        for batch in batches:
+            x = build(batch)
+            total += np.concatenate([x.sum(axis=0), (x != 0).sum(axis=0), [len(x)]])
+        yield vector_rows(total)
+
+    total = collected_vector(frame.select(*layout.column_names()), partials, 2 * width + 1)
+    n = int(total[-1])
+    return n, total[width : 2 * width], total[:width] / max(n, 1)
+
+
+def _risk_sums(frame: DataFrame, layout: Layout, beta: np.ndarray, center: np.ndarray) -> DataFrame:
+    """(time, pos, value): the sums of one time, by position.
 
-    s0, s1, s2 add exp(x b), times x and x x'; d0, d1, d2 do so over the events only. dx adds x over the
-    events, d counts them, n counts people and counts the rows where a column is not zero.
+    The positions are those of exp(x b), times x and times x x' over everyone, the same over the events only,
+    x over the events, and the number of events.
     """
     build, width = layout.matrix_builder(), layout.width
     upper = np.triu_indices(width)
-    cells = len(upper[0])
-    sizes = {"s0": 1, "s1": width, "s2": cells, "d0": 1, "d1": width, "d2": cells, "dx": width, "d": 1, "n": 1, "counts": width}
-    size = sum(sizes.values())
+    size = _positions(width)
 
     def moments(x: np.ndarray, risk: np.ndarray) -> list[np.ndarray]:
         weighted = x * risk[:, None]
@@ -170,89 +189,111 @@ def _risk_sums(frame: DataFrame, layout: Layout, beta: np.ndarray, center: np.nd
             x, event = build(batch), batch["status"].to_numpy(float) == 1.0
             risk = np.exp((x - center) @ beta)
             times = batch["time"].to_numpy(float)
-            for t in np.unique(times):
-                here = times == t
-                died = here & event
-                totals[t] = totals.get(t, 0.0) + np.concatenate(
-                    [
-                        *moments(x[here], risk[here]),
-                        *moments(x[died], risk[died]),
-                        x[died].sum(axis=0),
-                        [died.sum(), here.sum()],
-                        (x[here] != 0).sum(axis=0),
-                    ]
-                )
-        for t, vector in totals.items():
-            yield pd.DataFrame({"time": t, "pos": np.arange(size, dtype="int32"), "value": vector})
+            order = np.argsort(times, kind="stable")
+            starts = np.flatnonzero(np.diff(times[order], prepend=np.nan) != 0)
+            for here in np.split(order, starts[1:]):
+                died = here[event[here]]
+                values = [*moments(x[here], risk[here]), *moments(x[died], risk[died]), x[died].sum(axis=0), [len(died)]]
+                t = float(times[here[0]])
+                totals[t] = totals.get(t, 0.0) + np.concatenate(values)
+            if len(totals) * size > HELD_VALUES:
+                yield _long(totals, size)
+                totals = {}
+        if totals:
+            yield _long(totals, size)
 
     names = ["time", "status", *layout.column_names()]
-    sums = summed_vectors(frame.select(*names), partials, "time double")
-    rows = sums.limit(MAX_TIMES * size + 1).collect()
-    if len(rows) > MAX_TIMES * size:
-        raise ValueError(f"more than {MAX_TIMES} distinct times: Cox times are waves of a panel")
-    times = sorted({r["time"] for r in rows})
-    index = {t: i for i, t in enumerate(times)}
-    table = np.zeros((len(times), size))
-    for r in rows:
-        table[index[r["time"]], r["pos"]] = r["value"]
-    out, start = {}, 0
-    for name, length in sizes.items():
-        block = table[:, start : start + length]
-        if length == cells and name in ("s2", "d2"):
-            block = np.stack([symmetric(b, width) for b in block]) if len(times) else np.zeros((0, width, width))
-        elif name in ("s0", "d0", "d", "n"):
-            block = block[:, 0]
-        out[name] = block
-        start += length
-    return out
-
-
-def _efron(sums: dict[str, np.ndarray], beta: np.ndarray, center: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log-likelihood, score and information from the sums by time.
+    return summed_vectors(frame.select(*names), partials, "time double")
+
+
+def _positions(width: int) -> int:
+    return 2 * (1 + width + width * (width + 1) // 2) + width + 1
+
+
+def _long(totals: Mapping[float, np.ndarray], size: int) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "time": np.repeat(np.fromiter(totals, float), size),
+            "pos": np.tile(np.arange(size, dtype="int32"), len(totals)),
+            "value": np.concatenate(list(totals.values())),
+        }
+    )
+
+
+def _efron_sums(frame: DataFrame, layout: Layout, beta: np.ndarray, center: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood, score and information: one small vector from each time with events, added up.
+
+    Sums over later times are prefix sums in two levels, over ranges of time and within each range.
+    """
+    width = layout.width
+    cells = width * (width + 1) // 2
+    risk = 1 + width + cells
+    sums = checkpointed(_risk_sums(frame, layout, beta, center))
+    low, high = sums.agg(F.min("time"), F.max("time")).first()
+    if low is None:
+        return 0.0, np.zeros(width), np.zeros((width, width))
+    span = (high - low) or 1.0
+    ranged = sums.withColumn("part", F.floor((F.col("time") - low) / span * (TIME_RANGES - 1)).cast("int"))
+    later = Window.partitionBy("pos").orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.where(F.col("pos") < risk).groupBy("part", "pos").agg(F.sum("value").alias("value"))
+    parts = parts.select("part", "pos", F.coalesce(F.sum("value").over(later), F.lit(0.0)).alias("after"))
+    within = Window.partitionBy("part", "pos").orderBy(F.col("time").desc())
+    standing = ranged.where(F.col("pos") < risk).withColumn("value", F.sum("value").over(within)).join(parts, ["part", "pos"])
+    standing = standing.select("time", "pos", (F.col("value") + F.col("after")).alias("value"))
+    events = sums.where(F.col("pos") >= risk).select("time", "pos", "value")
+    # One time has as many values as there are positions, which the number of terms fixes.
+    per_time = standing.unionByName(events).groupBy("time").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("sums"))
+    per_time = per_time.select(F.col("sums.value").alias("sums")).where(F.element_at("sums", -1) > 0)
+    size = 1 + width + cells
+    upper = np.triu_indices(width)
+
+    def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for batch in batches:
+            for values in batch["sums"]:
+                likelihood, score, information = _efron(np.asarray(values, float), beta, center)
+                total += np.concatenate([[likelihood], score, information[upper]])
+        yield vector_rows(total)
+
+    total = collected_vector(per_time, partials, size)
+    return float(total[0]), total[1 : 1 + width], symmetric(total[1 + width :], width)
+
+
+def _efron(values: np.ndarray, beta: np.ndarray, center: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The part of one time.
 
     With d tied events the k-th of them (k = 0 .. d-1) faces the risk S0 - (k / d) D0. Writing that as
     (D0 / d) (a - k) with a = d S0 / D0 turns the sums over k into sums of 1 / (a - k).
     """
     width = len(beta)
-    likelihood, score, information = 0.0, np.zeros(width), np.zeros((width, width))
-    at_risk = {k: np.cumsum(sums[k][::-1], axis=0)[::-1] for k in ("s0", "s1", "s2")}
-    for i, d in enumerate(sums["d"]):
-        if d == 0:
-            continue
-        s0, s1, s2 = at_risk["s0"][i], at_risk["s1"][i], at_risk["s2"][i]
-        d0, d1, d2 = sums["d0"][i], sums["d1"][i], sums["d2"][i]
-        a = d * max(s0 / d0, 1.0)
-        log_sum, first, second = _tied_sums(a, int(round(d)))
-        first, second = first * d / d0, second * (d / d0) ** 2
-        apart = s1 - (s0 / d0) * d1
-        apart2 = s2 - (s0 / d0) * d2
-        mean = d1 / d0
-        likelihood += float((sums["dx"][i] - d * center) @ beta) - (d * math.log(d0 / d) + log_sum)
-        score += sums["dx"][i] - (apart * first + d * mean)
-        squares = (
-            second * np.outer(apart, apart)
-            + first * (np.outer(apart, mean) + np.outer(mean, apart))
-            + d * np.outer(mean, mean)
-        )
-        information += apart2 * first + d * (d2 / d0) - squares
-    return likelihood, score, information
+    cells = width * (width + 1) // 2
+    s0, s1, s2, d0, d1, d2, dx, d = np.split(values, np.cumsum([1, width, cells, 1, width, cells, width]))
+    s0, d0, d = float(s0[0]), float(d0[0]), float(d[0])
+    s2, d2 = symmetric(s2, width), symmetric(d2, width)
+    log_sum, first, second = _tied_sums(d * max(s0 / d0, 1.0), int(round(d)))
+    first, second = first * d / d0, second * (d / d0) ** 2
+    apart = s1 - (s0 / d0) * d1
+    apart2 = s2 - (s0 / d0) * d2
+    mean = d1 / d0
+    likelihood = float((dx - d * center) @ beta) - (d * math.log(d0 / d) + log_sum)
+    score = dx - (apart * first + d * mean)
+    squares = second * np.outer(apart, apart) + first * (np.outer(apart, mean) + np.outer(mean, apart)) + d * np.outer(mean, mean)
+    return likelihood, score, apart2 * first + d * (d2 / d0) - squares
 
 
 def _tied_sums(a: float, d: int) -> tuple[float, float, float]:
-    """Sums over k < d of log(a - k), 1 / (a - k) and 1 / (a - k)^2."""
-    if d <= DIRECT_TIES:
-        terms = a - np.arange(d)
-        return float(np.log(terms).sum()), float((1.0 / terms).sum()), float((1.0 / terms**2).sum())
-    # The last terms, where the summand bends most, one by one; the rest by the Euler-Maclaurin formula.
-    tail = a - np.arange(d - DIRECT_TIES, d)
-    low, high = float(tail[0]) + 1.0, a
-    half = 0.5 * (1.0 / low + 1.0 / high)
-    logs = (high * math.log(high) - high) - (low * math.log(low) - low) + 0.5 * (math.log(low) + math.log(high))
-    logs += (1.0 / high - 1.0 / low) / 12.0
-    ones = math.log1p((high - low) / low) + half + (1.0 / low**2 - 1.0 / high**2) / 12.0
-    squares = (high - low) / (high * low) + 0.5 * (1.0 / low**2 + 1.0 / high**2) + (low**-3 - high**-3) / 6.0
-    return (
-        logs + float(np.log(tail).sum()),
-        ones + float((1.0 / tail).sum()),
-        squares + float((1.0 / tail**2).sum()),
-    )
+    """Sums over k < d of log(a - k), 1 / (a - k) and 1 / (a - k)^2.
+
+    The last DIRECT_TIES terms one by one, those before by the Euler-Maclaurin formula.
+    """
+    tail = a - np.arange(max(d - DIRECT_TIES, 0), d)
+    logs, ones, squares = float(np.log(tail).sum()), float((1.0 / tail).sum()), float((1.0 / tail**2).sum())
+    if d > DIRECT_TIES:
+        low, high = float(tail[0]) + 1.0, a
+        logs += (high * math.log(high) - high) - (low * math.log(low) - low) + 0.5 * (math.log(low) + math.log(high))
+        logs += (1.0 / high - 1.0 / low) / 12.0 - (high**-3 - low**-3) / 360.0
+        ones += math.log1p((high - low) / low) + 0.5 * (1.0 / low + 1.0 / high)
+        ones += (low**-2 - high**-2) / 12.0 - (low**-4 - high**-4) / 120.0
+        squares += (high - low) / (high * low) + 0.5 * (low**-2 + high**-2)
+        squares += (low**-3 - high**-3) / 6.0 - (low**-5 - high**-5) / 30.0
+    return logs, ones, squares

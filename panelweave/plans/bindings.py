@@ -20,7 +20,7 @@ PERSON_ORDER = (
     "l_returnflag", "l_linestatus", "l_shipdate",
 )
 ROW_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-WAVES = (1, 2, 3, 4)
+WAVES = (1, 2, 3, 4, 5, 6, 7)
 PANEL_ORDER = ("o_orderdate", "o_orderkey")
 TOTALS = {"A": 120000.0, "N": 230000.0, "R": 120000.0}
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")

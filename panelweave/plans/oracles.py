@@ -173,7 +173,7 @@ PANEL = """
 panel AS (
   SELECT *, CAST(year(o_orderdate) - 1994 AS INTEGER) AS wave,
     CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE substr(o_orderpriority, 1, 1) END AS grade
-  FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1998
+  FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2001
 ),
 latest AS (
   SELECT * FROM panel
@@ -193,23 +193,25 @@ gone AS (
   WHERE x.grade IS NOT NULL AND x.o_orderstatus = 'F' AND y.o_orderstatus = 'P'
 )"""
 
-SURVIVAL = f"""
-{PANEL},
-base AS (SELECT o_custkey FROM latest WHERE wave = 1 AND o_orderstatus = 'F'),
-step2 AS (SELECT o_custkey, o_orderstatus AS s FROM base LEFT JOIN (SELECT * FROM latest WHERE wave = 2) USING (o_custkey)),
-step3 AS (SELECT o_custkey, l.o_orderstatus AS s FROM (SELECT o_custkey FROM step2 WHERE s <> 'P')
-  LEFT JOIN (SELECT * FROM latest WHERE wave = 3) l USING (o_custkey)),
-step4 AS (SELECT o_custkey, l.o_orderstatus AS s FROM (SELECT o_custkey FROM step3 WHERE s <> 'P')
-  LEFT JOIN (SELECT * FROM latest WHERE wave = 4) l USING (o_custkey)),
-survival AS (
-  SELECT o_custkey, 1 AS status, 2 AS time FROM step2 WHERE s = 'P'
-  UNION ALL SELECT o_custkey, 0, 1 FROM step2 WHERE s IS NULL
-  UNION ALL SELECT o_custkey, 1, 3 FROM step3 WHERE s = 'P'
-  UNION ALL SELECT o_custkey, 0, 2 FROM step3 WHERE s IS NULL
-  UNION ALL SELECT o_custkey, 1, 4 FROM step4 WHERE s = 'P'
-  UNION ALL SELECT o_custkey, 0, 3 FROM step4 WHERE s IS NULL
-  UNION ALL SELECT o_custkey, 0, 4 FROM step4 WHERE s <> 'P'
-)"""
+
+
+def _survival(last: int) -> str:
+    """One step per wave after the first: who is left goes on to the next."""
+    steps = ["base AS (SELECT o_custkey FROM latest WHERE wave = 1 AND o_orderstatus = 'F')"]
+    ends = []
+    for w in range(2, last + 1):
+        alive = "base" if w == 2 else f"(SELECT o_custkey FROM step{w - 1} WHERE s <> 'P')"
+        steps.append(
+            f"step{w} AS (SELECT a.o_custkey, l.o_orderstatus AS s FROM {alive} a "
+            f"LEFT JOIN (SELECT * FROM latest WHERE wave = {w}) l USING (o_custkey))"
+        )
+        ends.append(f"SELECT o_custkey, 1 AS status, {w} AS time FROM step{w} WHERE s = 'P'")
+        ends.append(f"SELECT o_custkey, 0, {w - 1} FROM step{w} WHERE s IS NULL")
+    ends.append(f"SELECT o_custkey, 0, {last} FROM step{last} WHERE s <> 'P'")
+    return f"{PANEL}, {', '.join(steps)}, survival AS ({' UNION ALL '.join(ends)})"
+
+
+SURVIVAL = _survival(b.WAVES[-1])
 
 COVARIATES = """
 covariates AS (
@@ -796,6 +798,15 @@ imputed AS (
 SELECT {ROW_KEYS}, round(residual, 6) AS drawn_residual, round(imputed, 6) AS log_imputed, round(exp(imputed), 2) AS imputed
 FROM imputed"""
 
+NORMAL_FUNCTIONS = f"""
+WITH placed AS (SELECT {ROW_KEYS}, l_quantity, (l_quantity - 25) / CAST(6 AS DOUBLE) AS z FROM lineitem)
+SELECT {ROW_KEYS}, l_quantity, round({_CDF.format(z="z")}, 9) AS cdf, round({_PDF.format(z="z")}, 9) AS pdf FROM placed"""
+
+TEXT_COLUMNS = """
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
+  CAST(o_orderdate AS VARCHAR) AS o_orderdate, substr(o_orderpriority, 3) AS priority
+FROM orders"""
+
 MILLS_RATIO = f"""
 WITH predicted AS (
   SELECT {ROW_KEYS}, CASE WHEN l_linenumber <> 4 THEN
@@ -884,7 +895,7 @@ design AS (
     x.o_orderstatus = 'F' AS attending, x.o_orderstatus = 'F' AND coalesce(y.o_orderstatus = 'P', false) AS gone
   FROM latest x JOIN customer ON c_custkey = x.o_custkey
     LEFT JOIN latest y ON y.o_custkey = x.o_custkey AND y.wave = x.wave + 1
-  WHERE x.wave < 4 AND x.o_custkey % 11 <> 0 AND x.o_custkey % 50 <> 0
+  WHERE x.wave < 7 AND x.o_custkey % 11 <> 0 AND x.o_custkey % 50 <> 0
 )
 {_points(_STUDY_PARTS, {
     "first_visit": "true", "attending": "attending", "dropout": "gone",
@@ -1012,6 +1023,10 @@ ORACLES = {
     "probit_one_number": PROBIT_ONE_NUMBER,
     "heckman_one_number": HECKMAN_ONE_NUMBER,
     "mills_ratio": MILLS_RATIO,
+    "normal_functions": NORMAL_FUNCTIONS,
+    "text_columns": TEXT_COLUMNS,
+    "region_names": "SELECT r_regionkey, r_name AS category FROM region",
+    "coef_roundtrip": WLS_ONE_NUMBER,
     "residual_impute": RESIDUAL_IMPUTE,
     "dropout_study": DROPOUT_STUDY,
     "report_totals": REPORT_TOTALS,

@@ -37,6 +37,7 @@ def _rounded(frame: DataFrame, digits: dict[str, int]) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
+    # The shared folder goes when the application ends, and with it what queries have landed there.
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -129,7 +130,7 @@ def quarterly_waves(spark, sf_dir):
         {"year": F.year("o_orderdate"), "quarter": F.quarter("o_orderdate")}
     )
     path = _scratch(spark, "quarters")
-    microdata.write_microdata(orders.repartition("year", "quarter"), path, ["year", "quarter"])
+    microdata.write_microdata(orders.hint("rebalance"), path, ["year", "quarter"])
     waves = microdata.read_quarters(spark, path, {1997: (1, 2, 3, 4), 1998: (1,)}, ["o_orderkey", "o_totalprice"])
     return waves.groupBy("wave", "year", "quarter").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")
@@ -142,7 +143,7 @@ def annual_files(spark, sf_dir):
         {"year": F.year("o_orderdate"), "visit": F.expr("substring(o_orderpriority, 1, 1)").cast("int")}
     )
     path = _scratch(spark, "years")
-    microdata.write_microdata(orders.repartition("year", "visit"), path, ["year", "visit"])
+    microdata.write_microdata(orders.hint("rebalance"), path, ["year", "visit"])
     rows = microdata.read_annual(spark, path, (1996, 1997, 1999), 1, ["o_orderkey", "o_totalprice"])
     return rows.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
@@ -274,7 +275,7 @@ def svy_interaction_query(spark, sf_dir):
     return _rounded(svy_interaction(b.design(spark, sf_dir), "flag_status", columns, LEVELS, b.domains()), ESTIMATE_DIGITS)
 
 
-def _batch() -> Statistics:
+def batch() -> Statistics:
     return Statistics(
         population=True,
         totals_by={"flag": b.flag()},
@@ -285,7 +286,7 @@ def _batch() -> Statistics:
 
 
 def svy_batch(spark, sf_dir):
-    return _rounded(estimates(b.design(spark, sf_dir, by_year=True), _batch(), b.domains()), {"value": 4})
+    return _rounded(estimates(b.design(spark, sf_dir, by_year=True), batch(), b.domains()), {"value": 4})
 
 
 def svy_poststratify(spark, sf_dir):
@@ -491,7 +492,7 @@ def _report_year() -> Column:
 
 
 def _report_estimates(spark, sf_dir, statistics=None):
-    return estimates(b.design(spark, sf_dir, by_year=True), statistics or _batch(), b.domains())
+    return estimates(b.design(spark, sf_dir, by_year=True), statistics or batch(), b.domains())
 
 
 def report_totals(spark, sf_dir):
@@ -541,7 +542,37 @@ def estimates_roundtrip(spark, sf_dir):
     return _rounded(saved.read_estimates(spark, path, stat="share", var="flag"), {"value": 6})
 
 
+def coef_roundtrip(spark, sf_dir):
+    """Two models saved together, one of them read back."""
+    path = _scratch(spark, "coefficients")
+    tables = [_one_factor(spark, sf_dir).table(spark, "factor"), _one_number(spark, sf_dir).table(spark, "number")]
+    saved.write_coefficients(tables[0].unionByName(tables[1]), path)
+    rows = saved.read_coefficients(spark, path, "number").select(*FIT_COLUMNS)
+    return _rounded(rows, dict.fromkeys(FIT_COLUMNS[1:], 6))
+
+
+def region_names(spark, sf_dir):
+    return saved.read_regions(spark, f"{sf_dir}/region.parquet", "r_name").select("r_regionkey", "category")
+
+
+def normal_functions(spark, sf_dir):
+    """Distribution and density over both tails and the centre."""
+    rows = b.table(spark, sf_dir, "lineitem").withColumn("z", F.expr("(l_quantity - 25) / 6"))
+    values = {"cdf": F.round(scalars.normal_cdf("z"), 9), "pdf": F.round(scalars.normal_pdf("z"), 9)}
+    return rows.select(*b.ROW_KEYS, "l_quantity", *[v.alias(k) for k, v in values.items()])
+
+
+def text_columns(spark, sf_dir):
+    """Labels without their prefix, and a table with every column as text."""
+    rows = b.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", scalars.without_prefix("o_orderpriority", 2).alias("priority"))
+    return scalars.all_as_text(rows)
+
+
 QUERIES = {
+    "coef_roundtrip": coef_roundtrip,
+    "region_names": region_names,
+    "normal_functions": normal_functions,
+    "text_columns": text_columns,
     "household_income": household_income,
     "household_income_annual": household_income_annual,
     "parent_max": parent_max,

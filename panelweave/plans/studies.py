@@ -34,9 +34,9 @@ from panelweave.plans.survey import (
     survey_design,
     with_household_profile,
 )
-from panelweave.session import staged
+from panelweave.session import checkpointed, staged
 
-SUBPOPS = {"target": "Público Alvo", "potential": "Público Potencial", "public_school": "Rede Pública"}
+SUBPOPS = {"target": "Eligible now", "potential": "Could become eligible", "public_school": "In public schools"}
 
 
 def _attends(c: SurveyColumns) -> Column:
@@ -111,8 +111,8 @@ def survival_study(
             probit.append(fit.table(spark, name))
         overall = km_curve(rows)
         curves = overall.unionByName(km_curve(rows, stratum=F.col(c.grade), populations=populations))
-        # The curves are a few rows; they must not depend on the staged table after it is gone.
-        out["curves"] = spark.createDataFrame(curves.collect(), curves.schema)
+        # The curves must not depend on the staged table after it is gone.
+        out["curves"] = checkpointed(curves)
     out["survival"] = table
     out["cox"] = _union(cox)
     out["probit"] = _union(probit)
@@ -201,25 +201,25 @@ def characterisation_reports(
 ) -> dict[str, DataFrame]:
     """The report tables: totals, demographics, dwelling, attendance, household types and regions."""
     demographics = [
-        report.Block("Sexo", c.sex),
-        report.Block("Raça", c.race),
-        report.Block("Localização", c.area),
-        report.mean_block("Renda Média per capita", "income_pc"),
+        report.Block("By sex", c.sex),
+        report.Block("By race", c.race),
+        report.Block("Town or country", c.area),
+        report.mean_block("Household income per head (mean)", "income_pc"),
     ]
     material, roof, floor, water, piped, dwelling = c.dwelling_traits
     dwelling_blocks = [
-        report.Block("Carro", c.goods[0]),
-        report.Block("Material da Casa", material),
-        report.Block("Material do Telhado", roof),
-        report.Block("Material do Piso", floor),
-        report.Block("Abastecimento de Água", water),
-        report.Block("Água Canalizada", piped),
-        report.Block("Tipo do Domicílio", dwelling),
-        report.mean_block("Média de anos de escolaridade (Máx. Educação Pai e Mãe)", "parent_max"),
+        report.Block("Has a car", c.goods[0]),
+        report.Block("Walls", material),
+        report.Block("Roof", roof),
+        report.Block("Floor", floor),
+        report.Block("Where water comes from", water),
+        report.Block("Running water", piped),
+        report.Block("Kind of dwelling", dwelling),
+        report.mean_block("Schooling of the better educated parent (mean)", "parent_max"),
     ]
     attendance = [
-        report.Block("Frequenta ensino médio", "attendance_course"),
-        report.Block("Frequenta ensino médio público", "attendance_course_network"),
+        report.Block("At school, by course", "attendance_course"),
+        report.Block("At school, by course and network", "attendance_course_network"),
     ]
     in_year, in_latest = F.col("year") == year, F.col("year") == latest
     two = {name: SUBPOPS[name] for name in ("target", "public_school")}

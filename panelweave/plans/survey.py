@@ -34,7 +34,6 @@ RACE = {
     "Ignorado": "Ignorado",
 }
 RACE_LEVELS = ("Branca", "Preta ou Parda", "Amarela", "Indígena", "Ignorado")
-MAX_LEVELS = 1_000
 
 
 @dataclass(frozen=True)
@@ -144,17 +143,17 @@ def annual_domains(c: SurveyColumns, income: str = "pc_last") -> dict[str, Colum
     }
 
 
-def observed_levels(rows: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, tuple[str, ...]]:
-    """Distinct labels of several categorical columns, in one job; by level code where there is one."""
+def observed_levels(rows: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """Distinct labels of several categorical columns, in one job; by level code where there is one.
+
+    The labels become terms of a model or lines of a report, so the driver holds one entry for each.
+    """
     pairs = []
     for name in columns:
         code = F.col(f"{name}_code").cast("int") if f"{name}_code" in rows.columns else F.lit(0)
         pairs.append(F.struct(code.alias("code"), F.col(name).cast("string").alias("label")).alias(name))
     long = rows.select(*pairs).unpivot([], list(columns), "name", "level").select("name", "level.*")
-    limit = max_levels * len(columns)
-    found = long.where(F.col("label").isNotNull()).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} categories in {list(columns)}: not categorical")
+    found = long.where(F.col("label").isNotNull()).distinct().collect()
     ordered = sorted(found, key=lambda r: (r["code"], r["label"]))
     return {name: tuple(dict.fromkeys(r["label"] for r in ordered if r["name"] == name)) for name in columns}
 

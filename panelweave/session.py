@@ -32,19 +32,20 @@ def local_session(cores: str = "*", name: str = "panelweave", shuffle_partitions
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    A machine-local folder is only ever chosen in local mode, where the driver is the one executor.
+    A machine-local folder is only ever chosen in local mode, where the driver is the one executor. The
+    folder and what checkpoints and queries leave in it are removed when the application ends.
     """
-    folder = spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
-    if folder:
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext.getCheckpointDir()
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelweave-"))
-    return spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get(CHECKPOINT_SETTING, None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="panelweave-"))
+    # The folder is the application's own, below the one that the cluster names.
+    folder = context.getCheckpointDir()
+    target = context._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return folder
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:

@@ -8,11 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.functions.scalars import recode
-from panelweave.operators.skew import LOOKUP_ROWS, lookup_join
-
-# A dictionary up to this many codes becomes one projection; a larger one is joined.
-INLINE_CODES = 2_000
+from panelweave.operators.skew import lookup_join
 
 
 @dataclass(frozen=True)
@@ -66,33 +62,25 @@ def read_fixed_width(spark: SparkSession, path: str, layout: Sequence[FixedField
 def decode_labels(rows: DataFrame, dictionary: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Replace codes by labels; the code stays in `<name>_code`. An unknown code has a NULL label.
 
-    `dictionary` has (var, code, label).
+    `dictionary` has (var, code, label). A code with two labels is refused, whatever the dictionary's size.
     """
-    entries = dictionary.where(F.col("var").isin(*variables)).limit(INLINE_CODES + 1).collect()
-    codes = {v: F.col(v) for v in variables}
-    rows = rows.withColumnsRenamed({v: f"{v}_code" for v in codes})
-    if len(entries) <= INLINE_CODES:
-        by_variable: dict[str, dict[str, str]] = {v: {} for v in variables}
-        for entry in entries:
-            by_variable[entry["var"]][str(entry["code"])] = entry["label"]
-        labels = {
-            v: recode(F.col(f"{v}_code").cast("string"), by_variable[v]) if by_variable[v] else F.lit(None).cast("string")
-            for v in variables
-        }
-        return rows.withColumns(labels)
+    rows = rows.withColumnsRenamed({v: f"{v}_code" for v in variables})
     for v in variables:
-        one = dictionary.where(F.col("var") == v).select(
-            F.col("code").cast("string").alias("__code"), F.col("label").alias(v)
+        code, label = F.col("code").cast("string"), F.col("label")
+        several = F.raise_error(F.concat(F.lit(f"two labels of {v} for code "), F.coalesce("__code", F.lit("NULL"))))
+        one = (
+            dictionary.where(F.col("var") == v)
+            .groupBy(code.alias("__code"))
+            .agg(F.min(label).alias("__least"), F.max(label).alias("__most"))
+            .select("__code", F.when(F.col("__least") != F.col("__most"), several.cast("string")).otherwise(F.col("__least")).alias(v))
         )
         rows = lookup_join(rows.withColumn("__code", F.col(f"{v}_code").cast("string")), one, ["__code"]).drop("__code")
     return rows
 
 
-def attach_deflators(
-    rows: DataFrame, deflators: DataFrame, keys: Sequence[str], max_rows: int = LOOKUP_ROWS
-) -> DataFrame:
-    """Price deflators by period and area; a missing one stays NULL."""
-    return lookup_join(rows, deflators, keys, max_rows)
+def attach_deflators(rows: DataFrame, deflators: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Price deflators by period and area, one each; a missing one stays NULL."""
+    return lookup_join(rows, deflators, keys)
 
 
 def write_microdata(rows: DataFrame, path: str, partitions: Sequence[str]) -> None:

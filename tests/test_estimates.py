@@ -143,3 +143,18 @@ def test_replicates_by_year(spark, small_dir):
 def test_unknown_standard_error_is_refused(design):
     with pytest.raises(ValueError):
         svy_total(design, se="jackknife")
+
+
+@pytest.mark.parametrize("known,weight", [("NULL", "1.0"), ("CASE WHEN id < 5 THEN 10.0 ELSE 20.0 END", "1.0"), ("10.0", "0.0")])
+def test_poststratum_columns_without_one_total_are_refused(spark, known, weight):
+    rows = spark.range(20).selectExpr("id", "id % 2 AS h", "id % 5 AS c", "'g' AS g", f"CAST({weight} AS DOUBLE) AS w", f"CAST({known} AS DOUBLE) AS known")
+    with pytest.raises(Exception, match="post-stratum without"):
+        poststratify(SurveyDesign(rows, "w", "h", "c"), "g", "known").data.agg({"weight_adj": "sum"}).collect()
+
+
+def test_a_missing_stratum_is_refused_with_errors(spark):
+    rows = spark.range(40).selectExpr("nullif(id % 4, 3) AS h", "id % 10 AS c", "1.0D AS w", "id % 2 AS x")
+    design = SurveyDesign(rows, "w", "h", "c")
+    assert svy_total(design).first()["value"] == 40
+    with pytest.raises(Exception, match="a row of the design has no h"):
+        svy_total(design, se="taylor").collect()

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelweave.operators.household import IncomeRoles, IncomeSource, ParentRoles, household_profile
-from panelweave.operators.skew import attach_groups, lookup_join
+from panelweave.operators.skew import attach_groups, lookup_join, order_key
 from panelweave.plans import bindings as b
 
 PEOPLE = [
@@ -105,12 +105,26 @@ def test_attach_keeps_or_drops_rows_without_a_group(spark, how, expected):
     assert attach_groups(rows, groups, ["k"], how).count() == expected
 
 
-def test_large_lookup_is_joined_by_shuffle(spark, settings):
-    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+def test_lookup_of_any_size_gives_the_same(spark, settings):
     rows = spark.range(100).withColumnRenamed("id", "k")
     lookup = spark.range(50).selectExpr("id AS k", "id * 2 AS v")
-    small = lookup_join(rows, lookup, ["k"])
-    large = lookup_join(rows, lookup, ["k"], max_rows=10)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    small = sorted(map(tuple, lookup_join(rows, lookup, ["k"]).collect()), key=str)
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    large = lookup_join(rows, lookup, ["k"])
     assert "BroadcastHashJoin" not in large._jdf.queryExecution().executedPlan().toString()
-    assert sorted(small.collect(), key=str) == sorted(large.collect(), key=str)
+    assert sorted(map(tuple, large.collect()), key=str) == small
+
+
+def test_packed_order_equals_the_struct(spark):
+    rows = [(None, 5), ("2020-01-01", None), ("2020-01-01", -(2**63)), ("2020-01-01", 2**63 - 1), ("1969-01-01", 7), ("2020-01-02", -3), (None, None)]
+    frame = spark.createDataFrame(rows, "d string, k long").withColumn("d", F.to_date("d"))
+    packed, plain = order_key(["d", "k"], frame.schema), F.struct("d", "k")
+    assert [tuple(r) for r in frame.orderBy(packed).collect()] == [tuple(r) for r in frame.orderBy(plain).collect()]
+
+
+def test_panel_aggregates_hash(spark, small_dir):
+    from panelweave.plans.queries import QUERIES
+
+    for name in ("survival_table", "pair_dropout", "dropout_semi", "matched_waves", "attrition_anti", "evasion_flag"):
+        plan = QUERIES[name](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan, name

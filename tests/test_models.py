@@ -161,11 +161,62 @@ def test_many_ties_use_the_closed_form(spark, monkeypatch):
     assert closed.coefficients["x"] == pytest.approx(direct.coefficients["x"], rel=1e-9)
 
 
-def test_too_many_times_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(survival, "MAX_TIMES", 3)
-    frame = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(20)], "time int, status int, x int")
-    with pytest.raises(ValueError, match="distinct times"):
-        survival.fit_cox(frame, [Number("x", F.col("x"))])
+def test_cox_with_a_time_for_everyone(spark, monkeypatch):
+    generator = np.random.default_rng(6)
+    x = generator.normal(size=1500)
+    time = generator.exponential(np.exp(-0.7 * x))
+    status = (generator.random(1500) < 0.8).astype(int)
+    rows = [(float(a), float(t), int(s)) for a, t, s in zip(x, time, status, strict=True)]
+    frame = spark.createDataFrame(rows, "x double, time double, status int").repartition(6)
+    fit = survival.fit_cox(frame, [Number("x", F.col("x"))])
+    order = np.argsort(-time)
+    x, status, beta = x[order], status[order], 0.0
+    for _ in range(30):
+        risk = np.exp(beta * x)
+        s0, s1, s2 = np.cumsum(risk), np.cumsum(risk * x), np.cumsum(risk * x * x)
+        score = ((x - s1 / s0) * status).sum()
+        information = ((s2 / s0 - (s1 / s0) ** 2) * status).sum()
+        beta += score / information
+    assert fit.converged and fit.coefficients["x"] == pytest.approx(beta, rel=1e-8)
+    assert fit.covariance[0, 0] == pytest.approx(1 / information, rel=1e-6)
+
+
+def test_far_tails_keep_their_score():
+    from panelweave.operators.glm import _probit_parts
+
+    for eta in (-300.0, -39.0, -38.0, -20.0, -5.0, -0.5, 0.0, 0.5, 5.0, 20.0, 39.0):
+        score, fisher, log_likelihood = (float(v[0]) for v in _probit_parts(np.array([eta]), np.array([1.0])))
+        mirrored = _probit_parts(np.array([-eta]), np.array([0.0]))
+        assert float(mirrored[0][0]) == -score and float(mirrored[2][0]) == log_likelihood
+        if eta > -30:
+            below = 0.5 * math.erfc(-eta / math.sqrt(2))
+            assert score == pytest.approx(math.exp(-eta * eta / 2) / math.sqrt(2 * math.pi) / below, rel=1e-12)
+            assert log_likelihood == pytest.approx(math.log(below) if eta < 5 else math.log1p(-0.5 * math.erfc(eta / math.sqrt(2))), rel=1e-9, abs=1e-300)
+            assert fisher == pytest.approx(score * math.exp(-eta * eta / 2) / math.sqrt(2 * math.pi) / (0.5 * math.erfc(eta / math.sqrt(2)) or 1), rel=1e-9) or eta >= 20
+        else:
+            # x + 1/x - 2/x^3 and so on: the continued fraction of the normal tail.
+            z = -eta
+            assert score == pytest.approx(z + 1 / (z + 2 / (z + 3 / z)), rel=1e-9)
+            assert log_likelihood == pytest.approx(-z * z / 2 - math.log(score * math.sqrt(2 * math.pi)), rel=1e-12)
+
+
+def test_a_fit_keeps_its_accepted_step_when_every_halving_fails(spark, monkeypatch):
+    from panelweave.operators import glm
+    from panelweave.operators.design import SurveyDesign
+
+    rows = [(i % 4, i % 2, float(i % 7), int(i * 7919 % 11 > 4), 1.0) for i in range(200)]
+    design = SurveyDesign(spark.createDataFrame(rows, "c int, h int, x double, y int, w double"), "w", "h", "c")
+    true, calls = glm._probit_sums, []
+
+    def worse(frame, layout, beta):
+        information, score, deviance, counts, n = true(frame, layout, beta)
+        calls.append(beta.copy())
+        return information, score, deviance + (1e6 if len(calls) > 2 else 0.0), counts, n
+
+    monkeypatch.setattr(glm, "_probit_sums", worse)
+    fit = glm.fit_probit(design, F.col("y"), [Number("x", F.col("x"))])
+    assert not fit.converged
+    assert list(fit.coefficients.values()) == pytest.approx(calls[1].tolist())
 
 
 def test_km_reaches_zero(spark):

@@ -12,13 +12,24 @@ def donors(spark):
 
 def test_numbering_has_no_gaps_and_keeps_copies(spark, monkeypatch):
     monkeypatch.setattr(selection, "PIECE", 4)
-    numbered, size = selection._numbered(donors(spark), ["donor"], "value")
-    rows = numbered.collect()
-    assert sorted(r["__position"] for r in rows) == list(range(300))
-    assert {v: sum(r["value"] == v for r in rows) for v in (0.0, 49.0)} == {0.0: 6, 49.0: 6}
+    monkeypatch.setattr(selection, "BLOCK", 3)
+    blocks, size = selection._numbered(donors(spark), ["donor"], "value")
+    found = blocks.collect()
+    numbers = [(n, r["value"]) for r in found for n in range(r["__first"], r["__last"] + 1) if n // 3 == r["__block"]]
+    assert sorted(n for n, _ in numbers) == list(range(300))
+    assert {v: sum(x == v for _, x in numbers) for v in (0.0, 49.0)} == {0.0: 6, 49.0: 6}
     assert spark.range(1).select(size).first()[0] == 300
 
 
+def test_copies_of_a_donor_are_not_multiplied(spark):
+    many = spark.range(300_000).select(F.lit(1).alias("donor"), F.lit(2.5).alias("value"))
+    blocks, _ = selection._numbered(many, ["donor"], "value")
+    assert blocks.count() == 1 + (300_000 - 1) // selection.BLOCK
+    targets = spark.range(1000).withColumnRenamed("id", "person")
+    drawn = selection.draw_residuals(targets, ["person"], many, ["donor"], "value", 1)
+    assert drawn.where("drawn_residual = 2.5").count() == 1000
+
+
 def test_draw_does_not_depend_on_partitions(spark, settings):
     targets = spark.range(500).withColumnRenamed("id", "person")
 

@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelweave.operators import report
@@ -20,7 +21,7 @@ def test_fixed_width_blanks_and_bad_numbers(spark, tmp_path):
     assert rows == {(12, "A", 7.0), (None, None, 8.0)}
 
 
-def test_labels_keep_codes_and_large_dictionaries_are_joined(spark, monkeypatch):
+def test_labels_keep_codes(spark):
     rows = spark.createDataFrame([(1, "b"), (2, None), (9, "a")], "sex int, area string")
     dictionary = spark.createDataFrame(
         [("sex", "1", "M"), ("sex", "2", "F"), ("area", "a", "urban"), ("area", "b", "rural"), ("other", "1", "?")],
@@ -33,8 +34,17 @@ def test_labels_keep_codes_and_large_dictionaries_are_joined(spark, monkeypatch)
         return sorted(tuple(r) for r in out.select("sex_code", "area_code", "sex", "area").collect())
 
     assert decoded() == expected
-    monkeypatch.setattr(microdata, "INLINE_CODES", 1)
-    assert decoded() == expected
+
+
+@pytest.mark.parametrize("size", [3, 5000])
+def test_a_code_with_two_labels_is_refused_in_any_size(spark, size):
+    rows = spark.createDataFrame([(1, True)], "sex int, yes boolean")
+    entries = [("sex", str(i), f"label {i}") for i in range(size)] + [("sex", "1", "label 1"), ("yes", "true", "Y")]
+    dictionary = spark.createDataFrame(entries, "var string, code string, label string")
+    assert [tuple(r) for r in microdata.decode_labels(rows, dictionary, ["sex", "yes"]).select("sex", "yes").collect()] == [("label 1", "Y")]
+    conflict = dictionary.union(spark.createDataFrame([("sex", "1", "another")], dictionary.schema))
+    with pytest.raises(Exception, match="two labels of sex for code 1"):
+        microdata.decode_labels(rows, conflict, ["sex"]).collect()
 
 
 def test_waves_are_numbered_across_years_and_pruned(spark, tmp_path):
