@@ -47,7 +47,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
     larger = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return attach_groups(larger, least, ["a"], "inner").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    return attach_groups(larger, least, ["a"], "inner").select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

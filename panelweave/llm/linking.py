@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.graph import components
-from panelweave.llm.storage import written
+from panelweave.llm.storage import remove, written
 from panelweave.operators.skew import attach_groups
 
 # Total weight of a block; a node weighs 1 plus its size in units of the caller.
@@ -25,7 +25,7 @@ BLOCK = 1024
 
 
 def block_tasks(buckets: DataFrame) -> DataFrame:
-    """Where each node is checked: (node, task, left, right) from `buckets` (bucket, node, weight).
+    """Where each node is checked: (node, task, left) from `buckets` (bucket, node, weight), as a written table.
 
     Nodes that share no bucket with another are left out. Within a task, left nodes are compared with each
     other if the task has no right node, else with the right ones.
@@ -52,7 +52,10 @@ def block_tasks(buckets: DataFrame) -> DataFrame:
     mirrored = pairs.where("block <> other").select("component", F.col("other").alias("block"), F.col("block").alias("first"))
     right_task = F.struct("component", F.col("first").alias("block"), F.col("block").alias("other")).alias("task")
     right = large.join(mirrored, ["component", "block"]).select("node", right_task, F.lit(False).alias("left"))
-    return alone.unionByName(left).unionByName(right)
+    tasks = written(alone.unionByName(left).unionByName(right), "tasks")
+    for used in (members, nodes, placed, pairs):
+        remove(used)
+    return tasks
 
 
 def verified_links(tasks: DataFrame, similar: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]) -> DataFrame:

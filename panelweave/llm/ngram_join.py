@@ -40,7 +40,7 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashe
     """(bands, rows): the most rows per band whose bands still reach the recall at the threshold."""
     best = (max_hashes, 1)
     for rows in range(1, max_hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(min(threshold, 1 - 1e-12) ** rows)))
         if bands * rows <= max_hashes:
             best = (bands, rows)
     return best
@@ -156,7 +156,7 @@ def find_similar(
     )
     classes = written(classes, "classes")
     buckets = classes.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"), "weight")
-    tasks = written(block_tasks(buckets), "tasks")
+    tasks = block_tasks(buckets)
     # Only candidate texts are read again: a filter of bounded size lets few others through, the join drops those.
     wanted = written(tasks.select("node").distinct().join(classes.select(F.col("key").alias("node"), "hash", "first_id", "copies"), "node"), "wanted")
     bits = filter_bits(wanted.count())
