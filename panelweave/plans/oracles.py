@@ -884,10 +884,10 @@ SELECT term, round(estimate, 5) AS estimate, round(se, 5) AS std_error, round(es
 
 _STUDY_PARTS = (("total", "count", ""), ("total_by", "course", "'Regular do ensino médio'"), ("share", "grade", "grade"))
 _GONE = "gone AND age <= 24 AND pc <= 660"
-DROPOUT_STUDY = f"""
-WITH {PANEL},
+_STUDY_DESIGN = f"""
+{PANEL},
 design AS (
-  SELECT x.wave, CAST(1 + x.o_custkey % 7 AS DOUBLE) AS w,
+  SELECT x.wave, CAST(1 + x.o_custkey % 7 AS DOUBLE) AS w, x.o_custkey % 6 AS h, x.o_custkey % 48 AS psu,
     CASE CAST(substr(x.o_orderpriority, 1, 1) AS INTEGER) % 4
       WHEN 0 THEN 'Primeira (o)' WHEN 1 THEN 'Segunda (o)' WHEN 2 THEN 'Terceira (o)' END AS grade,
     14 + x.o_custkey % 13 AS age, (c_acctbal + 1000) / 8 * CAST(1.02 AS DOUBLE) AS pc,
@@ -896,11 +896,44 @@ design AS (
   FROM latest x JOIN customer ON c_custkey = x.o_custkey
     LEFT JOIN latest y ON y.o_custkey = x.o_custkey AND y.wave = x.wave + 1
   WHERE x.wave < 7 AND x.o_custkey % 11 <> 0 AND x.o_custkey % 50 <> 0
-)
-{_points(_STUDY_PARTS, {
+)"""
+_STUDY_DOMAINS = {
     "first_visit": "true", "attending": "attending", "dropout": "gone",
     "dropout_target": f"{_GONE} AND NOT alone", "dropout_potential": f"{_GONE} AND started",
-}, by="wave")}"""
+}
+DROPOUT_STUDY = f"""
+WITH {_STUDY_DESIGN}
+{_points(_STUDY_PARTS, _STUDY_DOMAINS, by="wave")}"""
+
+
+def _study_errors() -> str:
+    """Linearised errors: cluster totals of every row's score, wave by wave, over all clusters of the wave."""
+    items = [("total", "count", "NULL", "1", "1"), ("total_by", "course", "'Regular do ensino médio'", "1", "1")]
+    for level in ("Primeira (o)", "Segunda (o)", "Terceira (o)"):
+        items.append(("share", "grade", f"'{level}'", "CASE WHEN grade IS NOT NULL THEN 1 ELSE 0 END", f"CASE WHEN grade = '{level}' THEN 1 ELSE 0 END"))
+    long = " UNION ALL ".join(
+        f"SELECT wave, h, psu, w, '{name}' AS subpop, '{stat}' AS stat, '{var}' AS var, CAST({level} AS VARCHAR) AS level, "
+        f"CASE WHEN {inside} THEN {x} ELSE 0 END AS x, CASE WHEN {inside} THEN {y} ELSE 0 END AS y FROM design"
+        for name, inside in _STUDY_DOMAINS.items()
+        for stat, var, level, x, y in items
+    )
+    keys = "wave, subpop, stat, var, level"
+    same = " AND ".join(f"p.{k} IS NOT DISTINCT FROM l.{k}" for k in keys.split(", "))
+    return f"""
+WITH {_STUDY_DESIGN}, long AS ({long}),
+points AS (
+  SELECT {keys}, CASE WHEN stat = 'share' THEN sum(w * y) / sum(w * x) ELSE sum(w * y) END AS value,
+    CASE WHEN stat = 'share' THEN sum(w * x) ELSE 1 END AS bottom
+  FROM long GROUP BY {keys} HAVING sum(w * y) > 0
+),
+clusters AS (
+  SELECT l.wave, l.subpop, l.stat, l.var, l.level, h, psu, any_value(p.value) AS value,
+    sum(l.w * CASE WHEN l.stat = 'share' THEN (l.y - p.value * l.x) / p.bottom ELSE l.y END) AS z
+  FROM long l JOIN points p ON {same} GROUP BY l.wave, l.subpop, l.stat, l.var, l.level, h, psu
+),
+strata AS (SELECT {keys}, h, any_value(value) AS value, count(*) * coalesce(var_samp(z), 0) AS v FROM clusters GROUP BY {keys}, h)
+SELECT {keys}, round(any_value(value), 4) AS value, round(sqrt(sum(v)), 4) AS std_error FROM strata GROUP BY {keys}"""
+
 
 # --- reports -------------------------------------------------------------------------------------
 
@@ -1023,6 +1056,7 @@ ORACLES = {
     "probit_one_number": PROBIT_ONE_NUMBER,
     "heckman_one_number": HECKMAN_ONE_NUMBER,
     "mills_ratio": MILLS_RATIO,
+    "dropout_study_se": _study_errors(),
     "normal_functions": NORMAL_FUNCTIONS,
     "text_columns": TEXT_COLUMNS,
     "region_names": "SELECT r_regionkey, r_name AS category FROM region",

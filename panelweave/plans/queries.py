@@ -568,7 +568,15 @@ def text_columns(spark, sf_dir):
     return scalars.all_as_text(rows)
 
 
+def dropout_study_se(spark, sf_dir):
+    """The same study with the design's standard errors, as its users call it."""
+    waves = survey_view.waves(spark, sf_dir)
+    results = studies.dropout_study(waves, b.WAVES, se="taylor", lonely_psu="remove")
+    return _rounded(results, {"value": 4, "std_error": 4})
+
+
 QUERIES = {
+    "dropout_study_se": dropout_study_se,
     "coef_roundtrip": coef_roundtrip,
     "region_names": region_names,
     "normal_functions": normal_functions,
