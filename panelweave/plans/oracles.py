@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from panelweave.plans import bindings as b
 
 ROW_KEYS = ", ".join(b.ROW_KEYS)
@@ -935,6 +937,71 @@ strata AS (SELECT {keys}, h, any_value(value) AS value, count(*) * coalesce(var_
 SELECT {keys}, round(any_value(value), 4) AS value, round(sqrt(sum(v)), 4) AS std_error FROM strata GROUP BY {keys}"""
 
 
+_TRAITS = {
+    "V2007": "CASE WHEN l_partkey % 2 = 0 THEN 'Mulher' ELSE 'Homem' END",
+    "V2010": "['Branca', 'Preta', 'Amarela', 'Parda', 'Indígena', 'Ignorado'][1 + l_suppkey % 6]",
+    "V1022": "CASE WHEN l_suppkey % 3 = 0 THEN 'Rural' ELSE 'Urbana' END",
+    "VD2004": "CASE WHEN l_suppkey % 9 = 0 THEN 'Unipessoal' ELSE 'Nuclear' END",
+    "V4003": "CASE WHEN l_tax = 0 THEN 'Não' ELSE 'Sim' END",
+    "S010311": "CASE WHEN l_partkey % 2 = 0 THEN 'Sim' ELSE 'Não' END",
+    "S01028": "CASE WHEN l_partkey % 3 = 0 THEN 'Sim' ELSE 'Não' END",
+    "S01024": "CASE WHEN l_partkey % 5 = 0 THEN 'Sim' ELSE 'Não' END",
+    "S01002": "concat('Parede ', l_partkey % 3)",
+    "S01003": "concat('Telhado ', l_partkey % 4)",
+    "S01004": "concat('Piso ', l_partkey % 2)",
+    "S01007": "concat('Água ', l_suppkey % 3)",
+    "S01010": "concat('Cano ', l_suppkey % 2)",
+    "S01017": "concat('Domicílio ', l_suppkey % 3)",
+    "region": "['Norte', 'Nordeste', 'Sudeste', 'Sul', 'Centro-Oeste', NULL][1 + l_orderkey % 6]",
+}
+_ATTENDS = {
+    "V3002": "CASE l_returnflag WHEN 'A' THEN 'Sim' WHEN 'N' THEN 'Não' END",
+    "V3003A": "CASE WHEN l_partkey % 3 = 0 THEN 'Superior' WHEN l_returnflag <> 'R' THEN 'Regular do ensino médio' END",
+    "V3002A": "CASE WHEN l_suppkey % 5 = 0 THEN 'Rede privada' WHEN l_returnflag <> 'R' THEN 'Rede pública' END",
+}
+
+
+def _characterisation() -> str:
+    """Household income and schooling, then one plain aggregate per sub-population and statistic."""
+    member, work, other = "l_linenumber <> 7", "CASE WHEN l_quantity > 5 THEN l_extendedprice / 50 END", "CASE WHEN l_discount <> 0 THEN l_extendedprice * l_discount / 50 END"
+    parent = "arg_min(1 + l_partkey % 5, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey) FILTER (l_linenumber IN (1, 2, 6) AND l_partkey % 2 = {})"
+    traits = ", ".join(f"{value} AS {name}" for name, value in (_TRAITS | _ATTENDS).items())
+    parts = [("total", "count", ""), *[("share", name, name) for name in _TRAITS], ("mean", "income_pc", "pc"), ("mean", "parent_max", "parent_max")]
+    joined = {"attendance_course": ("V3002", "V3003A"), "attendance_course_network": ("V3002", "V3003A", "V3002A")}
+    parts += [("share", name, " || '.' || ".join(columns)) for name, columns in joined.items()]
+    in_course = "V3003A = 'Regular do ensino médio' AND V3002A = 'Rede pública'"
+    domains = {
+        "target": f"young AND {in_course} AND poor AND VD2004 <> 'Unipessoal'",
+        "potential": "(young AND poor AND l_partkey % 4 = 0) OR l_partkey % 4 = 1",
+        "public_school": "V3002A = 'Rede pública'",
+    }
+    levels = {"V3002": ("Sim", "Não"), "V3003A": ("Superior", "Regular do ensino médio"), "V3002A": ("Rede privada", "Rede pública")}
+    empty = " UNION ALL ".join(
+        f"SELECT DISTINCT year, subpop, stat, var, '{'.'.join(combined)}' AS level FROM found WHERE var = '{name}'"
+        for name, columns in joined.items()
+        for combined in product(*[levels[c] for c in columns])
+    )
+    return f"""
+WITH people AS (SELECT *, [2018, 2019, 2022, 2023][1 + year(l_shipdate) % 4] AS year FROM lineitem),
+households AS (
+  SELECT year, l_orderkey, count(*) FILTER ({member}) AS members,
+    coalesce(sum({work} * CAST(1.02 AS DOUBLE)) FILTER ({member}), 0) + coalesce(sum({other} * CAST(1.03 AS DOUBLE)) FILTER ({member}), 0) AS income,
+    greatest({parent.format(0)}, {parent.format(1)}) AS parent_max
+  FROM people GROUP BY year, l_orderkey
+),
+valued AS (
+  SELECT *, 1 + l_quantity / 10 AS w, CASE WHEN {member} THEN income / nullif(members, 0) END AS pc,
+    CAST(l_quantity AS INTEGER) BETWEEN 14 AND 24 AS young, {traits}
+  FROM people JOIN households USING (year, l_orderkey)
+),
+design AS (
+  SELECT *, coalesce(pc <= 660, false) OR l_discount >= 0.09 OR l_tax > 0.075 AS poor FROM valued
+),
+found AS ({_points(parts, domains, by="year", digits=4)})
+SELECT * FROM found
+UNION ALL SELECT e.*, 0 FROM ({empty}) e ANTI JOIN found USING (year, subpop, stat, var, level)"""
+
+
 # --- reports -------------------------------------------------------------------------------------
 
 _LABELS = {"target": "target_group", "potential": "potential_group", "public": "public_school"}
@@ -1057,6 +1124,7 @@ ORACLES = {
     "heckman_one_number": HECKMAN_ONE_NUMBER,
     "mills_ratio": MILLS_RATIO,
     "dropout_study_se": _study_errors(),
+    "characterisation_study": _characterisation(),
     "normal_functions": NORMAL_FUNCTIONS,
     "text_columns": TEXT_COLUMNS,
     "region_names": "SELECT r_regionkey, r_name AS category FROM region",

@@ -343,15 +343,16 @@ def cox_one_binary(spark, sf_dir):
     return _fit_rows(fit, spark, "cox", ("term", "estimate", "std_error"))
 
 
+# The given tables are plain files: a fit reads its few columns again rather than write them first.
 FIT_COLUMNS = ("term", "estimate", "std_error", "statistic")
 
 
 def _one_factor(spark, sf_dir):
-    return fit_linear(b.design(spark, sf_dir), b.log_price(), [b.flag_factor()])
+    return fit_linear(b.design(spark, sf_dir), b.log_price(), [b.flag_factor()], plain_scan=True)
 
 
 def _one_number(spark, sf_dir):
-    return fit_linear(b.design(spark, sf_dir), b.log_price(), [b.quantity()])
+    return fit_linear(b.design(spark, sf_dir), b.log_price(), [b.quantity()], plain_scan=True)
 
 
 def _fit_rows(fit, spark, model, columns=FIT_COLUMNS):
@@ -376,7 +377,7 @@ def wls_sandwich_se(spark, sf_dir):
 
 def mincer_fit(spark, sf_dir):
     terms = [b.flag_factor(), b.status_factor(), b.quantity()]
-    return _fit_rows(fit_linear(b.design(spark, sf_dir), b.log_price(), terms), spark, "linear")
+    return _fit_rows(fit_linear(b.design(spark, sf_dir), b.log_price(), terms, plain_scan=True), spark, "linear")
 
 
 def _has_left_number() -> Column:
@@ -386,19 +387,19 @@ def _has_left_number() -> Column:
 
 def probit_fit(spark, sf_dir):
     terms = [Factor("priority", F.col("o_orderpriority"), b.PRIORITIES), Number("log_price", F.ln("o_totalprice"))]
-    fit = fit_probit(b.order_design(spark, sf_dir), _has_left_number(), terms)
+    fit = fit_probit(b.order_design(spark, sf_dir), _has_left_number(), terms, plain_scan=True)
     return _rounded(fit.table(spark, "probit").select(*FIT_COLUMNS), dict.fromkeys(FIT_COLUMNS[1:], 5))
 
 
 def probit_one_factor(spark, sf_dir):
     terms = [Factor("priority", F.col("o_orderpriority"), b.PRIORITIES)]
-    fit = fit_probit(b.order_design(spark, sf_dir), _has_left_number(), terms)
+    fit = fit_probit(b.order_design(spark, sf_dir), _has_left_number(), terms, plain_scan=True)
     return _fit_rows(fit, spark, "probit", ("term", "estimate", "std_error"))
 
 
 def probit_one_number(spark, sf_dir):
     season = F.expr("CAST(substring(o_orderpriority, 1, 1) AS DOUBLE) + month(o_orderdate) / 12")
-    fit = fit_probit(b.order_design(spark, sf_dir), _has_left_number(), [Number("season", season)])
+    fit = fit_probit(b.order_design(spark, sf_dir), _has_left_number(), [Number("season", season)], plain_scan=True)
     return _fit_rows(fit, spark, "probit", ("term", "estimate", "std_error"))
 
 
@@ -458,6 +459,7 @@ def heckman_two_step_query(spark, sf_dir):
         selection_terms=[b.flag_factor(), Number("tax", F.col("l_tax"))],
         outcome=b.log_price(),
         outcome_terms=_outcome_terms(),
+        plain_scan=True,
     )
     return _two_step_rows(fit, spark)
 
@@ -470,6 +472,7 @@ def heckman_one_number(spark, sf_dir):
         selection_terms=[Number("tax", F.col("l_tax"))],
         outcome=b.log_price(),
         outcome_terms=_outcome_terms(),
+        plain_scan=True,
     )
     return _two_step_rows(fit, spark)
 
@@ -568,6 +571,11 @@ def text_columns(spark, sf_dir):
     return scalars.all_as_text(rows)
 
 
+def characterisation_study(spark, sf_dir):
+    """All totals, shares and means of the three sub-populations by year, on the survey view of the tables."""
+    return _rounded(studies.characterisation_study(survey_view.annual(spark, sf_dir)), {"value": 4})
+
+
 def dropout_study_se(spark, sf_dir):
     """The same study with the design's standard errors, as its users call it."""
     waves = survey_view.waves(spark, sf_dir)
@@ -577,6 +585,7 @@ def dropout_study_se(spark, sf_dir):
 
 QUERIES = {
     "dropout_study_se": dropout_study_se,
+    "characterisation_study": characterisation_study,
     "coef_roundtrip": coef_roundtrip,
     "region_names": region_names,
     "normal_functions": normal_functions,

@@ -22,7 +22,7 @@ _ANNUAL = f"""
   '1' AS V1016,
   CASE WHEN l_suppkey % 3 = 0 THEN 'Rural' ELSE 'Urbana' END AS V1022,
   l_linenumber AS V2001,
-  xxhash64({", ".join(b.PERSON_ORDER)}) AS V2003,
+  l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS V2003,
   element_at(array('Responsável', 'Cônjuge', 'Filho(a)', 'Filho(a)', 'Filho(a)', 'Pai ou mãe', 'Pensionista'),
     l_linenumber) AS V2005,
   CASE WHEN l_partkey % 2 = 0 THEN 'Mulher' ELSE 'Homem' END AS V2007,
