@@ -21,14 +21,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Regex, normalizers
 from tokenizers.pre_tokenizers import Split
 
-# Words of about so many characters are merged at once.
-CHUNK = 1 << 22
+# Texts of about so many bytes are encoded at once.
+CHUNK = 1 << 21
 # White space to Python but not to the vocabulary's pattern.
 _CONTROLS = "\x1c\x1d\x1e\x1f"
 _NONE = np.iinfo(np.int64).max
@@ -73,6 +74,7 @@ class Vocabulary:
         end = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = dict.fromkeys(self.special.values()) | {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
+        self.texts = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.string())
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pattern)
@@ -176,9 +178,16 @@ class Vocabulary:
         flat = ids[np.repeat(offsets[place] - total[:-1], sizes) + np.arange(total[-1])]
         return flat, total[np.cumsum([0, *map(len, places)])]
 
-    def decode(self, ids: Sequence[int]) -> str:
-        """Tokens joined by a blank, special ones included: the file names no decoder. Unknown ids are left out."""
-        return " ".join([t for t in map(self.tokens.get, ids) if t is not None])
+    def decode(self, flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of ids in one array with offsets: tokens joined by a blank, special ones included.
+
+        The file names no decoder, so that is all there is to it. Ids without a token are left out.
+        """
+        known = (flat >= 0) & (flat < len(self.texts))
+        if not known.all():
+            ends, flat = np.concatenate(([0], np.cumsum(known)))[ends], flat[known]
+        tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.texts.take(pa.array(flat)))
+        return pc.binary_join(tokens, " ")
 
 
 @cache
@@ -190,23 +199,41 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     """Add the array column `ids`; the vocabulary file must be readable by every executor."""
     kinds = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches, text):
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(*vocabulary(path).encode(batch.column(text).to_pylist()))], kinds.names)
+
+    return docs.mapInArrow(run, kinds)
+
+
+def encode_and_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Replace `text` by its ids and add their decoding, in one pass over the texts."""
+    kept = [f for f in docs.schema.fields if f.name != text]
+    kinds = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches, text):
             flat, ends = vocabulary(path).encode(batch.column(text).to_pylist())
-            made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], kinds.names)
+            rest = [batch.column(f.name) for f in kept]
+            yield pa.RecordBatch.from_arrays([*rest, _lists(flat, ends), vocabulary(path).decode(flat, ends)], kinds.names)
 
     return docs.mapInArrow(run, kinds)
 
 
+def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
+
 def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Add the text column `decoded`."""
+    """Add the text column `decoded`; null ids decode to the empty text."""
     kinds = T.StructType([*docs.schema.fields, T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches, ids):
-            rows = batch.column(ids).to_pylist()
-            made = pa.array([vocabulary(path).decode(r or ()) for r in rows], pa.string())
+            rows = batch.column(ids)
+            sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+            flat = pc.fill_null(rows.flatten(), -1).to_numpy(zero_copy_only=False)
+            made = vocabulary(path).decode(flat, np.concatenate(([0], np.cumsum(sizes))))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], kinds.names)
 
     return docs.mapInArrow(run, kinds)

@@ -27,7 +27,7 @@ BUCKETS = 1 << 15
 TRAINING_ROWS = 10_000
 SMOOTHING = 0.5
 # Characters handled at once in numpy; a single longer text is cut between words.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 UNDETERMINED = "und"
 _MIXERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 

@@ -69,8 +69,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode and decode `text`; the other columns, ids, n_tokens and the digests of ids and decoded text."""
     rest = [c for c in docs.columns if c != "text"]
-    encoded = bpe.encode(docs, path).select(*rest, "ids")
-    decoded = bpe.decode(encoded, path)
+    decoded = bpe.encode_and_decode(docs, path)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select(
         *rest,
