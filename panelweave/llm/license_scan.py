@@ -65,19 +65,26 @@ def _candidates(text: Column, whole: Column) -> Column:
     return F.array_distinct(F.concat(lines, paragraphs, F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))))
 
 
-def _weights(units: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(unit, token, weight) with unit length one, for candidates and templates (unit, words)."""
-    counted = [x.select("unit", F.explode("words").alias("token")).groupBy("unit", "token").agg(F.count("*").alias("tf")) for x in (units, templates)]
-    counted = [written(c, "terms") for c in counted]
-    total = units.count() + templates.count()
-    found = counted[0].select("token").unionAll(counted[1].select("token")).groupBy("token").agg(F.count("*").alias("df"))
+def _scores(parts: DataFrame, templates: DataFrame) -> DataFrame:
+    """(unit, template, license, score): cosines of distinct candidates (unit, words) that share a term with a template.
+
+    A candidate's terms are counted where its words were gathered, without another shuffle. Its length needs the
+    weights of all its terms, the products only those of the templates, which are a parameter of a few hundred terms.
+    """
+    words = parts.groupBy("unit").agg(F.first("words").alias("words"))
+    terms = written(words.select("unit", F.explode("words").alias("token")).groupBy("unit", "token").agg(F.count("*").alias("tf")), "terms")
+    known = templates.select("template", "license", F.explode("words").alias("token")).groupBy("template", "license", "token").agg(F.count("*").alias("tf"))
+    total = parts.select("unit").distinct().count() + templates.count()
+    found = terms.select("token").unionAll(known.select("token")).groupBy("token").agg(F.count("*").alias("df"))
     idf = written(found.select("token", (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
-    out = []
-    for terms in counted:
-        weighted = attach_groups(terms, idf, ["token"]).select("unit", "token", (F.col("tf") * F.col("idf")).alias("weight"))
-        norms = weighted.groupBy("unit").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-        out.append(attach_groups(weighted, norms, ["unit"]).select("unit", "token", (F.col("weight") / F.col("norm")).alias("weight")))
-    return out[0], out[1]
+    weight = F.col("tf") * F.col("idf")
+    lengths = attach_groups(terms, idf, ["token"]).groupBy("unit").agg(F.sqrt(F.sum(weight * weight)).alias("length"))
+    known = known.join(idf, "token").withColumn("weight", weight)
+    sizes = known.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("size"))
+    known = known.join(sizes, "template").select("template", "license", "token", (F.col("weight") / F.col("size") * F.col("idf")).alias("other"))
+    shared = terms.join(F.broadcast(written(known, "templates")), "token")
+    products = shared.groupBy("unit", "template", "license").agg(F.sum(F.col("tf") * F.col("other")).alias("product"))
+    return attach_groups(products, lengths, ["unit"]).select("unit", "template", "license", F.round(F.col("product") / F.col("length"), 6).alias("score"))
 
 
 def scan(
@@ -91,15 +98,9 @@ def scan(
     cued = named.where(F.col("text").rlike(CUE) | (is_licence_file(F.col("path")) & F.col("text").isNotNull()))
     parts = cued.select(key.alias("file"), F.explode(_candidates(F.col("text"), is_licence_file(F.col("path")))).alias("part"))
     parts = parts.select("file", tokens(F.col("part")).alias("words")).where("size(words) > 0")
-    parts = written(parts.select("file", "words", F.md5(F.array_join("words", " ")).alias("unit")), "parts")
-    units = written(parts.groupBy("unit").agg(F.first("words").alias("words")), "units")
-    kinds = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "unit int, license string, text string")
-    kinds = kinds.select("unit", "license", tokens(F.col("text")).alias("words"))
-    left, right = _weights(units, kinds.select("unit", "words"))
-    right = written(right.join(kinds.select("unit", "license"), "unit").select(F.col("unit").alias("template"), "license", "token", F.col("weight").alias("other")), "templates")
-    # The templates are a parameter of a few hundred terms.
-    shared = left.join(F.broadcast(right), "token")
-    scores = shared.groupBy("unit", "template", "license").agg(F.round(F.sum(F.col("weight") * F.col("other")), 6).alias("score"))
+    parts = written(parts.select("file", "words", F.unhex(F.md5(F.array_join("words", " "))).alias("unit")), "parts")
+    kinds = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, license string, text string")
+    scores = _scores(parts.select("unit", "words"), kinds.select("template", "license", tokens(F.col("text")).alias("words")))
     best = scores.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best"))
     best = written(best.select("unit", (-F.col("best.score")).alias("score"), F.col("best.license").alias("license")).where(F.col("score") >= threshold), "best")
     matched = attach_groups(parts.select("file", "unit"), best, ["unit"], "inner")
