@@ -7,8 +7,12 @@ repeated until the result is a value of the format again. So equal values get eq
 different values different ones, and the key undoes them.
 
 Kinds: e-mail names, telephone and card numbers, IPv4 addresses, account numbers (IBAN), social security numbers,
-dates, access keys and hexadecimal secrets. The separators and everything else stay as they are. Where spans
-overlap, the kind listed first wins. Null texts stay null, empty texts empty; texts are treated whole.
+dates, access keys and secrets. The separators and everything else stay as they are. Where spans overlap, the kind
+listed first wins. Null texts stay null, empty texts empty; texts are treated whole.
+
+A secret is a value after password, token, secret or api_key in any case and `=` or `:`, of at least eight letters
+and digits, with `_ . + / -` between them. It is either hexadecimal in one case or has both a letter and a digit;
+other words and plain words, such as `Password: required`, are not taken for secrets.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 _DAYS = (LAST_DAY - FIRST_DAY).days + 1
 _CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
+_HEX = ("0123456789abcdef", "0123456789ABCDEF")
+_SYMBOLS = re.compile(r"[^0-9A-Za-z]")
 
 
 @lru_cache(1 << 16)
@@ -171,8 +177,26 @@ def _mail(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _secret(text: str, key: bytes, back: bool) -> str | None:
-    alphabet = "0123456789abcdef" if text == text.lower() else "0123456789ABCDEF"
-    return permute_symbols(text, [alphabet] * len(text), key, "secret", back)
+    """Hexadecimal digits stay ones of their case, other values keep each symbol's class; so all are found again."""
+
+    def form(value: str) -> str | None:
+        symbols = _SYMBOLS.sub("", value)
+        if len(symbols) < 8:
+            return None
+        if form := next((x for x in _HEX if not symbols.strip(x)), None):
+            return form
+        return "mixed" if re.search("[0-9]", symbols) and re.search("[A-Za-z]", symbols) else None
+
+    kind = form(text)
+    if kind is None:
+        return None
+    alphabets = [x if _SYMBOLS.match(x) else kind if kind in _HEX else next(c for c in _CLASSES if x in c) for x in text]
+    while True:
+        # In blocks of at most 128 symbols, which the permutation mixes in full.
+        blocks = range(0, len(text), 128)
+        text = "".join(permute_symbols(text[i : i + 128], alphabets[i : i + 128], key, "secret", back) for i in blocks)
+        if form(text) == kind:
+            return text
 
 
 def _access_key(text: str, key: bytes, back: bool) -> str | None:
@@ -191,7 +215,7 @@ _IN_RUN: list[tuple[str, re.Pattern, Callable]] = [
 ]
 _ANYWHERE: list[tuple[str, re.Pattern, Callable]] = [
     ("access_key", re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"), _access_key),
-    ("secret", re.compile(r"(?:password|token|secret|api_key)\s*[=:]\s*\"?((?:[0-9a-f]{8,}|[0-9A-F]{8,}))(?![0-9A-Za-z])"), _secret),
+    ("secret", re.compile(r"(?i:password|token|secret|api[_-]?key)[\"']?\s*[=:]\s*[\"']?([0-9A-Za-z](?:[0-9A-Za-z_.+/-]*[0-9A-Za-z])?)"), _secret),
     ("iban", re.compile(r"[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}(?![0-9A-Za-z])"), _iban),
 ]
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")

@@ -101,3 +101,30 @@ def test_edge_rows(spark):
     assert sorted((str(r.doc_id), r.text is None) for r in found.collect()) == sorted((str(r.doc_id), r.text is None) for r in docs.collect())
     assert p.pseudonymise(documents(spark, []), KEY).count() == 0
     assert p.replace(LONG, KEY)[0] == LONG
+
+
+def test_secrets_in_any_case_and_of_any_letters_and_digits():
+    values = ["9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "0641917ea4e9feb9cda8", "ABCDEF12", "12345678", "Zk93hTq0Lm2x", "ghp_16C7e42F292c6912E7", "550e8400-e29b-41d4", "9f" * 500]
+    for line in ('TOKEN = "{}"', "Password={}", "Api_Key: {}", "SECRET={}", '"token": "{}",', "apikey='{}'"):
+        for value in values:
+            text = f"a {line.format(value)} b"
+            new, spans = p.replace(text, KEY)
+            assert [text[s:e] for _, s, e in spans] == [value] and spans[0][0] == "secret", text
+            assert value not in new and p.replace(new, KEY, back=True)[0] == text
+    for text in ("Password: required", "token = get(x)", "Secret: Agreement"):
+        assert p.replace(text, KEY) == (text, [])
+
+
+def test_short_upper_case_secrets_come_back():
+    draw = random.Random(3)
+    for _ in range(2000):
+        text = "TOKEN=" + "".join(draw.choices("0123456789ABCDEF", k=8))
+        assert p.replace(p.replace(text, KEY)[0], KEY, back=True)[0] == text
+
+
+def test_planted_secrets_are_replaced(spark, medium_dir):
+    shape = re.compile(r"(?i)(?:password|token|secret|api_key) ?[=:] ?\"?([0-9a-f]{8,})(?![0-9a-z])")
+    docs = spark.read.parquet(f"{medium_dir}/documents.parquet").select("doc_id", "text")
+    found = {r.doc_id: r.text for r in p.pseudonymise(docs, KEY).collect()}
+    values = [(r.doc_id, v) for r in docs.collect() for v in shape.findall(r.text or "")]
+    assert values and not [(i, v) for i, v in values if v in found[i]]
