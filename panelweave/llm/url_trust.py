@@ -6,7 +6,8 @@ along links, and distrust from hosts with blocked pages against them; a host is
 distrust reaches the threshold.
 
 Mass is counted in whole units of 2^-50 and passed on rounded down, so sums don't depend on their order and
-reruns agree exactly. Walks that reach a host without links end there.
+reruns agree exactly. Walks that reach a host without links end there. Rounds go on until no host's mass changes by
+a unit, and for 214 at most: what has then not arrived is less than one unit of all mass, and only rounding still moves.
 
 Null URLs and URLs without `://` have an empty host and path, fit no rule and are allowed. Repeated rows count as
 pages of their own. Links are the absolute `href` and `src` targets; links within a host are not edges.
@@ -15,18 +16,20 @@ pages of their own. Links are the absolute `href` and `src` targets; links withi
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, log
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from panelweave.llm.storage import remove, written
 from panelweave.operators.skew import attach_groups
 
 DAMPING = 0.85
-ITERATIONS = 10
 THRESHOLD = 0.5
 UNIT = 1 << 50
+# After so many links the damping leaves less than one unit of all mass.
+ITERATIONS = ceil(log(UNIT) / -log(DAMPING))
 LINK = r'(?:href|src)="([^"]*://[^"]*)"'
 HOST = "://([^/?#]*)"
 PATH = "://[^/?#]*([^?#]*)"
@@ -102,11 +105,17 @@ def host_scores(pages: DataFrame, damping: float = DAMPING, iterations: int = IT
     kept = start.select("kind", "host", F.floor(F.col("mass") * F.lit(1 - damping)).alias("mass"))
     mass = start
     for _ in range(iterations):
+        moved = Observation()
         here = mass.select("kind", F.col("host").alias("a"), "mass")
         flows = attach_groups(ways, here, ["kind", "a"], "inner").select("kind", F.col("b").alias("host"), F.floor(F.col("mass") * F.col("weight")).alias("mass"))
-        following = written(kept.unionByName(flows).groupBy("kind", "host").agg(F.sum("mass").alias("mass")), "mass")
+        parts = kept.unionByName(flows).withColumn("before", F.lit(0)).unionByName(mass.select("kind", "host", F.lit(0).alias("mass"), F.col("mass").alias("before")))
+        sums = parts.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("before").alias("before"))
+        sums = sums.observe(moved, F.sum(F.abs(F.col("mass") - F.col("before"))).alias("units"))
+        following = written(sums.select("kind", "host", "mass"), "mass")
         if mass is not start:
             remove(mass)
         mass = following
+        if not moved.get["units"]:
+            break
     either = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass"))).alias(kind)
     return mass.groupBy("host").agg(either("trust"), either("distrust"))

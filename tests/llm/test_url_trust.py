@@ -109,3 +109,16 @@ def test_hot_host(spark):
     pages = [(i, "http://hub.net/p" if i % 3 == 0 else f"http://h{i % 50}.net/", link(f"h{i % 40}.net", "good.org")) for i in range(1500)]
     pages.append((9999, "http://good.org/", link("hub.net")))
     assert sorted(map(tuple, url_trust.judge(frame(spark, pages), URL_RULES).collect()), key=str) == brute(pages)
+
+
+def test_trust_and_distrust_travel_more_than_ten_links(spark):
+    ways = [f"h{i}.net" for i in range(14)]
+    pages = [(0, "http://good.org/", link(ways[0])), (99, "http://x.example.org/es/", "")]
+    pages += [(i + 1, f"http://{a}/", link(b)) for i, (a, b) in enumerate(zip(ways, [*ways[1:], "x.example.org"], strict=True))]
+    found = {r.host: r for r in url_trust.judge(frame(spark, pages), URL_RULES).collect()}
+    own = url_trust.UNIT * (1 - url_trust.DAMPING)
+    for i, host in enumerate(ways):
+        # A chain has a closed form: what the seed keeps, damped by every link; each link rounds down by less than a unit.
+        for score, links in ((found[host].host_trust, i + 1), (found[host].host_distrust, len(ways) - i)):
+            assert abs(score - own * url_trust.DAMPING**links) <= links + 2
+        assert found[host].verdict == ("block" if len(ways) - i <= i + 1 else "allow")
