@@ -10,7 +10,9 @@ reruns agree exactly. Walks that reach a host without links end there. Rounds go
 a unit, and for 214 at most: what has then not arrived is less than one unit of all mass, and only rounding still moves.
 
 Null URLs and URLs without `://` have an empty host and path, fit no rule and are allowed. Repeated rows count as
-pages of their own. Links are the absolute `href` and `src` targets; links within a host are not edges.
+pages of their own. Links are the `href` and `src` targets that begin with a scheme and `://`, in any case, quoted
+or bare, wherever the page has them; `//host/path` is relative to the page's scheme and no edge. Links within a host
+are not edges.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ THRESHOLD = 0.5
 UNIT = 1 << 50
 # After so many links the damping leaves less than one unit of all mass.
 ITERATIONS = ceil(log(UNIT) / -log(DAMPING))
-LINK = r'(?:href|src)="([^"]*://[^"]*)"'
+# Double-quoted, single-quoted and bare values, up to the end of the host; written without a quote so that SQL can hold it.
+LINK = r"(?:[hH][rR][eE][fF]|[sS][rR][cC])[ \t\n\f\r]*=[ \t\n\f\r]*[\"\x27]?[ \t\n\f\r]*([A-Za-z][A-Za-z0-9+.-]*://[^ \t\n\f\r\"\x27<>/?#]*)"
 HOST = "://([^/?#]*)"
 PATH = "://[^/?#]*([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 from math import floor
+from urllib.parse import urlsplit
 
 from panelweave.llm import url_trust
 from panelweave.llm.queries import URL_RULES
@@ -122,3 +124,32 @@ def test_trust_and_distrust_travel_more_than_ten_links(spark):
         for score, links in ((found[host].host_trust, i + 1), (found[host].host_distrust, len(ways) - i)):
             assert abs(score - own * url_trust.DAMPING**links) <= links + 2
         assert found[host].verdict == ("block" if len(ways) - i <= i + 1 else "allow")
+
+
+class Targets(HTMLParser):
+    """Hosts of the absolute targets, read attribute by attribute."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.hosts = []
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        found = [urlsplit((value or "").strip()) for name, value in attrs if name in ("href", "src")]
+        self.hosts += [u.netloc.lower() for u in found if u.scheme and u.netloc]
+
+
+def test_links_in_every_notation(spark):
+    html = (
+        "<a href='http://single.net/it?a=1'>x</a><a href=http://bare.net/y>x</a><a href=http://end.net>x</a><A HREF=\"HTTP://Upper.net\">x</A>"
+        "<a class=c href = \"https://blank.net/a'b\">x</a><img alt='' Src\n=\n' http://inner.net/ '><a href=\"http://double.net:80?q\">x</a>"
+        "<a href=\"/go?to=http://query.net/\">x</a><a href='mailto:a@b.net'>x</a><a href=local.html>x</a><a href=\"\">x</a>"
+    )
+    expected = sorted(Targets(html).hosts)
+    assert len(expected) == 7 and "query.net" not in expected
+    row = spark.createDataFrame([(html,)], "html string")
+    links = row.select(url_trust.F.explode(url_trust.F.regexp_extract_all("html", url_trust.F.lit(url_trust.LINK), url_trust.F.lit(1))).alias("link"))
+    assert sorted(r[0] for r in links.select(url_trust.host_of(url_trust.F.col("link"))).collect()) == expected
+    pages = [(1, "http://good.org/", html), *((i, f"http://{h}/", "") for i, h in enumerate(expected, 2))]
+    found = {r.host: r.host_trust for r in url_trust.judge(frame(spark, pages), URL_RULES).collect()}
+    assert all(found[h] > 0 for h in expected)
