@@ -122,3 +122,30 @@ def test_planted_lines_are_found(spark, medium_dir):
     expected = {i: {k for k, line in planted.items() if line in t} for i, t in docs.items()}
     assert set(found) == {i for i, k in expected.items() if k}
     assert all(found[i] in expected[i] for i in found)
+
+
+GENUINE = [
+    ("GPL-3.0", "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n"
+     "# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."),
+    ("GPL-2.0", " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+     " * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version."),
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007"),
+    ("LGPL-3.0", "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("MIT", "// SPDX-License-Identifier: MIT"),
+    ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-only"),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n"
+     "in the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n"
+     "copies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0\n=================================="),
+]
+
+
+def test_genuine_headers_titles_and_tags(spark):
+    files = [(i, f"src{i}/a.py", f"x = 1\n\n{text}\n\ny = 2") for i, (_, text) in enumerate(GENUINE)]
+    files.append((99, "other/a.py", "# SPDX-License-Identifier: Proprietary"))
+    found = {r.file_id: r.license for r in scan(spark, files).collect()}
+    assert found == {**{i: name for i, (name, _) in enumerate(GENUINE)}, 99: None}
