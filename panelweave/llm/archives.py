@@ -70,8 +70,9 @@ def _unpacked(data: bytes) -> bytes:
 def write_arc(pages: DataFrame, path: str, version: Column, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Pages as ARC records of the given version (1 or 2); each file is led by no version record of its own.
 
-    The HTTP header keeps the page id and the payload's length. White space in URLs is percent-encoded, a null
-    URL is written as `-`, a null page as an empty payload.
+    The HTTP header keeps the page id and the payload's length. White space in URLs is percent-encoded, as is the
+    colon of `filedesc://`, which only file descriptions begin with; a null URL is written as `-`, a null page as an
+    empty payload.
     """
     body = F.coalesce(F.col(html), F.lit(""))
     ident = F.when(F.col(page_id).isNotNull(), F.concat(F.lit(f"{ID_HEADER}: "), F.col(page_id).cast("string"), F.lit("\r\n"))).otherwise("")
@@ -82,7 +83,8 @@ def write_arc(pages: DataFrame, path: str, version: Column, page_id: str = "page
         F.octet_length(body).cast("string"),
         F.lit("\r\n\r\n"),
     )
-    address = F.coalesce(F.nullif(F.regexp_replace(F.col(url), r"[\x00-\x20\x7F]", "%20"), F.lit("")), F.lit("-"))
+    plain = F.regexp_replace(F.regexp_replace(F.col(url), r"[\x00-\x20\x7F]", "%20"), "^filedesc://", "filedesc%3A//")
+    address = F.coalesce(F.nullif(plain, F.lit("")), F.lit("-"))
     size = (F.octet_length(head) + F.octet_length(body)).cast("string")
     extra = F.when(version == 2, F.lit(" 200 - - 0 pages.arc.gz")).otherwise("")
     line = F.concat(address, F.lit(" 0.0.0.0 20200101000000 text/html"), extra, F.lit(" "), size, F.lit("\n"))

@@ -88,3 +88,8 @@ def test_record_ids_are_stable_and_distinct(spark):
         archives.convert(spark, arc, warc)
         ids.append({r.record_id for r in archives.read_warc(spark, warc).collect()})
     assert len(ids[0]) == len(ids[1]) == len(PAGES)
+
+
+def test_page_with_the_url_of_a_file_description_stays(spark):
+    pages = [(1, "filedesc://a.arc", "one"), (2, "filedesc://b.arc", "two"), (3, "http://a.org/", "two")]
+    assert sorted(map(tuple, archives.archived_pages(frame(spark, pages)).collect()), key=str) == brute(pages)
