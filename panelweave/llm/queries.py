@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import archives, bpe, exact_dedup, language, license_scan, mixing, ngram_join, pseudonyms, url_trust, vector_dedup
+from panelweave.llm import (
+    archives, bpe, curve_packing, exact_dedup, filter_audit, language, license_scan,
+    mixing, ngram_join, pseudonyms, url_trust, vector_codes, vector_dedup,
+)
 
-# The vocabulary's place is a parameter; the file is never part of the repository.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+# The vocabularies' place is a parameter; the files are never part of the repository.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR")
 VOCABULARY = "word_bpe_49k.json"
+PACKING_VOCABULARY = "byte_bpe_50k.json"
 URL_RULES = tuple(
     url_trust.Rule(*rule)
     for rule in (
@@ -30,8 +35,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary_path() -> str:
-    return os.path.join(TOKENIZERS, VOCABULARY)
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    return os.path.join(TOKENIZERS, name) if TOKENIZERS else public_tokenizers.path(name)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -105,6 +110,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = curve_packing.pack(docs, vocabulary_path(PACKING_VOCABULARY))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -118,5 +137,8 @@ QUERIES = {
         op8_exact_dedup,
         op9_archives,
         op10_language_id,
+        op11_curve_packing,
+        op12_vector_codes,
+        op13_filter_audit,
     )
 }

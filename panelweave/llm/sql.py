@@ -167,6 +167,86 @@ def _op3() -> str:
     """
 
 
+def _op12(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every round as two expressions: all entries compared, then the floors of the means."""
+    floor_mean = "(s - (((s % n) + n) % n)) // n"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""g{i} AS MATERIALIZED (
+  SELECT row, p, arg_min(e, struct_pack(d := d, e := e)) AS e, min(d) AS d
+  FROM (SELECT x.row, x.p, b.e, list_sum(list_transform(list_zip(x.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+        FROM x JOIN b{i} b ON x.p = b.p) GROUP BY row, p
+)""")
+        if i < rounds:
+            steps.append(f"""b{i + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c
+  FROM b{i} b LEFT JOIN (
+    SELECT p, e, list(CAST({floor_mean} AS BIGINT) ORDER BY pos) AS c
+    FROM (SELECT p, e, pos, sum(v) AS s, count(*) AS n
+          FROM (SELECT g.p, g.e, unnest(x.c) AS v, generate_subscripts(x.c, 1) AS pos FROM g{i} g JOIN x ON g.row = x.row AND g.p = x.p)
+          GROUP BY p, e, pos)
+    GROUP BY p, e) m ON b.p = m.p AND b.e = m.e
+)""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), x AS MATERIALIZED (
+  SELECT row, p, c[p * (len(c) // {parts}) + 1 : (p + 1) * (len(c) // {parts})] AS c FROM v, range({parts}) r(p)
+), b0 AS (
+  SELECT p, row - 1 AS e, c FROM x WHERE row <= {entries}
+), {", ".join(steps)}, k AS (
+  SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM g{rounds} GROUP BY row
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM k JOIN v USING (row)
+"""
+
+
+OP13 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first_id FROM t
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         concat(CASE WHEN len(words) < 100 THEN 'A' END,
+                CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' END,
+                CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t) THEN 'C' END,
+                CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+                CASE WHEN w.doc_id > first_id THEN 'E' END) AS failed
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id
+), n AS (
+  SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, failed
+), f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), o AS (
+  SELECT concat(a.f, b.f, c.f, d.f, e.f) AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), s AS (
+  SELECT part, filter_order, n, good, toxic, failed, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS f,
+         coalesce(list_min(list_transform(string_split(failed, ''), lambda x: CASE WHEN x <> '' THEN instr(filter_order, x) END)), 6) AS gone
+  FROM n, o, range(1, 6) r(step)
+), c AS (
+  SELECT part, filter_order, step, f,
+         CAST(sum(CASE WHEN gone > step THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN gone = step THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN contains(failed, f) AND gone < step THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN failed = f THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN gone = step THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN gone = step THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM s GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM c
+"""
+
 ORACLES = {
     "op1_url_verdicts": _op1(),
     "op2_near_vectors": OP2,
@@ -174,4 +254,6 @@ ORACLES = {
     "op5_source_mix": OP5,
     "op8_exact_dedup": OP8,
     "op9_archives": OP9,
+    "op12_vector_codes": _op12(),
+    "op13_filter_audit": OP13,
 }
