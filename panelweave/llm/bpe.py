@@ -8,7 +8,9 @@ lowest-ranked pair is merged, and finished words leave the array.
 One merge per word and round would be exact by definition. All places of the pair are merged at once only
 where that gives the same result: when every merge that uses the new symbol ranks after this one.
 
-Null texts encode to no ids and decode to the empty text. Texts are encoded whole.
+Null texts encode to no ids and decode to the empty text. Texts are encoded whole. Repeated rows are encoded
+each, null ids of rows are no matter, an empty table gives no rows. All other columns pass through; a column
+that has the name of a new one is replaced by it.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import cache
 
 import numpy as np
@@ -28,8 +30,10 @@ from pyspark.sql import types as T
 from tokenizers import Regex, normalizers
 from tokenizers.pre_tokenizers import Split
 
-# Texts of about so many bytes are encoded at once.
-CHUNK = 1 << 21
+from panelweave.llm.batches import Batches, bounded, map_batches, other_fields
+
+# Texts of about so many bytes, or so many ids, are handled at once.
+CHUNK = 1 << 20
 # White space to Python but not to the vocabulary's pattern.
 _CONTROLS = "\x1c\x1d\x1e\x1f"
 _NONE = np.iinfo(np.int64).max
@@ -197,27 +201,29 @@ def vocabulary(path: str) -> Vocabulary:
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the array column `ids`; the vocabulary file must be readable by every executor."""
-    kinds = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    kept = other_fields(docs, [ids])
+    kinds = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches, text):
-            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(*vocabulary(path).encode(batch.column(text).to_pylist()))], kinds.names)
+    def run(batches: Batches) -> Batches:
+        for batch in bounded(batches, text, CHUNK):
+            rest = [batch.column(f.name) for f in kept]
+            yield pa.RecordBatch.from_arrays([*rest, _lists(*vocabulary(path).encode(batch.column(text).to_pylist()))], kinds.names)
 
-    return docs.mapInArrow(run, kinds)
+    return map_batches(docs, run, kinds)
 
 
 def encode_and_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Replace `text` by its ids and add their decoding, in one pass over the texts."""
-    kept = [f for f in docs.schema.fields if f.name != text]
+    kept = other_fields(docs, [text, ids, decoded])
     kinds = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches, text):
+    def run(batches: Batches) -> Batches:
+        for batch in bounded(batches, text, CHUNK):
             flat, ends = vocabulary(path).encode(batch.column(text).to_pylist())
             rest = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*rest, _lists(flat, ends), vocabulary(path).decode(flat, ends)], kinds.names)
 
-    return docs.mapInArrow(run, kinds)
+    return map_batches(docs, run, kinds)
 
 
 def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -226,22 +232,15 @@ def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add the text column `decoded`; null ids decode to the empty text."""
-    kinds = T.StructType([*docs.schema.fields, T.StructField(decoded, T.StringType())])
+    kept = other_fields(docs, [decoded])
+    kinds = T.StructType([*kept, T.StructField(decoded, T.StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches, ids):
+    def run(batches: Batches) -> Batches:
+        for batch in bounded(batches, ids, CHUNK):
             rows = batch.column(ids)
             sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
             flat = pc.fill_null(rows.flatten(), -1).to_numpy(zero_copy_only=False)
             made = vocabulary(path).decode(flat, np.concatenate(([0], np.cumsum(sizes))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], kinds.names)
-
-    return docs.mapInArrow(run, kinds)
-
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], made], kinds.names)
 
-def _parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that `column` holds about CHUNK bytes."""
-    for batch in batches:
-        rows = max(1, int(batch.num_rows * CHUNK / max(CHUNK, batch.column(column).nbytes)))
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+    return map_batches(docs, run, kinds)

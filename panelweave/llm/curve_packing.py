@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from panelweave.llm.batches import map_batches
 from panelweave.llm.storage import written
 
 SEQUENCE = 1024
@@ -160,7 +161,7 @@ def tokenised(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
             columns = [doc_ids, _binaries(flat.astype(kind), sizes), pa.array(sizes), *[pa.array(places[:, i]) for i in range(DIMS)]]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return written(named.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    return written(map_batches(named, run, schema).withColumn("row", F.monotonically_increasing_id()), "tokens")
 
 
 def _kind(path: str) -> str:
@@ -289,7 +290,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text")
         if stream is not None:
             yield pa.RecordBatch.from_arrays(stream.take(last=True), schema.names)
 
-    return ordered.select("doc_id", "ids", "n_tokens").mapInArrow(run, schema)
+    return map_batches(ordered.select("doc_id", "ids", "n_tokens"), run, schema)
 
 
 def sequences(pieces: DataFrame, pad: int = END) -> DataFrame:

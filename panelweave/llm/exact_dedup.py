@@ -56,16 +56,33 @@ def find_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; only possibly repeated rows are shuffled."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_digest(text).alias("sha"),
-                       _order(F.coalesce(F.length(text), F.lit(0)), F.col(doc_id)).alias("order"))
-    rows = rows.withColumn("hash", F.xxhash64("sha"))
-    hashes = written(rows.select("hash"), "hashes")
-    bits = filter_bits(hashes.count())
-    words = written(filter_words(hashes, "hash", bits, at_least=2), "repeated")
-    tested = with_membership(rows, "hash", words, bits, "repeated")
-    repeated = tested.where("repeated")
-    groups = repeated.groupBy("sha").agg(F.min("order").alias("first"))
-    winners = attach_groups(repeated, groups, ["sha"], "inner").where(F.col("order").eqNullSafe(F.col("first")))
-    kept = winners.dropDuplicates(["sha"]).select("doc")
-    return tested.where(~F.col("repeated")).select("doc").unionByName(kept).select("doc.*")
+    """The rows that stay, with all their columns; only possibly repeated rows are shuffled.
+
+    Groups are decided on a written narrow table. Whole rows are then tested by their id alone against a filter of
+    the ids in groups; those that pass are hashed once more and meet their group's first row.
+    """
+    order = _order(F.coalesce(F.length(text), F.lit(0)), F.col(doc_id))
+    narrow = docs.select(_id_hash(doc_id), order.alias("order"), text_digest(text).alias("sha")).withColumn("hash", F.xxhash64("sha"))
+    narrow = written(narrow, "digests")
+    bits = filter_bits(narrow.count())
+    repeated = with_membership(narrow, "hash", filter_words(narrow, "hash", bits, at_least=2), bits, "repeated").where("repeated")
+    equal = repeated.groupBy("sha", "order").agg(F.count("*").alias("n"), F.min("id_hash").alias("id_hash"))
+    groups = equal.groupBy("sha").agg(F.sum("n").alias("copies"), F.min("order").alias("first"))
+    groups = written(groups.where("copies > 1").select("sha", "first"), "groups")
+    members = written(attach_groups(equal, groups, ["sha"], "inner"), "members")
+    bits = filter_bits(members.count())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _id_hash(doc_id), F.col(text).alias("text"), order.alias("order"))
+    tested = with_membership(rows, "id_hash", filter_words(members, "id_hash", bits), bits, "grouped")
+    some = tested.where("grouped").select("doc", "order", text_digest("text").alias("sha"))
+    # A row outside all groups only passed by its id; of a group, the first row stays.
+    met = attach_groups(some, groups, ["sha"]).where(F.col("first").isNull() | F.col("order").eqNullSafe(F.col("first")))
+    tied = members.where((F.col("n") > 1) & F.col("order").eqNullSafe(F.col("first"))).select("sha", F.lit(True).alias("tied"))
+    winners = written(attach_groups(met, tied, ["sha"]).select("doc", "sha", "tied"), "winners")
+    # Of rows that tie in id and length one stays; no other whole row is sorted.
+    one = winners.where("tied").dropDuplicates(["sha"]).select("doc")
+    kept = winners.where("tied IS NULL").select("doc").unionByName(one)
+    return tested.where(~F.col("grouped")).select("doc").unionByName(kept).select("doc.*")
+
+
+def _id_hash(doc_id: str) -> Column:
+    return F.xxhash64(F.lit("id"), F.col(doc_id)).alias("id_hash")

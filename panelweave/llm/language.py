@@ -9,7 +9,9 @@ The model is fitted on a bounded sample: in expectation at most `TRAINING_ROWS`
 language, chosen by a hash of the id, so reruns agree. Every document is scored over its whole text.
 
 Null texts and texts without a letter are `und` with score 0, as is everything when no row has a label.
-The score is the posterior probability of the predicted language; ties go to the smaller language name.
+The score is the posterior probability of the predicted language, all languages being equally likely before the
+text is read; ties go to the smaller language name. Repeated rows are scored each, an empty table gives no rows,
+and a column that has the name of a new one is replaced by it.
 """
 
 from __future__ import annotations
@@ -23,11 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelweave.llm.batches import Batches, bounded, map_batches, other_fields
+
 BUCKETS = 1 << 15
 TRAINING_ROWS = 10_000
 SMOOTHING = 0.5
 # Characters handled at once in numpy; a single longer text is cut between words.
 CHUNK = 1 << 18
+# Bytes of text taken from Spark's batches at once.
+BYTES = 1 << 21
 UNDETERMINED = "und"
 _MIXERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -111,9 +117,9 @@ def fit(docs: DataFrame, trainable: Column, doc_id: str = "doc_id", text: str =
     drawn = F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 20)) < share * (1 << 20)
     place = {k: i for i, k in enumerate(languages)}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Batches) -> Batches:
         total = np.zeros((len(languages), BUCKETS), np.int64)
-        for batch in batches:
+        for batch in bounded(batches, "text", BYTES):
             names, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             for parts, at in _groups(texts):
                 buckets, owner = ngram_buckets(parts)
@@ -123,7 +129,7 @@ def fit(docs: DataFrame, trainable: Column, doc_id: str = "doc_id", text: str =
         yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[row, bucket])], ["row", "bucket", "n"])
 
     sample = labelled.where(drawn).select("lang", "text").repartition(16)
-    counted = sample.mapInArrow(count, "row int, bucket int, n long").groupBy("row", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = map_batches(sample, count, "row int, bucket int, n long").groupBy("row", "bucket").agg(F.sum("n").alias("n")).toPandas()
     total = np.full((len(languages), BUCKETS), SMOOTHING)
     np.add.at(total, (counted["row"].to_numpy(), counted["bucket"].to_numpy()), counted["n"].to_numpy())
     return languages, np.log(total / total.sum(axis=1, keepdims=True)).astype(np.float32)
@@ -147,16 +153,17 @@ def predict_batch(texts: list[str | None], languages: list[str], matrix: np.ndar
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", prediction: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Add the two columns to every row; all other columns pass through."""
+    """Add the two columns to every row, in place of any of their names; all other columns pass through."""
     languages, log_probabilities = model
     shared = docs.sparkSession.sparkContext.broadcast((languages, np.ascontiguousarray(log_probabilities.T)))
-    names = list(docs.columns)
+    kept = other_fields(docs, [prediction, score])
+    kinds = T.StructType([*kept, T.StructField(prediction, T.StringType()), T.StructField(score, T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         names_of, matrix = shared.value
-        for batch in batches:
+        for batch in bounded(batches, text, BYTES):
             found, posterior = predict_batch(batch.column(text).to_pylist(), names_of, matrix)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(posterior, pa.float64())], [*names, prediction, score])
+            rest = [batch.column(f.name) for f in kept]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(found, pa.string()), pa.array(posterior, pa.float64())], kinds.names)
 
-    kinds = T.StructType([*docs.schema.fields, T.StructField(prediction, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.mapInArrow(run, kinds)
+    return map_batches(docs, run, kinds)

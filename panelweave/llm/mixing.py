@@ -76,7 +76,7 @@ def mix(
     With `carry` the whole input row comes along as the struct `doc`.
 
     `taken` counts the words of the document in the mix, repeats included; `finish` is the virtual time of the
-    document's first copy. Ordering by (finish, shuffle_key) is the order of the mix.
+    document's first copy, null where the source's target is below one word. Ordering by (finish, shuffle_key) is the order of the mix.
     """
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     rows = docs.select(
@@ -105,7 +105,7 @@ def mix(
         "source_size",
         "target",
         taken.cast("long").alias("taken"),
-        ((F.col("start") + F.col("size")) / F.floor("target")).alias("finish"),
+        F.try_divide(F.col("start") + F.col("size"), F.floor("target")).alias("finish"),
         "shuffle_key",
     )
 
@@ -119,7 +119,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     rows = rows.where("taken > 0").withColumn("copies", copies).where("copies > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    finish = F.col("finish") + F.col("copy") * F.col("source_size") / F.floor("target")
+    finish = F.col("finish") + F.try_divide(F.col("copy") * F.col("source_size"), F.floor("target"))
     ordered = rows.withColumn("finish", finish).repartitionByRange("finish", "shuffle_key")
     return ordered.sortWithinPartitions("finish", "shuffle_key").select("doc.*")
 

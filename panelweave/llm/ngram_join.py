@@ -12,14 +12,13 @@ other; null ids are allowed, the class id is the smallest id in the class.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.llm.batches import Batches, bounded, map_batches
 from panelweave.llm.linking import block_tasks, linked_classes, verified_links
 from panelweave.llm.membership import filter_bits, filter_words, with_membership
 from panelweave.llm.storage import written
@@ -31,6 +30,8 @@ RECALL = 0.9999
 MAX_HASHES = 128
 # n-grams that weigh as much as one more node in a block.
 WEIGHT = 4096
+# Bytes of text taken from Spark's batches at once.
+CHUNK = 1 << 21
 # Columns of a block's membership matrix at a time.
 STRIPE = 4096
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -84,8 +85,8 @@ def _key(text: str) -> Column:
 def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, key, hash, weight, bands) of each row of (doc_id, key, hash, text)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Batches) -> Batches:
+        for batch in bounded(batches, "text", CHUNK):
             weights, hashes = [], []
             for value in batch.column("text"):
                 grams = shingles(value.as_py(), n)
@@ -97,18 +98,18 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, key string, hash long, weight long, bands array<long>")
+    return map_batches(docs, run, f"doc_id {kind}, key string, hash long, weight long, bands array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     """(node, grams) of rows of (key, text)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Batches) -> Batches:
+        for batch in bounded(batches, "text", CHUNK):
             grams = [shingles(v.as_py(), n).view(np.int64) for v in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(grams, pa.list_(pa.int64()))], ["node", "grams"])
 
-    return docs.mapInArrow(run, "node string, grams array<long>")
+    return map_batches(docs, run, "node string, grams array<long>")
 
 
 def similar_sets(threshold: float):

@@ -28,7 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from panelweave.llm.batches import Batches, bounded, map_batches, other_fields
+
 ROUNDS = 10
+# Bytes of text taken from Spark's batches at once.
+CHUNK = 1 << 21
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 _DAYS = (LAST_DAY - FIRST_DAY).days + 1
 _CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
@@ -263,17 +267,21 @@ def replace(text: str | None, key: bytes, back: bool = False) -> tuple[str | Non
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str = "spans", back: bool = False) -> DataFrame:
-    """Replace `text` and add `spans`, an array of (kind, start, end) in the original text."""
+    """Replace `text` and add `spans`, an array of (kind, start, end) in the original text.
+
+    Repeated rows are treated alike, an empty table gives no rows, and an input column named like `spans` is replaced.
+    """
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    kinds = T.StructType([*docs.schema.fields, T.StructField(spans, T.ArrayType(span))])
+    kept = other_fields(docs, [spans])
+    kinds = T.StructType([*kept, T.StructField(spans, T.ArrayType(span))])
     arrow_span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Batches) -> Batches:
+        for batch in bounded(batches, text, CHUNK):
             done = [replace(v.as_py(), key, back) for v in batch.column(text)]
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            columns = {f.name: batch.column(f.name) for f in kept}
             columns[text] = pa.array([d[0] for d in done], pa.string())
             columns[spans] = pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in d[1]] for d in done], arrow_span)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, kinds)
+    return map_batches(docs, run, kinds)

@@ -72,12 +72,16 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
-    """Encode and decode `text`; the other columns, ids, n_tokens and the digests of ids and decoded text."""
-    rest = [c for c in docs.columns if c != "text"]
+    """Encode and decode `text`; the other columns, ids, n_tokens and the digests of ids and decoded text.
+
+    Input columns with the name of a new one are replaced.
+    """
+    made = ("text", "ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")
+    rest = [c for c in docs.columns if c.lower() not in made]
     decoded = bpe.encode_and_decode(docs, path)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select(
-        *rest,
+        *[F.col(f"`{c}`") for c in rest],
         "ids",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(joined, 256).alias("ids_sha256"),
