@@ -97,29 +97,57 @@ def poststratify(design: SurveyDesign, group: str, totals: Mapping | str, adjust
     return replace(design, data=data, weight=adjusted, poststratum=group)
 
 
-def residualised(
-    design: SurveyDesign, clusters: DataFrame, cells: DataFrame, keys: Sequence[str], columns: Sequence[str]
-) -> DataFrame:
-    """Cluster totals net of the post-stratum mean, for the variance of a post-stratified estimate.
-
-    `clusters` has the weight `w` of every (cluster, post-stratum) of the design, `cells` the totals per
-    estimate, cluster and post-stratum. A cluster with rows in a post-stratum takes part in every
-    estimate there, so the result holds estimates x clusters rows, whatever the size of the survey.
+@dataclass(frozen=True)
+class PoststratumProducts:
+    """What all post-stratified estimates of a design share, from the weights of its (cluster, post-stratum) pairs.
+
+    With w the weights by cluster and post-stratum, n the clusters of a stratum and f its factor n / (n - 1), the
+    covariance of two cluster totals a and b is the sum over strata of f (sum of a b - (sum of a) (sum of b) / n).
+    `pairs` (by, group, other, product) has it for the weights of every two post-strata: one small matrix per period,
+    whatever the number of clusters. `scaled` and `strata` are what `covariances` needs to pair other totals with them.
     """
-    group = [*design.by, design.poststratum]
-    sizes = clusters.groupBy(*group).agg(F.sum("w").alias("__n"))
-    means = (
-        cells.groupBy(*dict.fromkeys([*keys, *group]))
-        .agg(*[F.sum(c).alias(c) for c in columns])
-        .join(sizes, group)
-        .select(*keys, design.poststratum, *[(F.col(c) / F.col("__n")).alias(f"__mean_{c}") for c in columns])
-    )
-    expected = means.join(clusters, group).select(
-        *keys, design.strata, design.psu, *[(-F.col(f"__mean_{c}") * F.col("w")).alias(c) for c in columns]
-    )
-    observed = cells.select(*keys, design.strata, design.psu, *columns)
-    return (
-        observed.unionByName(expected)
-        .groupBy(*keys, design.strata, design.psu)
-        .agg(*[F.sum(c).alias(c) for c in columns])
+
+    keys: tuple[str, ...]
+    strata_keys: tuple[str, ...]
+    group: str
+    sizes: DataFrame
+    pairs: DataFrame
+    scaled: DataFrame
+    strata: DataFrame
+
+    def covariances(self, totals: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+        """(keys, group, covariance) of the cluster totals `column` with the weights of each post-stratum.
+
+        A cluster's total meets only the post-strata of that cluster; the mean terms come by stratum.
+        """
+        met = totals.join(self.scaled, list(self.keys)).select(*keys, self.group, (F.col(column) * F.col("__fw")).alias("covariance"))
+        sums = totals.groupBy(*dict.fromkeys([*keys, *self.strata_keys])).agg(F.sum(column).alias("__sum"))
+        means = sums.join(self.strata, list(self.strata_keys)).select(*keys, self.group, (-F.col("__sum") * F.col("__fw")).alias("covariance"))
+        added = [frame.groupBy(*keys, self.group).agg(F.sum("covariance").alias("covariance")) for frame in (met, means)]
+        return added[0].unionByName(added[1])
+
+
+def poststratum_products(design: SurveyDesign, clusters: DataFrame, factors: DataFrame) -> PoststratumProducts:
+    """The shared products of a post-stratified design; `clusters` has the weight `w` of every (cluster, post-stratum)."""
+    by, group, other = list(design.by), design.poststratum, "__other"
+    places = [*by, design.strata]
+    strata = clusters.groupBy(*places, group).agg(F.sum("w").alias("w")).join(factors, places)
+    strata = strata.withColumn("__fw", F.col("w") * F.col("factor") / F.col("n_psu"))
+    scaled = clusters.join(factors.select(*places, "factor"), places)
+    scaled = scaled.select(*design.cluster_keys, group, "w", (F.col("w") * F.col("factor")).alias("__fw"))
+
+    def paired(rows: DataFrame, keys: list[str], sign: float) -> DataFrame:
+        mirror = rows.select(*keys, F.col(group).alias(other), F.col("__fw").alias("__other_fw"))
+        met = rows.select(*keys, group, "w").join(mirror, keys)
+        return met.groupBy(*by, group, other).agg((F.sum(F.col("w") * F.col("__other_fw")) * sign).alias("product"))
+
+    both = paired(scaled, design.cluster_keys, 1.0).unionByName(paired(strata, places, -1.0))
+    return PoststratumProducts(
+        keys=tuple(design.cluster_keys),
+        strata_keys=tuple(places),
+        group=group,
+        sizes=clusters.groupBy(*by, group).agg(F.sum("w").alias("__n")),
+        pairs=both.groupBy(*by, group, other).agg(F.sum("product").alias("product")),
+        scaled=scaled.select(*design.cluster_keys, group, "__fw"),
+        strata=strata.select(*places, group, "__fw"),
     )

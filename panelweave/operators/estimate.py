@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.operators.design import SurveyDesign, residualised
+from panelweave.operators.design import SurveyDesign, poststratum_products
 from panelweave.session import checkpointed
 
 TOTAL, TOTAL_BY, SHARE, MEAN = "total", "total_by", "share", "mean"
@@ -28,6 +28,8 @@ DESIGN_ITEM = "design"
 NO_LEVEL = ""
 # Sums a task adds up before it hands them on.
 HELD_SUMS = 4_000_000
+# A variance below this share of the squares it is the difference of is rounding, and so zero.
+ROUNDING = 1e-12
 
 
 @dataclass(frozen=True)
@@ -281,9 +283,14 @@ def _taylor(design: SurveyDesign, cells: DataFrame, clusters: DataFrame) -> Data
     bottoms = (
         cells.where(~_is_total()).groupBy(*variable, *design.cluster_columns).agg(F.sum("x").alias("x"))
     )
+    factors = design.stratum_factors(clusters)
+    adjustment = None
     if design.poststratum:
-        tops = residualised(design, clusters, tops, keys, ["y"])
-        bottoms = residualised(design, clusters, bottoms, variable, ["x"])
+        # Small tables that the adjustment and the plain variance both read.
+        points, factors = checkpointed(points), checkpointed(factors)
+        adjustment = _poststratified(design, clusters, factors, tops, bottoms, points)
+        tops = tops.groupBy(*keys, *places).agg(F.sum("y").alias("y"))
+        bottoms = bottoms.groupBy(*variable, *places).agg(F.sum("x").alias("x"))
 
     def zero_if_absent(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0.0)).alias(name)
@@ -301,17 +308,60 @@ def _taylor(design: SurveyDesign, cells: DataFrame, clusters: DataFrame) -> Data
     per_stratum = (
         top_strata.join(whole, [*keys, design.strata], "full")
         .select(*keys, design.strata, *[zero_if_absent(c) for c in ("s_y", "s_yy", "s_xy", "s_x", "s_xx")])
-        .join(design.stratum_factors(clusters), [*design.by, design.strata])
+        .join(factors, [*design.by, design.strata])
         .join(points, keys)
     )
     ratio = F.when(_is_total(), F.lit(0.0)).otherwise(F.col("value"))
     total = F.col("s_y") - ratio * F.col("s_x")
     squares = F.col("s_yy") - 2 * ratio * F.col("s_xy") + ratio * ratio * F.col("s_xx")
     spread = F.col("factor") * (squares - total * total / F.col("n_psu"))
-    variance = F.sum(spread / (F.col("__bottom") * F.col("__bottom")))
-    return per_stratum.groupBy(*keys).agg(
-        F.first("value").alias("value"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std_error")
+    scale = F.sum(F.col("factor") * (F.col("s_yy") + ratio * ratio * F.col("s_xx")))
+    summed = per_stratum.groupBy(*keys).agg(
+        F.first("value").alias("value"), F.first("__bottom").alias("__bottom"), F.sum(spread).alias("__variance"), scale.alias("__scale")
     )
+    variance = F.greatest("__variance", F.lit(0.0))
+    if adjustment is not None:
+        summed = summed.join(adjustment, keys, "left")
+        netted = F.col("__variance") + F.coalesce("__adjustment", F.lit(0.0))
+        variance = F.when(netted > F.col("__scale") * ROUNDING, netted).otherwise(0.0)
+    return summed.select(*keys, "value", (F.sqrt(variance) / F.abs("__bottom")).alias("std_error"))
+
+
+def _poststratified(
+    design: SurveyDesign, clusters: DataFrame, factors: DataFrame, tops: DataFrame, bottoms: DataFrame, points: DataFrame
+) -> DataFrame:
+    """(keys, __adjustment): what post-strata change in the variance of the linearised totals.
+
+    The score of a cluster is z - (sum over post-strata of k w), with z = y - R x its total, w its weight in the
+    post-stratum and k the post-stratum's mean of y - R x. Its variance is that of z, less twice the sum of k times the
+    covariance of z and w, plus the sum of k k' times that of w and w'. The last is one matrix for all estimates, so no
+    estimate meets a cluster where it has nothing.
+    """
+    shared = poststratum_products(design, clusters, factors)
+    group, by, variable = shared.group, list(design.by), _variable_keys(design)
+    keys = [*variable, "level"]
+    # Numerators and denominators go the same way, told apart by their side.
+    places = [design.strata, design.psu, group]
+    y_cells = tops.select(*keys, F.lit("y").alias("__side"), *places, F.col("y").alias("v"))
+    x_cells = bottoms.select(*variable, F.lit(NO_LEVEL).alias("level"), F.lit("x").alias("__side"), *places, F.col("x").alias("v"))
+    cells, sided = y_cells.unionByName(x_cells), [*keys, "__side"]
+    none = F.lit(0.0)
+    means = cells.groupBy(*sided, group).agg(F.sum("v").alias("v")).join(shared.sizes, [*by, group])
+    totals = cells.groupBy(*sided, design.strata, design.psu).agg(F.sum("v").alias("v"))
+    covered = shared.covariances(totals, sided, "v").select(*sided, group, none.alias("k"), F.col("covariance").alias("c"))
+    sides = checkpointed(means.select(*sided, group, (F.col("v") / F.col("__n")).alias("k"), none.alias("c")).unionByName(covered))
+    # A denominator's part counts -R times in every category of its variable.
+    ratios = points.where(~_is_total()).select(*keys, (-F.col("value")).alias("__r"))
+    shares = sides.where("__side = 'x'").drop("level").join(ratios, variable)
+    shares = shares.select(*keys, group, (F.col("k") * F.col("__r")).alias("k"), (F.col("c") * F.col("__r")).alias("c"))
+    both = sides.where("__side = 'y'").select(*keys, group, "k", "c").unionByName(shares)
+    # One row per estimate and post-stratum, read three times.
+    both = checkpointed(both.groupBy(*keys, group).agg(F.sum("k").alias("k"), F.sum("c").alias("c")))
+    linear = both.select(*keys, (-2.0 * F.col("k") * F.col("c")).alias("part"))
+    half = both.select(*keys, group, "k").join(shared.pairs, [*by, group])
+    half = half.groupBy(*keys, F.col("__other").alias(group)).agg(F.sum(F.col("k") * F.col("product")).alias("kp"))
+    square = half.join(both.select(*keys, group, "k"), [*keys, group]).select(*keys, (F.col("kp") * F.col("k")).alias("part"))
+    return linear.unionByName(square).groupBy(*keys).agg(F.sum("part").alias("__adjustment"))
 
 
 def _replicated(design: SurveyDesign, cells: DataFrame) -> DataFrame:

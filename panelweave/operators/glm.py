@@ -26,7 +26,7 @@ from panelweave.functions.scalars import (
     TAIL_BOTTOM,
     TAIL_TOP,
 )
-from panelweave.operators.design import SurveyDesign, residualised
+from panelweave.operators.design import SurveyDesign
 from panelweave.operators.model import (
     Fit,
     Layout,
@@ -241,7 +241,7 @@ def _score_covariance(design, frame, layout, columns, beta, score) -> tuple[np.n
     totals = cells
     if design.poststratum:
         used = cells.groupBy("h", "c").agg(F.sum("n").alias("n"))
-        totals = checkpointed(residualised(plain, cells, cells, [], names).join(used, ["h", "c"]))
+        totals = checkpointed(_net_of_poststrata(cells, names).join(used, ["h", "c"]))
 
     # The covariance is a weighted cross-product of cluster rows minus one of stratum rows. Both kinds
     # of row also say whether the fit used them, for the degrees of freedom.
@@ -260,6 +260,13 @@ def _score_covariance(design, frame, layout, columns, beta, score) -> tuple[np.n
     return _gram(per_cluster.unionByName(per_stratum), names)
 
 
+def _net_of_poststrata(cells: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Cluster scores (h, c, names) from (h, c, g) cells, each less its weight times the post-stratum's mean score."""
+    means = cells.groupBy("g").agg(*[F.try_divide(F.sum(s), F.sum("w")).alias(f"__mean_{s}") for s in names])
+    net = [F.sum(F.col(s) - F.coalesce(F.col("w") * F.col(f"__mean_{s}"), F.lit(0.0))).alias(s) for s in names]
+    return cells.join(means, "g").groupBy("h", "c").agg(*net)
+
+
 def _score_rows(frame, layout, columns, beta, score, keys, names) -> DataFrame:
     """Score sums per cluster, folded within each task; tasks meet in the following grouped sum.
 
