@@ -23,6 +23,7 @@ from panelweave.operators.model import (
     symmetric,
     vector_rows,
 )
+from panelweave.operators.running import RANGE, in_ranges, running_sums
 from panelweave.session import checkpointed, staged
 
 OVERALL = "all"
@@ -32,8 +33,10 @@ MAX_HALVINGS = 10
 LIKELIHOOD_TOLERANCE = 1e-9
 # Of the events tied at a time the last ones, where the summands bend most, are summed one by one.
 DIRECT_TIES = 64
-# Sums over later times are added up within so many ranges of time, and over the ranges before.
+# Sums over later times are added up within so many ranges of time, and over the ranges before. Their cuts are
+# quantiles of the distinct times, found to within one part in RANGE_ACCURACY.
 TIME_RANGES = 256
+RANGE_ACCURACY = 1 << 14
 # Values a task adds up before it hands them on.
 HELD_VALUES = 4_000_000
 
@@ -47,7 +50,8 @@ def km_curve(
 ) -> DataFrame:
     """Survival curve per population and stratum, with Greenwood errors and the log-scale 95% interval.
 
-    All populations come from one aggregate by (stratum, time); the running sums only see that table.
+    All populations come from one aggregate by (stratum, time); the running sums only see that table, in ranges of
+    time that hold about as many rows each, so times may be as many as there are people.
     A person without a stratum value is left out.
     """
     populations = populations or {OVERALL: F.lit(True)}
@@ -58,40 +62,39 @@ def km_curve(
         counts.append(F.count_if(inside & (F.col(status) == 1)).alias(f"event_{i}"))
         counts.append(F.count_if(inside & (F.col(status) == 0)).alias(f"censor_{i}"))
     per_time = table.groupBy(stratum.alias("stratum"), F.col(time).alias("time")).agg(*counts)
+    per_time = in_ranges(per_time.where(F.col("stratum").isNotNull()), ["stratum"], "time")
+    everyone = {f"risk_{i}": F.col(f"event_{i}") + F.col(f"censor_{i}") for i in range(len(populations))}
+    at_risk = running_sums(per_time, ["stratum"], "time", everyone, descending=True)
     per_population = F.array(
         *[
             F.struct(
                 F.lit(name).alias("population"),
+                F.col(f"risk_{i}").alias("n_risk"),
                 F.col(f"event_{i}").alias("n_event"),
                 F.col(f"censor_{i}").alias("n_censor"),
             )
             for i, name in enumerate(populations)
         ]
     )
-    rows = (
-        per_time.where(F.col("stratum").isNotNull())
-        .select("stratum", "time", F.inline(per_population))
-        .where(F.col("n_event") + F.col("n_censor") > 0)
-    )
-    group = Window.partitionBy("population", "stratum")
-    from_here = group.orderBy(F.col("time").desc())
-    so_far = group.orderBy("time")
-    at_risk = rows.withColumn("n_risk", F.sum(F.col("n_event") + F.col("n_censor")).over(from_here))
+    rows = at_risk.select("stratum", "time", RANGE, F.inline(per_population)).where(F.col("n_event") + F.col("n_censor") > 0)
     died, risk = F.col("n_event"), F.col("n_risk")
     survivors = died < risk
     # A product of (1 - d/n) by logarithms, with the step to zero handled apart: it has no logarithm.
-    log_step = F.when(survivors, F.log1p(-died / risk))
-    hazard_step = F.when(survivors, died / (risk * (risk - died)))
-    ended = F.max(~survivors).over(so_far)
-    curve = at_risk.select(
+    steps = {
+        "__log": F.when(survivors, F.log1p(-died / risk)),
+        "__hazard": F.when(survivors, died / (risk * (risk - died))),
+        "__ended": F.when(survivors, 0).otherwise(1),
+    }
+    ended = F.col("__ended") > 0
+    curve = running_sums(rows, ["population", "stratum"], "time", steps).select(
         "population",
         "stratum",
         "time",
         "n_risk",
         "n_event",
         "n_censor",
-        F.when(ended, 0.0).otherwise(F.exp(F.sum(log_step).over(so_far))).alias("surv"),
-        F.when(~ended, F.sqrt(F.sum(hazard_step).over(so_far))).alias("__log_error"),
+        F.when(ended, 0.0).otherwise(F.exp("__log")).alias("surv"),
+        F.when(~ended, F.sqrt("__hazard")).alias("__log_error"),
     )
     margin = F.exp(F.col("__log_error") * Z_95)
     return curve.withColumns(
@@ -123,7 +126,8 @@ def fit_cox(
         width = layout.width
         center, beta, step = np.zeros(width), np.zeros(width), np.zeros(width)
         n, counts, center = _column_sums(frame, layout)
-        likelihood, score, information = _efron_sums(frame, layout, beta, center)
+        cuts = time_cuts(frame)
+        likelihood, score, information = _efron_sums(frame, layout, beta, center, cuts)
         kept = layout.kept(counts)
         columns = independent_columns(information, kept)
         converged = False
@@ -134,7 +138,7 @@ def fit_cox(
                 break
             previous = likelihood
             for _ in range(MAX_HALVINGS):
-                tried = _efron_sums(frame, layout, beta + step, center)
+                tried = _efron_sums(frame, layout, beta + step, center, cuts)
                 if math.isfinite(tried[0]) and tried[0] >= previous - 1e-9 * abs(previous):
                     break
                 step = step / 2.0
@@ -169,8 +173,15 @@ def _column_sums(frame: DataFrame, layout: Layout) -> tuple[int, np.ndarray, np.
     return n, total[width : 2 * width], total[:width] / max(n, 1)
 
 
-def _risk_sums(frame: DataFrame, layout: Layout, beta: np.ndarray, center: np.ndarray) -> DataFrame:
-    """(time, pos, value): the sums of one time, by position.
+def time_cuts(frame: DataFrame, ranges: int = TIME_RANGES) -> np.ndarray:
+    """At most `ranges` - 1 times that cut the distinct times into ranges of about equally many."""
+    quantiles = [i / ranges for i in range(1, ranges)]
+    found = frame.select("time").distinct().agg(F.percentile_approx("time", quantiles, RANGE_ACCURACY)).first()[0]
+    return np.unique(np.asarray(found or [], float))
+
+
+def _risk_sums(frame: DataFrame, layout: Layout, beta: np.ndarray, center: np.ndarray, cuts: np.ndarray) -> DataFrame:
+    """(part, time, pos, value): the sums of one time, by position, and the range the time is in.
 
     The positions are those of exp(x b), times x and times x x' over everyone, the same over the events only,
     x over the events, and the number of events.
@@ -197,30 +208,34 @@ def _risk_sums(frame: DataFrame, layout: Layout, beta: np.ndarray, center: np.nd
                 t = float(times[here[0]])
                 totals[t] = totals.get(t, 0.0) + np.concatenate(values)
             if len(totals) * size > HELD_VALUES:
-                yield _long(totals, size)
+                yield _long(totals, size, cuts)
                 totals = {}
         if totals:
-            yield _long(totals, size)
+            yield _long(totals, size, cuts)
 
     names = ["time", "status", *layout.column_names()]
-    return summed_vectors(frame.select(*names), partials, "time double")
+    return summed_vectors(frame.select(*names), partials, "part int, time double")
 
 
 def _positions(width: int) -> int:
     return 2 * (1 + width + width * (width + 1) // 2) + width + 1
 
 
-def _long(totals: Mapping[float, np.ndarray], size: int) -> pd.DataFrame:
+def _long(totals: Mapping[float, np.ndarray], size: int, cuts: np.ndarray) -> pd.DataFrame:
+    times = np.fromiter(totals, float)
     return pd.DataFrame(
         {
-            "time": np.repeat(np.fromiter(totals, float), size),
+            "part": np.repeat(np.searchsorted(cuts, times, "left").astype("int32"), size),
+            "time": np.repeat(times, size),
             "pos": np.tile(np.arange(size, dtype="int32"), len(totals)),
             "value": np.concatenate(list(totals.values())),
         }
     )
 
 
-def _efron_sums(frame: DataFrame, layout: Layout, beta: np.ndarray, center: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+def _efron_sums(
+    frame: DataFrame, layout: Layout, beta: np.ndarray, center: np.ndarray, cuts: np.ndarray
+) -> tuple[float, np.ndarray, np.ndarray]:
     """Log-likelihood, score and information: one small vector from each time with events, added up.
 
     Sums over later times are prefix sums in two levels, over ranges of time and within each range.
@@ -228,19 +243,14 @@ def _efron_sums(frame: DataFrame, layout: Layout, beta: np.ndarray, center: np.n
     width = layout.width
     cells = width * (width + 1) // 2
     risk = 1 + width + cells
-    sums = checkpointed(_risk_sums(frame, layout, beta, center))
-    low, high = sums.agg(F.min("time"), F.max("time")).first()
-    if low is None:
-        return 0.0, np.zeros(width), np.zeros((width, width))
-    span = (high - low) or 1.0
-    ranged = sums.withColumn("part", F.floor((F.col("time") - low) / span * (TIME_RANGES - 1)).cast("int"))
+    ranged = checkpointed(_risk_sums(frame, layout, beta, center, cuts))
     later = Window.partitionBy("pos").orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
     parts = ranged.where(F.col("pos") < risk).groupBy("part", "pos").agg(F.sum("value").alias("value"))
     parts = parts.select("part", "pos", F.coalesce(F.sum("value").over(later), F.lit(0.0)).alias("after"))
     within = Window.partitionBy("part", "pos").orderBy(F.col("time").desc())
     standing = ranged.where(F.col("pos") < risk).withColumn("value", F.sum("value").over(within)).join(parts, ["part", "pos"])
     standing = standing.select("time", "pos", (F.col("value") + F.col("after")).alias("value"))
-    events = sums.where(F.col("pos") >= risk).select("time", "pos", "value")
+    events = ranged.where(F.col("pos") >= risk).select("time", "pos", "value")
     # One time has as many values as there are positions, which the number of terms fixes.
     per_time = standing.unionByName(events).groupBy("time").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("sums"))
     per_time = per_time.select(F.col("sums.value").alias("sums")).where(F.element_at("sums", -1) > 0)
