@@ -64,11 +64,59 @@ def estimates(
     elif se == "taylor":
         clusters = design.cluster_columns
         sums = checkpointed(_item_sums(_with_known_places(design), wanted, domains, clusters))
-        places = sums.where(F.col("item") == DESIGN_ITEM).select(*design.by, *clusters, "w")
-        result = _taylor(design, _cells(design, sums, domains, clusters), places)
+        result = _taylor(design, _cells(design, sums, domains, clusters), _places(design, sums))
     else:
         sums = _item_sums(design, wanted, domains, [])
         result = _points(design, _cells(design, sums, domains, [])).drop("__bottom")
+    return _finished(design, wanted, result)
+
+
+def additive_sums(design: SurveyDesign, wanted: Statistics, domains: Mapping[str, Column] | None = None) -> DataFrame:
+    """(by, clusters, item, level, w, and y_ and x_ of each sub-population): all that `estimates_from_sums` needs.
+
+    These add up: sums of disjoint rows, of other periods or of the same, can be kept and merged later, so that finished
+    periods are never read again. With post-strata, adjust the weights before, from complete periods.
+    """
+    domains = domains or {EVERYONE: F.lit(True)}
+    sums = _item_sums(_with_known_places(design), wanted, domains, design.cluster_columns)
+    return sums.withColumnsRenamed({f"{kind}_{i}": f"{kind}_{name}" for i, name in enumerate(domains) for kind in "yx"})
+
+
+def merge_sums(design: SurveyDesign, *parts: DataFrame) -> DataFrame:
+    """The sums of all rows behind `parts`, tables of `additive_sums` over the same statistics."""
+    keys = [*design.by, *design.cluster_columns, "item", "level"]
+    together = reduce(DataFrame.unionByName, parts)
+    return together.groupBy(*keys).agg(*[F.sum(F.col(f"`{c}`")).alias(c) for c in together.columns if c not in keys])
+
+
+def estimates_from_sums(
+    design: SurveyDesign, sums: DataFrame, wanted: Statistics, domains: Sequence[str] = (EVERYONE,), se: str | None = None
+) -> DataFrame:
+    """The estimates of `additive_sums`, as `estimates` gives them from the rows; no row is read again.
+
+    `design` gives the names of the columns; `se` is None or "taylor".
+    """
+    if se not in (None, "taylor"):
+        raise ValueError("sums by cluster give no standard error but that by linearisation")
+    clusters = design.cluster_columns
+    keys = [*design.by, *clusters, "item", "level", "w"]
+    numbered = [F.col(f"`{kind}_{name}`").alias(f"{kind}_{i}") for i, name in enumerate(domains) for kind in "yx"]
+    sums = sums.select(*keys, *numbered)
+    names = dict.fromkeys(domains)
+    if se == "taylor":
+        result = _taylor(design, _cells(design, sums, names, clusters), _places(design, sums))
+    else:
+        added = [F.sum(c).alias(c) for c in sums.columns if c not in keys]
+        whole = sums.groupBy(*design.by, "item", "level").agg(*added)
+        result = _points(design, _cells(design, whole, names, [])).drop("__bottom")
+    return _finished(design, wanted, result)
+
+
+def _places(design: SurveyDesign, sums: DataFrame) -> DataFrame:
+    return sums.where(F.col("item") == DESIGN_ITEM).select(*design.by, *design.cluster_columns, "w")
+
+
+def _finished(design: SurveyDesign, wanted: Statistics, result: DataFrame) -> DataFrame:
     if wanted.interactions:
         result = _with_empty_combinations(design, wanted, result)
     return result.withColumn("level", F.when(F.col("level") != NO_LEVEL, F.col("level")))

@@ -1137,5 +1137,6 @@ ORACLES = {
     "report_household_types": REPORT_HOUSEHOLD_TYPES,
     "report_region": REPORT_REGION,
     "coef_table_wide": COEF_TABLE_WIDE,
+    "landed_estimates": f"WITH {DESIGN} {_points(BATCH_PARTS, by='year', digits=4)}",
     "estimates_roundtrip": f"WITH {DESIGN} {_points([('share', 'flag', FLAG)], by='year')}",
 }

@@ -14,7 +14,9 @@ from panelweave.operators import household as hh
 from panelweave.operators.design import SurveyDesign, poststratify
 from panelweave.operators.estimate import (
     Statistics,
+    additive_sums,
     estimates,
+    estimates_from_sums,
     svy_interaction,
     svy_mean,
     svy_share,
@@ -545,6 +547,17 @@ def estimates_roundtrip(spark, sf_dir):
     return _rounded(saved.read_estimates(spark, path, stat="share", var="flag"), {"value": 6})
 
 
+def landed_estimates(spark, sf_dir):
+    """Years landed in two steps, 1995 first with half its rows and then again with all; nothing else is read twice."""
+    design, path = b.design(spark, sf_dir, by_year=True), _scratch(spark, "sums")
+    early = (F.col("year") < 1995) | ((F.col("year") == 1995) & (F.col("l_orderkey") % 2 == 0))
+    for rows in (early, F.col("year") >= 1995):
+        part = design.with_data(design.data.where(rows))
+        saved.write_sums(additive_sums(part, batch(), b.domains()), path, ["year"])
+    sums = saved.read_sums(spark, path)
+    return _rounded(estimates_from_sums(design, sums, batch(), list(b.domains())), {"value": 4})
+
+
 def coef_roundtrip(spark, sf_dir):
     """Two models saved together, one of them read back."""
     path = _scratch(spark, "coefficients")
@@ -645,4 +658,5 @@ QUERIES = {
     "report_region": report_region,
     "coef_table_wide": coef_table_wide,
     "estimates_roundtrip": estimates_roundtrip,
+    "landed_estimates": landed_estimates,
 }
