@@ -7,7 +7,9 @@ term. Standard errors come from cluster totals of the scores, so no pass needs t
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -77,33 +79,90 @@ def fit_probit(
     plain_scan: bool = False,
 ) -> Fit:
     """Weighted probit by Fisher scoring, one pass per step; a step that worsens the fit is halved."""
+    whole = F.lit(True) if domain is None else domain
+    alone = lambda frame, layout, betas: {0: _probit_sums(frame, layout, betas[0])}
+    return _probits(design, response, terms, {"": whole}, plain_scan, alone)[""]
+
+
+def fit_probits(
+    design: SurveyDesign,
+    response: Column,
+    terms: Sequence[Term],
+    domains: Mapping[str, Column],
+    plain_scan: bool = False,
+) -> dict[str, Fit]:
+    """The weighted probit of every sub-population, all in the same passes.
+
+    A pass builds the model matrix once and returns the sums of all models that are still moving, each at its own
+    coefficients; steps are halved model by model, and a model that has converged leaves. One more pass gathers the
+    scores of all models by cluster, and one cross-product holds all their covariances.
+    """
+    return _probits(design, response, terms, domains, plain_scan, _all_probit_sums) if domains else {}
+
+
+def _probits(design, response, terms, domains, plain_scan, sums) -> dict[str, Fit]:
     layout = Layout(terms)
-    with staged(_frame(design, layout, response.cast("double"), domain), plain_scan) as rows:
+    inside = [F.coalesce(d, F.lit(False)) for d in domains.values()]
+    flags = [c.alias(f"in{k}") for k, c in enumerate(inside)]
+    with staged(_frame(design, layout, response.cast("double"), reduce(or_, inside), flags), plain_scan) as rows:
         frame = complete_rows(rows).where(F.col("w") > 0)
-        beta, step = np.zeros(layout.width), np.zeros(layout.width)
-        information, score, deviance, counts, n = _probit_sums(frame, layout, beta)
-        columns = independent_columns(information, layout.kept(counts))
-        converged = False
-        for _ in range(MAX_ITERATIONS):
-            try:
-                step[columns] = solve_scaled(information[np.ix_(columns, columns)], score[columns])
-            except np.linalg.LinAlgError:
-                break
-            previous = deviance
-            for _ in range(MAX_HALVINGS):
-                tried = _probit_sums(frame, layout, beta + step)
-                if math.isfinite(tried[2]) and tried[2] <= previous * (1 + 1e-9) + 1e-9:
-                    break
-                step = step / 2.0
-            else:
-                # No step of this direction helps: the accepted coefficients stay.
-                break
-            information, score, deviance = tried[:3]
-            beta = beta + step
-            if abs(deviance - previous) / (abs(deviance) + 0.1) < DEVIANCE_TOLERANCE:
-                converged = True
-                break
-        return _finish(design, frame, layout, columns, counts, beta, information, n, _probit_score, converged)
+        models = [_Probit(layout) for _ in domains]
+        while moving := [k for k, m in enumerate(models) if m.moving]:
+            tried = sums(frame, layout, {k: models[k].tried for k in moving})
+            for k in moving:
+                models[k].take(tried[k])
+        scored = [(f"in{k}", m.columns, m.beta) for k, m in enumerate(models)]
+        covariances = _score_covariances(design, frame, layout, scored, _probit_score)
+        fits = [_fitted(m, layout, *found) for m, found in zip(models, covariances, strict=True)]
+    return dict(zip(domains, fits, strict=True))
+
+
+class _Probit:
+    """Step control of one model: what it tries next, and what the sums of that trial lead to."""
+
+    def __init__(self, layout: Layout):
+        self.layout = layout
+        self.beta, self.step = np.zeros(layout.width), np.zeros(layout.width)
+        self.deviance: float | None = None
+        self.steps = self.halvings = 0
+        self.moving, self.converged = True, False
+
+    @property
+    def tried(self) -> np.ndarray:
+        return self.beta + self.step
+
+    def take(self, sums: tuple[np.ndarray, np.ndarray, float, np.ndarray, int]) -> None:
+        information, score, deviance, counts, n = sums
+        if self.deviance is None:
+            self.counts, self.n = counts, n
+            self.columns = independent_columns(information, self.layout.kept(counts))
+        elif not (math.isfinite(deviance) and deviance <= self.deviance * (1 + 1e-9) + 1e-9):
+            self.step = self.step / 2.0
+            self.halvings += 1
+            # Where no step of this direction helps, the accepted coefficients stay.
+            self.moving = self.halvings < MAX_HALVINGS
+            return
+        else:
+            self.beta = self.tried
+            if abs(deviance - self.deviance) / (abs(deviance) + 0.1) < DEVIANCE_TOLERANCE:
+                self.moving, self.converged = False, True
+        self.information, self.score, self.deviance, self.halvings = information, score, deviance, 0
+        self.steps += 1
+        if self.moving:
+            self._next()
+
+    def _next(self) -> None:
+        columns = self.columns
+        try:
+            self.step = np.zeros(self.layout.width)
+            self.step[columns] = solve_scaled(self.information[np.ix_(columns, columns)], self.score[columns])
+            self.moving = self.steps <= MAX_ITERATIONS
+        except np.linalg.LinAlgError:
+            self.moving = False
+
+
+def _fitted(model: _Probit, layout: Layout, meat: np.ndarray, clusters: int, strata: int) -> Fit:
+    return _assembled(layout, model.columns, model.counts, model.beta, model.information, model.n, model.converged, meat, clusters, strata)
 
 
 def residuals(fit: Fit, response: Column) -> Column:
@@ -114,12 +173,12 @@ def residuals(fit: Fit, response: Column) -> Column:
 # --- rows to sums --------------------------------------------------------------------------------
 
 
-def _frame(design: SurveyDesign, layout: Layout, response: Column, domain: Column | None) -> DataFrame:
+def _frame(design: SurveyDesign, layout: Layout, response: Column, domain: Column | None, flags: Sequence[Column] = ()) -> DataFrame:
     columns = [F.col(design.strata).alias("h"), F.col(design.psu).alias("c")]
     if design.poststratum:
         columns.append(F.col(design.poststratum).alias("g"))
     weight = F.col(design.weight).cast("double")
-    return model_frame(design.data, layout, [*columns, weight.alias("w"), response.cast("double").alias("y")], domain)
+    return model_frame(design.data, layout, [*columns, *flags, weight.alias("w"), response.cast("double").alias("y")], domain)
 
 
 def _linear_sums(frame: DataFrame, layout: Layout):
@@ -145,30 +204,37 @@ def _split(total: np.ndarray, width: int):
     return gram, total[cells : cells + width], total[cells + width : cells + 2 * width], int(total[cells + 2 * width])
 
 
-def _probit_sums(frame: DataFrame, layout: Layout, beta: np.ndarray):
+def _probit_sums(frame: DataFrame, layout: Layout, beta: np.ndarray) -> tuple:
+    return _all_probit_sums(frame, layout, {0: beta})[0]
+
+
+def _all_probit_sums(frame: DataFrame, layout: Layout, betas: Mapping[int, np.ndarray]) -> dict[int, tuple]:
+    """(information, score, deviance, counts, rows) of each model at its coefficients; model k holds for rows with `in<k>`."""
     build, width = layout.matrix_builder(), layout.width
     upper = np.triu_indices(width)
     size = len(upper[0]) + 2 * width + 2
 
+    def sums(x: np.ndarray, w: np.ndarray, y: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        score, fisher, log_likelihood = _probit_parts(x @ beta, y)
+        gram = (x.T @ (x * (w * fisher)[:, None]))[upper]
+        return np.concatenate([gram, x.T @ (w * score), (x != 0).sum(axis=0), [len(x), -2.0 * float(w @ log_likelihood)]])
+
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size)
+        total = np.zeros((len(betas), size))
         for batch in batches:
             x, w, y = build(batch), batch["w"].to_numpy(float), batch["y"].to_numpy(float)
-            score, fisher, log_likelihood = _probit_parts(x @ beta, y)
-            total += np.concatenate(
-                [
-                    (x.T @ (x * (w * fisher)[:, None]))[upper],
-                    x.T @ (w * score),
-                    (x != 0).sum(axis=0),
-                    [len(x), -2.0 * float(w @ log_likelihood)],
-                ]
-            )
-        yield vector_rows(total)
+            for row, (k, beta) in zip(total, betas.items(), strict=True):
+                mine = batch[f"in{k}"].to_numpy(bool)
+                row += sums(x[mine], w[mine], y[mine], beta)
+        yield vector_rows(total.ravel())
 
-    names = [*layout.column_names(), "w", "y"]
-    total = collected_vector(frame.select(*names), partials, size)
-    information, score, counts, n = _split(total, width)
-    return information, score, float(total[-1]), counts, n
+    names = [*layout.column_names(), "w", "y", *[f"in{k}" for k in betas]]
+    totals = collected_vector(frame.select(*names), partials, size * len(betas)).reshape(len(betas), size)
+    out = {}
+    for k, total in zip(betas, totals, strict=True):
+        information, score, counts, n = _split(total, width)
+        out[k] = information, score, float(total[-1]), counts, n
+    return out
 
 
 def _probit_parts(eta: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,18 +279,28 @@ def _probit_score(eta: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _finish(design, frame, layout, columns, counts, beta, information, n, score, converged) -> Fit:
+    (found,) = _score_covariances(design, frame, layout, [(None, columns, beta)], score)
+    return _assembled(layout, columns, counts, beta, information, n, converged, *found)
+
+
+def _assembled(layout, columns, counts, beta, information, n, converged, meat, clusters, strata) -> Fit:
     names = tuple(layout.names[k] for k in layout.kept(counts))
     coefficients = dict.fromkeys(names)
     coefficients.update({layout.names[k]: float(beta[k]) for k in columns})
     bread = solve_scaled(information[np.ix_(columns, columns)])
-    meat, clusters, strata = _score_covariance(design, frame, layout, columns, beta, score)
     df = clusters - strata + 1 - len(columns)
     return Fit(layout, names, coefficients, bread @ meat @ bread, float(df), converged, n)
 
 
-def _score_covariance(design, frame, layout, columns, beta, score) -> tuple[np.ndarray, int, int]:
-    """Between-cluster covariance of the score totals, and the clusters and strata with rows in the fit."""
-    names = [f"s{i}" for i in range(len(columns))]
+def _score_covariances(
+    design, frame, layout, models: Sequence[tuple[str | None, Sequence[int], np.ndarray]], score
+) -> list[tuple[np.ndarray, int, int]]:
+    """For each model (flag, columns, beta) the between-cluster covariance of its score totals, and its clusters and strata.
+
+    Scores of all models sit side by side in one row per cluster; their covariances are blocks of one cross-product.
+    """
+    scores = [[f"s{k}_{i}" for i in range(len(columns))] for k, (_, columns, _) in enumerate(models)]
+    names, used = [s for each in scores for s in each], [f"n{k}" for k in range(len(models))]
     places = [F.col(design.strata).alias("h"), F.col(design.psu).alias("c")]
     keys = ["h", "c"]
     if design.poststratum:
@@ -233,31 +309,39 @@ def _score_covariance(design, frame, layout, columns, beta, score) -> tuple[np.n
     plain = SurveyDesign(frame, "w", "h", "c", "g" if design.poststratum else None, lonely_psu=design.lonely_psu)
 
     # Every cluster of the design takes part, with zero scores where it has no row in the fit.
-    scores = _score_rows(frame, layout, columns, beta, score, keys, names).withColumn("w", F.lit(0.0))
-    nothing = [F.lit(0.0).alias(s) for s in [*names, "n"]]
+    rows = _score_rows(frame, layout, models, scores, score, keys).withColumn("w", F.lit(0.0))
+    nothing = [F.lit(0.0).alias(s) for s in [*names, *used]]
     whole = design.data.select(*places, *nothing, F.col(design.weight).cast("double").alias("w"))
-    sums = [F.sum(s).alias(s) for s in [*names, "n"]]
-    cells = checkpointed(scores.unionByName(whole).groupBy(*keys).agg(*sums, F.sum("w").alias("w")))
+    sums = [F.sum(s).alias(s) for s in [*names, *used]]
+    cells = checkpointed(rows.unionByName(whole).groupBy(*keys).agg(*sums, F.sum("w").alias("w")))
     totals = cells
     if design.poststratum:
-        used = cells.groupBy("h", "c").agg(F.sum("n").alias("n"))
-        totals = checkpointed(_net_of_poststrata(cells, names).join(used, ["h", "c"]))
+        counts = cells.groupBy("h", "c").agg(*[F.sum(n).alias(n) for n in used])
+        totals = checkpointed(_net_of_poststrata(cells, names).join(counts, ["h", "c"]))
 
     # The covariance is a weighted cross-product of cluster rows minus one of stratum rows. Both kinds
-    # of row also say whether the fit used them, for the degrees of freedom.
+    # of row also say whether each fit used them, for the degrees of freedom.
     factors = plain.stratum_factors(totals)
-    in_fit = (F.col("n") > 0).cast("double")
-    no = F.lit(0.0)
+    flags = {kind: [f"{kind}{k}" for k in range(len(models))] for kind in ("clusters", "strata")}
+    in_fit = [(F.col(n) > 0).cast("double") for n in used]
+    no = [F.lit(0.0)] * len(models)
+    flagged = lambda kind, columns: [c.alias(name) for c, name in zip(columns, flags[kind], strict=True)]
     per_cluster = totals.join(factors, "h").select(
-        F.col("factor").alias("w"), *names, in_fit.alias("clusters"), no.alias("strata")
+        F.col("factor").alias("w"), *names, *flagged("clusters", in_fit), *flagged("strata", no)
     )
     per_stratum = (
         totals.groupBy("h")
         .agg(*sums)
         .join(factors, "h")
-        .select((-F.col("factor") / F.col("n_psu")).alias("w"), *names, no.alias("clusters"), in_fit.alias("strata"))
+        .select((-F.col("factor") / F.col("n_psu")).alias("w"), *names, *flagged("clusters", no), *flagged("strata", in_fit))
     )
-    return _gram(per_cluster.unionByName(per_stratum), names)
+    gram, counted = _gram(per_cluster.unionByName(per_stratum), names, [*flags["clusters"], *flags["strata"]])
+    out, start = [], 0
+    for k, each in enumerate(scores):
+        end = start + len(each)
+        out.append((gram[start:end, start:end], int(counted[k]), int(counted[len(models) + k])))
+        start = end
+    return out
 
 
 def _net_of_poststrata(cells: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -267,14 +351,16 @@ def _net_of_poststrata(cells: DataFrame, names: Sequence[str]) -> DataFrame:
     return cells.join(means, "g").groupBy("h", "c").agg(*net)
 
 
-def _score_rows(frame, layout, columns, beta, score, keys, names) -> DataFrame:
+def _score_rows(frame, layout, models, scores, score, keys) -> DataFrame:
     """Score sums per cluster, folded within each task; tasks meet in the following grouped sum.
 
     A task holds at most HELD_CLUSTERS partial rows before it hands them on.
     """
     build, limit = layout.matrix_builder(), HELD_CLUSTERS
+    names = [*[s for each in scores for s in each], *[f"n{k}" for k in range(len(models))]]
+    flags = [flag for flag, _, _ in models if flag]
     types = [frame.schema[k] for k in keys]
-    schema = T.StructType([*types, *[T.StructField(s, T.DoubleType()) for s in [*names, "n"]]])
+    schema = T.StructType([*types, *[T.StructField(s, T.DoubleType()) for s in names]])
 
     def folded(parts: list[pd.DataFrame]) -> pd.DataFrame:
         return pd.concat(parts).groupby(keys, sort=False).sum().reset_index()
@@ -282,10 +368,14 @@ def _score_rows(frame, layout, columns, beta, score, keys, names) -> DataFrame:
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for batch in batches:
-            x = build(batch)
-            residual = score(x @ beta, batch["y"].to_numpy(float)) * batch["w"].to_numpy(float)
-            out = pd.DataFrame(x[:, columns] * residual[:, None], columns=names)
-            out["n"] = 1.0
+            x, w, y = build(batch), batch["w"].to_numpy(float), batch["y"].to_numpy(float)
+            blocks, counts = [], []
+            for flag, columns, beta in models:
+                inside = batch[flag].to_numpy(bool) if flag else np.ones(len(x), bool)
+                residual = np.where(inside, score(x @ beta, y) * w, 0.0)
+                blocks.append(x[:, columns] * residual[:, None])
+                counts.append(inside.astype(float)[:, None])
+            out = pd.DataFrame(np.hstack([*blocks, *counts]), columns=names)
             for k in reversed(keys):
                 out.insert(0, k, batch[k].to_numpy())
             held.append(folded([out]))
@@ -296,22 +386,22 @@ def _score_rows(frame, layout, columns, beta, score, keys, names) -> DataFrame:
         if held:
             yield folded(held)
 
-    return frame.select(*keys, *layout.column_names(), "w", "y").mapInPandas(partials, schema)
+    return frame.select(*keys, *layout.column_names(), "w", "y", *flags).mapInPandas(partials, schema)
 
 
-def _gram(frame: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, int, int]:
+def _gram(frame: DataFrame, names: Sequence[str], flags: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Weighted cross-products of a frame with one row per cluster or stratum, and the sums of its flags."""
-    width, names = len(names), list(names)
+    width, names, flags = len(names), list(names), list(flags)
     upper = np.triu_indices(width)
-    size = len(upper[0]) + 2
+    size = len(upper[0]) + len(flags)
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size)
         for batch in batches:
             block, w = batch[names].to_numpy(float), batch["w"].to_numpy(float)
-            flags = [batch["clusters"].sum(), batch["strata"].sum()]
-            total += np.concatenate([(block.T @ (block * w[:, None]))[upper], flags])
+            total += np.concatenate([(block.T @ (block * w[:, None]))[upper], batch[flags].to_numpy(float).sum(axis=0)])
         yield vector_rows(total)
 
     total = collected_vector(frame, partials, size)
-    return symmetric(total[:-2], width), int(total[-2]), int(total[-1])
+    cut = size - len(flags)
+    return symmetric(total[:cut], width), total[cut:]

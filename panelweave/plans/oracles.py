@@ -739,6 +739,14 @@ WITH {_probit(_PRIORITY_DUMMIES | {"log_price": "ln(o_totalprice)"}, _LEFT, "ord
     ("1 + o_custkey % 7", "o_orderpriority", "o_custkey % 20"))}
 {_SHOW_PROBIT}"""
 
+PROBIT_POPULATIONS = "\nUNION ALL\n".join(
+    f"""SELECT '{name}' AS model, term, estimate, std_error, TRUE AS converged FROM (
+WITH {_probit(_PRIORITY_DUMMIES | {"step": "floor(o_totalprice / 50000)"}, _LEFT, f"orders WHERE {where}",
+    ("1 + o_custkey % 7", "o_orderpriority", "o_custkey % 20"))}
+{_SHOW_PROBIT})"""
+    for name, where in (("all", "true"), ("cheap", "o_totalprice < 150000"), ("odd", "o_custkey % 2 = 1"))
+)
+
 _GROUP_DUMMIES = {
     "(Intercept)": "1",
     "groupMACHINERY": "CASE WHEN \"group\" = 'MACHINERY' THEN 1 ELSE 0 END",
@@ -1118,6 +1126,7 @@ ORACLES = {
     "mincer_fit": MINCER_FIT,
     "probit_one_factor": PROBIT_ONE_FACTOR,
     "probit_fit": PROBIT_FIT,
+    "probit_populations": PROBIT_POPULATIONS,
     "evasion_probit": EVASION_PROBIT,
     "heckman_two_step": HECKMAN_TWO_STEP,
     "probit_one_number": PROBIT_ONE_NUMBER,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from panelweave.operators.estimate import (
     svy_total,
     svy_total_by,
 )
-from panelweave.operators.glm import fit_linear, fit_probit, residuals
+from panelweave.operators.glm import fit_linear, fit_probit, fit_probits, residuals
 from panelweave.operators.model import Factor, Layout, Number
 from panelweave.operators.selection import heckman_two_step, impute_outcome
 from panelweave.operators.skew import lookup_join
@@ -393,6 +394,16 @@ def probit_fit(spark, sf_dir):
     return _rounded(fit.table(spark, "probit").select(*FIT_COLUMNS), dict.fromkeys(FIT_COLUMNS[1:], 5))
 
 
+def probit_populations(spark, sf_dir):
+    """Three sub-populations fitted in the same passes."""
+    step = F.floor(F.col("o_totalprice") / 50000).cast("double")
+    terms = [Factor("priority", F.col("o_orderpriority"), b.PRIORITIES), Number("step", step)]
+    populations = {"all": F.lit(True), "cheap": F.col("o_totalprice") < 150000, "odd": F.col("o_custkey") % 2 == 1}
+    fits = fit_probits(b.order_design(spark, sf_dir), _has_left_number(), terms, populations, plain_scan=True)
+    table = reduce(DataFrame.unionByName, [fit.table(spark, name) for name, fit in fits.items()])
+    return _rounded(table.select("model", "term", "estimate", "std_error", "converged"), {"estimate": 5, "std_error": 5})
+
+
 def probit_one_factor(spark, sf_dir):
     terms = [Factor("priority", F.col("o_orderpriority"), b.PRIORITIES)]
     fit = fit_probit(b.order_design(spark, sf_dir), _has_left_number(), terms, plain_scan=True)
@@ -643,6 +654,7 @@ QUERIES = {
     "wls_sandwich_se": wls_sandwich_se,
     "mincer_fit": mincer_fit,
     "probit_fit": probit_fit,
+    "probit_populations": probit_populations,
     "probit_one_factor": probit_one_factor,
     "probit_one_number": probit_one_number,
     "evasion_probit": evasion_probit,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.scalars import hourly_wage, is_employed, log_or_zero, missing_as_zero
 from panelweave.operators import audience, panel, report
 from panelweave.operators.estimate import Statistics, estimates
-from panelweave.operators.glm import fit_linear, fit_probit, residuals
+from panelweave.operators.glm import fit_linear, fit_probits, residuals
 from panelweave.operators.model import Factor, Number, Term
 from panelweave.operators.selection import heckman_two_step, impute_outcome
 from panelweave.operators.skew import attach_groups
@@ -102,13 +102,13 @@ def survival_study(
         populations = {"cohort": F.lit(True), **domains}
         levels = observed_levels(rows, [c.sex, c.area, c.grade])
         covariates = _covariates(c, levels)
-        cox, probit = [], []
+        cox = []
         design = survey_design(rows, c, lonely_psu=lonely_psu)
         for name, inside in populations.items():
             fit = fit_cox(rows, [*covariates, factor("grade", c.grade, levels)], domain=inside, plain_scan=True)
             cox.append(fit.table(spark, name))
-            fit = fit_probit(design, F.col("status"), covariates, domain=inside, plain_scan=True)
-            probit.append(fit.table(spark, name))
+        fits = fit_probits(design, F.col("status"), covariates, populations, plain_scan=True)
+        probit = [fit.table(spark, name) for name, fit in fits.items()]
         overall = km_curve(rows)
         curves = overall.unionByName(km_curve(rows, stratum=F.col(c.grade), populations=populations))
         # The curves must not depend on the staged table after it is gone.
@@ -172,10 +172,9 @@ def evasion_study(
     with staged(_model_columns(people, c, "evaded")) as rows:
         levels = observed_levels(rows, [c.sex, c.area])
         design = survey_design(rows, c, lonely_psu=lonely_psu)
-        tables = [
-            fit_probit(design, F.col("evaded"), _covariates(c, levels), inside, plain_scan=True).table(spark, name)
-            for name, inside in {"cohort": F.lit(True), **quarterly_domains(c)}.items()
-        ]
+        populations = {"cohort": F.lit(True), **quarterly_domains(c)}
+        fits = fit_probits(design, F.col("evaded"), _covariates(c, levels), populations, plain_scan=True)
+        tables = [fit.table(spark, name) for name, fit in fits.items()]
     return {"evasion": flags, "probit": _union(tables)}
 
 
