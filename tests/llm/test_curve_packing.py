@@ -116,3 +116,11 @@ def test_long_texts_in_stretches(library):
 def test_tail_cuts():
     assert list(curve_packing.tail_cuts(700)) == [512, 640, 672, 688, 696, 700]
     assert list(curve_packing.tail_cuts(0)) == [] and list(curve_packing.tail_cuts(512)) == [512]
+
+
+def test_ids_of_whole_texts(library):
+    texts = ["one  two three's\n four\t12 5, x" * 9 + " <|endoftext|> a b" + "  \n tail ", "", " ", "a  b   c\x1c d\x85 e", "x" * 5000 + " y", "no <|endoftext|>"]
+    flat, sizes = curve_packing.token_ids(texts, PATH)
+    ends = np.cumsum(sizes)
+    assert [list(flat[e - s : e]) for e, s in zip(ends, sizes, strict=True)] == [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert curve_packing.token_ids([], PATH)[0].size == 0
