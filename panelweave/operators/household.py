@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelweave.functions.scalars import member_flag, members_only, real_income
 from panelweave.operators.skew import attach_groups, order_key
@@ -61,7 +62,7 @@ def household_profile(
     keys = [household] if isinstance(household, str) else list(household)
     aggregates = _income_sums(income) if income is not None else []
     if parents is not None:
-        aggregates += _first_parents(parents)
+        aggregates += _first_parents(parents, persons.schema)
     groups = persons.groupBy(*keys).agg(*aggregates)
     if income is not None:
         groups = groups.withColumns(
@@ -107,13 +108,13 @@ def _income_sums(income: IncomeRoles) -> list[Column]:
     ]
 
 
-def _first_parents(parents: ParentRoles) -> list[Column]:
+def _first_parents(parents: ParentRoles, schema: T.StructType) -> list[Column]:
     """Schooling of the first mother-like and father-like person of the household.
 
     The first match counts even when its schooling is unknown. A person whose membership is unknown
     and who comes before the first match makes the answer unknown.
     """
-    position = order_key(parents.order)
+    position = order_key(parents.order, schema)
     is_parent = parents.relation_code.isin(*parents.parent_relations)
 
     def first(sex: int) -> Column:
