@@ -1,4 +1,6 @@
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -124,3 +126,28 @@ def test_ids_of_whole_texts(library):
     ends = np.cumsum(sizes)
     assert [list(flat[e - s : e]) for e, s in zip(ends, sizes, strict=True)] == [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
     assert curve_packing.token_ids([], PATH)[0].size == 0
+
+
+def test_fast_encoder_gives_the_library_ids(library, tmp_path):
+    assert curve_packing._fast(PATH) is not None
+    draw = np.random.default_rng(5)
+    kinds = ["a", "Z", " ", "  ", "\n", "\t", "'s", "'LL", "7", "\u0664", "\u00e9", "e\u0301", "\u4e2d", "\u00a0", "\u3000", "\x1f", "\x85", "\U0001f600", "\u200d", "-", "#$", "\ufffd"]
+    texts = ["".join(draw.choice(kinds, draw.integers(1, 80))) for _ in range(3000)]
+    texts += [f"a{chr(c)}b {chr(c)}{chr(c)}1{chr(c)} " for c in range(1, 0x30000, 7) if not 0xD800 <= c < 0xE000]
+    texts += [" " * 2_000_000 + "x", "\n" * 999 + "y" + " " * 999, "xq" * 500_000, "-" * 500_000, "<|endoftext|>" * 3]
+    found = curve_packing._encode(texts, PATH)
+    wanted = library.encode_batch_fast(texts, add_special_tokens=False)
+    assert all(a.tolist() == b.ids for a, b in zip(found, wanted, strict=True))
+
+
+def test_other_vocabularies_stay_with_the_library(tmp_path):
+    words = queries.vocabulary_path(queries.VOCABULARY)
+    assert curve_packing._fast(words) is None
+    own = Tokenizer.from_file(words)
+    flat, _ = curve_packing.token_ids(["Some WORDS here"], words)
+    assert list(flat) == [*own.encode("Some WORDS here", add_special_tokens=False).ids, 0]
+    told = json.loads(Path(PATH).read_text())
+    told["model"]["merges"][5], told["model"]["merges"][9] = told["model"]["merges"][9], told["model"]["merges"][5]
+    swapped = tmp_path / "swapped.json"
+    swapped.write_text(json.dumps(told))
+    assert curve_packing._fast(str(swapped)) is None
