@@ -22,6 +22,7 @@ class SurveyDesign:
     variance: clusters without domain rows still count.
     `by` names columns that separate independent surveys, such as the year.
     `lonely_psu` says what a stratum with one cluster does: "fail" raises, "remove" adds no variance.
+    `bootstrap` is the number of bootstrap replicates, drawn by `seed`.
     """
 
     data: DataFrame
@@ -32,6 +33,8 @@ class SurveyDesign:
     replicates: tuple[str, ...] = ()
     by: tuple[str, ...] = ()
     lonely_psu: str = "fail"
+    bootstrap: int = 0
+    seed: int = 0
 
     def __post_init__(self):
         if self.lonely_psu not in LONELY_POLICIES:

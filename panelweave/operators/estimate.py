@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.operators.bootstrap import drawn_clusters
 from panelweave.operators.design import SurveyDesign, poststratum_products
 from panelweave.session import checkpointed
 
@@ -53,18 +54,21 @@ def estimates(
 ) -> DataFrame:
     """(by, subpop, stat, var, level, value[, std_error]), one row per estimate.
 
-    `domains` maps a sub-population's name to its condition. `se` is None, "taylor" or "replicate";
-    with "taylor" the cluster totals are written once and all algebra reads those.
+    `domains` maps a sub-population's name to its condition. `se` is None, "taylor", "replicate" or "bootstrap";
+    with "taylor" and "bootstrap" the cluster totals are written once and all algebra reads those.
     """
-    if se not in (None, "taylor", "replicate"):
+    if se not in (None, "taylor", "replicate", "bootstrap"):
         raise ValueError(f"unknown standard error: {se}")
+    if se == "bootstrap" and (design.bootstrap < 1 or design.poststratum):
+        raise ValueError("a bootstrap needs a number of replicates and a design without post-strata")
     domains = domains or {EVERYONE: F.lit(True)}
     if se == "replicate":
         result = _replicated(design, _replicate_cells(design, wanted, domains))
-    elif se == "taylor":
+    elif se in ("taylor", "bootstrap"):
         clusters = design.cluster_columns
         sums = checkpointed(_item_sums(_with_known_places(design), wanted, domains, clusters))
-        result = _taylor(design, _cells(design, sums, domains, clusters), _places(design, sums))
+        spread = _taylor if se == "taylor" else _bootstrapped
+        result = spread(design, _cells(design, sums, domains, clusters), _places(design, sums))
     else:
         sums = _item_sums(design, wanted, domains, [])
         result = _points(design, _cells(design, sums, domains, [])).drop("__bottom")
@@ -426,6 +430,52 @@ def _replicated(design: SurveyDesign, cells: DataFrame) -> DataFrame:
     return gathered.select(*variable, "level", "value", F.sqrt(variance).alias("std_error"))
 
 
+def _bootstrapped(design: SurveyDesign, cells: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Standard errors from bootstrap replicates of the clusters: mean squared distance from the full-sample estimate.
+
+    Every cluster total meets its row of the factor matrix, and tasks add up the products of all replicates at once; no
+    row of the design is read again. Replicates without weight in a denominator are left out of the mean.
+    """
+    variable = _variable_keys(design)
+    keys, size = [*variable, "level"], design.bootstrap + 1
+    rows = cells.join(drawn_clusters(design, clusters), design.cluster_keys).select(*keys, "y", "x", "scale", "drawn")
+
+    def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            owner = np.repeat(np.arange(len(batch)), batch["drawn"].map(len).to_numpy())
+            drawn = np.concatenate([np.asarray(d, np.int64) for d in batch["drawn"]])
+            factors = np.bincount(owner * size + drawn, minlength=len(batch) * size).reshape(-1, size) * batch["scale"].to_numpy()[:, None]
+            factors[:, 0] = 1.0
+            groups = batch.groupby(keys, sort=False, dropna=False)
+            codes = groups.ngroup().to_numpy()
+            order = np.argsort(codes, kind="stable")
+            starts = np.searchsorted(codes[order], np.arange(codes.max() + 1))
+            out = batch.iloc[order[starts]][keys].reset_index(drop=True)
+            for name in ("y", "x"):
+                values = batch[name].fillna(0.0).to_numpy(float)[:, None]
+                out[name] = list(np.add.reduceat((factors * values)[order], starts))
+            yield out
+
+    types = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    added = (
+        rows.mapInPandas(partials, f"{types}y array<double>, x array<double>")
+        .select(*keys, F.posexplode(F.arrays_zip("y", "x")).alias("pos", "sums"))
+        .groupBy(*keys, "pos")
+        .agg(F.sum("sums.y").alias("y"), F.sum("sums.x").alias("x"))
+    )
+    each = checkpointed(added)
+    bottoms = each.where(~_is_total()).groupBy(*variable, "pos").agg(F.sum("x").alias("__bottom"))
+    ratio = F.when(_is_total(), F.col("y")).otherwise(F.try_divide("y", "__bottom"))
+    each = each.join(bottoms, [*variable, "pos"], "left").select(*keys, "pos", ratio.alias("e"))
+    gathered = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "e"))).alias("es"))
+    gathered = gathered.select(*keys, F.col("es.e").alias("e")).withColumn("value", F.col("e")[0])
+    known = F.filter(F.slice("e", 2, size), lambda e: e.isNotNull())
+    squares = F.aggregate(known, F.lit(0.0), lambda total, e: total + (e - F.col("value")) * (e - F.col("value")))
+    return gathered.select(*keys, "value", F.sqrt(F.try_divide(squares, F.size(known).cast("double"))).alias("std_error"))
+
+
 def _with_empty_combinations(design: SurveyDesign, wanted: Statistics, result: DataFrame) -> DataFrame:
     """Add the declared combinations that nobody has, with value 0.
 

@@ -27,6 +27,7 @@ SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 REGION_NAMES = {"1": "Norte", "2": "Nordeste", "3": "Sudeste", "4": "Sul", "5": "Centro-Oeste"}
 REPLICATES = 8
+BOOTSTRAP, BOOTSTRAP_SEED = 200, 7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

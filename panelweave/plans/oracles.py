@@ -389,6 +389,33 @@ points AS (
 SELECT {_KEYS}, round(value, 4) AS value, round(sqrt(({squares}) / {len(names)}), 4) AS std_error FROM points"""
 
 
+SVY_SE_BOOTSTRAP = f"""
+WITH {DESIGN}, {_long("l_linenumber AS h, psu")},
+cells AS (SELECT {_KEYS}, h, psu, sum(w * y) AS y, sum(w * x) AS x FROM long GROUP BY {_KEYS}, h, psu),
+points AS (
+  SELECT {_KEYS}, CASE WHEN stat = 'total' THEN sum(y) ELSE sum(y) / sum(x) END AS value
+  FROM cells GROUP BY {_KEYS} HAVING sum(y) <> 0
+),
+places AS (
+  SELECT h, psu, row_number() OVER (PARTITION BY h ORDER BY psu) AS number, count(*) OVER (PARTITION BY h) AS n
+  FROM (SELECT DISTINCT l_linenumber AS h, psu FROM design)
+),
+draws AS (
+  SELECT h, r, 1 + CAST('0x' || substr(md5(concat_ws('|', {b.BOOTSTRAP_SEED}, h, r, number - 1)), 1, 13) AS BIGINT) % n AS number
+  FROM places, range(1, {b.BOOTSTRAP + 1}) AS t(r) WHERE number > 1
+),
+factors AS (
+  SELECT h, psu, r, count(*) * any_value(n) / CAST(any_value(n) - 1 AS DOUBLE) AS f
+  FROM draws JOIN places USING (h, number) GROUP BY h, psu, r
+),
+drawn AS (
+  SELECT {_KEYS}, r, CASE WHEN stat = 'total' THEN sum(f * y) ELSE sum(f * y) / nullif(sum(f * x), 0) END AS e
+  FROM cells JOIN factors USING (h, psu) GROUP BY {_KEYS}, r
+)
+SELECT p.subpop, p.stat, p.var, p.level, round(value, 4) AS value, round(sqrt(avg((e - value) ** 2)), 4) AS std_error
+FROM points p JOIN drawn l ON {_SAME} GROUP BY p.subpop, p.stat, p.var, p.level, value"""
+
+
 # --- survival ------------------------------------------------------------------------------------
 
 
@@ -1116,6 +1143,7 @@ ORACLES = {
     "svy_se_taylor": SVY_SE_TAYLOR,
     "svy_se_poststratified": SVY_SE_POSTSTRATIFIED,
     "svy_se_replicate": _replicate_sql(),
+    "svy_se_bootstrap": SVY_SE_BOOTSTRAP,
     "km_curve": KM_CURVE,
     "km_curve_by": KM_CURVE_BY,
     "cox_one_binary": COX_ONE_BINARY,

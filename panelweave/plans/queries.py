@@ -318,6 +318,11 @@ def svy_se_replicate(spark, sf_dir):
     return _rounded(estimates(design, _se_statistics(), b.domains(), "replicate"), {"value": 4, "std_error": 4})
 
 
+def svy_se_bootstrap(spark, sf_dir):
+    design = replace(b.design(spark, sf_dir), bootstrap=b.BOOTSTRAP, seed=b.BOOTSTRAP_SEED)
+    return _rounded(estimates(design, _se_statistics(), b.domains(), "bootstrap"), {"value": 4, "std_error": 4})
+
+
 # --- survival and regression ---------------------------------------------------------------------
 
 CURVE_DIGITS = dict.fromkeys(("surv", "std_error", "lower", "upper"), 8)
@@ -645,6 +650,7 @@ QUERIES = {
     "svy_se_taylor": svy_se_taylor,
     "svy_se_poststratified": svy_se_poststratified,
     "svy_se_replicate": svy_se_replicate,
+    "svy_se_bootstrap": svy_se_bootstrap,
     "km_curve": km_curve,
     "km_curve_by": km_curve_by,
     "cox_fit": cox_fit,
