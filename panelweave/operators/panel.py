@@ -17,6 +17,8 @@ from panelweave.operators.skew import attach_groups, order_key
 
 LEFT, ATTENDS, UNKNOWN = 0, 1, 2  # what a wave says about a person; an absent person has NULL
 
+MOST_WAVES = 63  # the bits of a whole number, without its sign
+
 
 def attendance_state(attends: Column, left: Column) -> Column:
     return F.when(attends, ATTENDS).when(left, LEFT).otherwise(UNKNOWN)
@@ -46,6 +48,51 @@ def wave_states(
     return panel.groupBy(person).agg(*columns, *extra)
 
 
+def packed_states(panel: DataFrame, person: str, wave: str, waves: Sequence[int], flags: Mapping[str, Column]) -> DataFrame:
+    """One row per person with a whole number for each flag, whose bit i says whether any row of the i-th wave has it.
+
+    Whatever the number of waves, up to the 63 bits of a number, the aggregate carries one number per flag. A NULL flag
+    counts as not set. Rows of other waves are left out.
+    """
+    if len(waves) > MOST_WAVES or len(set(waves)) < len(waves):
+        raise ValueError(f"packed states take at most {MOST_WAVES} different waves")
+    place = F.array_position(F.array(*[F.lit(w) for w in waves]), F.col(wave)).cast("int") - 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    rows = panel.where(F.col(wave).isin(*waves)).select(
+        person, *[F.when(flag, bit).otherwise(F.lit(0).cast("long")).alias(name) for name, flag in flags.items()]
+    )
+    return rows.groupBy(person).agg(*[F.bit_or(name).alias(name) for name in flags])
+
+
+def _packed_attendance(panel, person, wave, waves, start: Column, left: Column) -> DataFrame:
+    flags = {"__start": start, "__seen": F.lit(True), "__stays": ~F.coalesce(left, F.lit(False))}
+    return packed_states(panel, person, wave, waves, flags)
+
+
+def _packed_survival(people: DataFrame, person: str, waves: Sequence[int]) -> DataFrame:
+    """(person, status, time) from packed states: the lowest bit where a later wave doesn't stay ends the chain."""
+    later = F.lit((1 << len(waves)) - 2).cast("long")
+    broken = F.bitwise_not("__stays").bitwiseAND(later)
+    lowest = broken.bitwiseAND(-broken)
+    ended = people.where(F.col("__start").bitwiseAND(F.lit(1)) == 1).select(person, "__seen", lowest.alias("__end"))
+    whole, gone = F.col("__end") == 0, F.col("__seen").bitwiseAND(F.col("__end")) != 0
+    place = F.bit_count(F.col("__end") - 1)
+    return ended.select(
+        person,
+        F.when(~whole & gone, 1).otherwise(0).cast("int").alias("status"),
+        F.when(whole, len(waves)).when(gone, place + 1).otherwise(place).cast("int").alias("time"),
+    )
+
+
+def _packed_pairs(people: DataFrame, person: str, wave: str, waves: Sequence[int]) -> DataFrame:
+    """(person, wave) for every bit that is set in a wave's start and, one place on, seen without staying."""
+    left = F.col("__seen").bitwiseAND(F.bitwise_not("__stays"))
+    hits = people.select(person, F.col("__start").bitwiseAND(F.shiftright(left, 1)).alias("__hits")).where("__hits <> 0")
+    places = F.filter(F.sequence(F.lit(0), F.lit(len(waves) - 1)), lambda i: F.call_function("getbit", F.col("__hits"), i) == 1)
+    each = F.transform(places, lambda i: F.array(*[F.lit(w) for w in waves])[i])
+    return hits.select(person, F.explode(each).alias(wave))
+
+
 def baseline_cohort(panel: DataFrame, wave: str, first_wave: int, conditions: Sequence[Column]) -> DataFrame:
     """The people of the first wave who meet every condition."""
     return panel.where(reduce(and_, conditions, F.col(wave) == first_wave))
@@ -64,8 +111,11 @@ def survival_table(
 
     The chain stops at the first drop-out (status 1, time = that wave) or the first absence (status 0,
     time = the wave before). Who is still there in the last wave is censored at it. An attendance that
-    is not a clear drop-out, missing included, goes on. Times count waves from 1.
+    is not a clear drop-out, missing included, goes on. Times count waves from 1. Without an order, waves are bits of
+    one number.
     """
+    if not order and len(waves) <= MOST_WAVES:
+        return _packed_survival(_packed_attendance(panel, person, wave, waves, baseline, left), person, waves)
     first, *later = waves
     states = {"__base": (first, F.when(baseline, 1).otherwise(0))}
     for w in later:
@@ -99,8 +149,11 @@ def pair_dropouts(
 ) -> DataFrame:
     """(person, wave) for everyone eligible and attending in a wave who has left by the next one.
 
-    All consecutive pairs come from one pass. Only the earlier wave must be eligible.
+    All consecutive pairs come from one pass. Only the earlier wave must be eligible. Without an order, waves are bits
+    of one number.
     """
+    if not order and len(waves) <= MOST_WAVES:
+        return _packed_pairs(_packed_attendance(panel, person, wave, waves, eligible & attends, left), person, wave, waves)
     states: dict[str, tuple[int, Column]] = {}
     for w in waves:
         states[f"__from{w}"] = (w, F.when(eligible & attends, 1).otherwise(0))

@@ -117,6 +117,19 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.where(in_waves).withColumn("wave", F.year("o_orderdate") - 1994)
 
 
+MONTHS = tuple(range(1, 61))
+
+
+def monthly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipments as monthly waves of suppliers from 1993 on; several rows of a supplier in a month are the rule."""
+    month = F.expr("(year(l_shipdate) - 1993) * 12 + month(l_shipdate)")
+    return table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_tax", month.alias("wave"))
+
+
+def large_shipment() -> Column:
+    return F.col("l_quantity") > 10
+
+
 # --- sample design -------------------------------------------------------------------------------
 
 def domains() -> dict[str, Column]:

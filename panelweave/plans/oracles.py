@@ -215,6 +215,29 @@ def _survival(last: int) -> str:
 
 SURVIVAL = _survival(b.WAVES[-1])
 
+MONTHLY = """
+monthly AS (
+  SELECT l_suppkey, (year(l_shipdate) - 1993) * 12 + month(l_shipdate) AS wave,
+    bool_and(l_quantity > 10) AS gone, bool_or(l_quantity <= 10 AND l_tax > 0.02) AS starts
+  FROM lineitem WHERE year(l_shipdate) BETWEEN 1993 AND 1997 GROUP BY ALL
+)"""
+
+MONTHLY_SURVIVAL = f"""
+WITH {MONTHLY},
+ends AS (
+  SELECT m.l_suppkey, min(CASE WHEN n.gone IS NULL OR n.gone THEN g.wave END) AS last
+  FROM monthly m CROSS JOIN range(2, 61) AS g(wave) LEFT JOIN monthly n ON n.l_suppkey = m.l_suppkey AND n.wave = g.wave
+  WHERE m.wave = 1 AND NOT m.gone GROUP BY m.l_suppkey
+)
+SELECT e.l_suppkey, CASE WHEN n.gone THEN 1 ELSE 0 END AS status,
+  CAST(CASE WHEN last IS NULL THEN 60 WHEN n.gone THEN last ELSE last - 1 END AS INTEGER) AS time
+FROM ends e LEFT JOIN monthly n ON n.l_suppkey = e.l_suppkey AND n.wave = e.last"""
+
+MONTHLY_DROPOUT = f"""
+WITH {MONTHLY}
+SELECT x.l_suppkey, CAST(x.wave AS INTEGER) AS wave FROM monthly x JOIN monthly y ON x.l_suppkey = y.l_suppkey AND y.wave = x.wave + 1
+WHERE x.starts AND y.gone"""
+
 COVARIATES = """
 covariates AS (
   SELECT c_custkey AS o_custkey, c_mktsegment AS segment,
@@ -1128,6 +1151,8 @@ ORACLES = {
     "attrition_anti": f"""WITH {PANEL} SELECT o_custkey FROM latest WHERE wave = 1 AND o_orderstatus = 'F'
         AND o_custkey NOT IN (SELECT o_custkey FROM latest WHERE wave = 2)""",
     "survival_table": f"WITH {SURVIVAL} SELECT * FROM survival",
+    "monthly_survival": MONTHLY_SURVIVAL,
+    "monthly_dropout": MONTHLY_DROPOUT,
     "matched_waves": MATCHED_WAVES,
     "evasion_flag": EVASION,
     "cohort_covariates": f"WITH {SURVIVAL}, {COVARIATES} SELECT * FROM survival JOIN covariates USING (o_custkey)",

@@ -210,6 +210,19 @@ def survival_table(spark, sf_dir):
     return _survival(spark, sf_dir)
 
 
+def monthly_survival(spark, sf_dir):
+    """Sixty waves: who had a small shipment in the first month, until a month has none or only large ones."""
+    large = b.large_shipment()
+    return panel.survival_table(b.monthly_panel(spark, sf_dir), "l_suppkey", "wave", b.MONTHS, ~large, large)
+
+
+def monthly_dropout(spark, sf_dir):
+    large = b.large_shipment()
+    return panel.pair_dropouts(
+        b.monthly_panel(spark, sf_dir), "l_suppkey", "wave", b.MONTHS, eligible=F.col("l_tax") > 0.02, attends=~large, left=large
+    )
+
+
 def matched_waves(spark, sf_dir):
     status = F.when(b.attends(), panel.ATTENDS).when(b.has_left(), panel.LEFT)
     return panel.matched_waves(
@@ -637,6 +650,8 @@ QUERIES = {
     "dropout_semi": dropout_semi,
     "attrition_anti": attrition_anti,
     "survival_table": survival_table,
+    "monthly_survival": monthly_survival,
+    "monthly_dropout": monthly_dropout,
     "matched_waves": matched_waves,
     "evasion_flag": evasion_flag,
     "cohort_covariates": cohort_covariates,
