@@ -215,6 +215,14 @@ def _survival(last: int) -> str:
 
 SURVIVAL = _survival(b.WAVES[-1])
 
+RAW = """
+raw AS (
+  SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, o_orderkey, o_orderstatus,
+    CASE WHEN o_orderkey % 25 <> 2 THEN round(o_totalprice, 2) END AS o_totalprice,
+    CASE o_orderkey % 25 WHEN 1 THEN 'unreadable o_totalprice' WHEN 3 THEN 'short' WHEN 4 THEN 'long' END AS problem
+  FROM orders WHERE o_orderdate >= DATE '1996-07-01' AND o_orderdate < DATE '1997-07-01'
+)"""
+
 MONTHLY = """
 monthly AS (
   SELECT l_suppkey, (year(l_shipdate) - 1993) * 12 + month(l_shipdate) AS wave,
@@ -1151,6 +1159,8 @@ ORACLES = {
     "attrition_anti": f"""WITH {PANEL} SELECT o_custkey FROM latest WHERE wave = 1 AND o_orderstatus = 'F'
         AND o_custkey NOT IN (SELECT o_custkey FROM latest WHERE wave = 2)""",
     "survival_table": f"WITH {SURVIVAL} SELECT * FROM survival",
+    "raw_quarters": f"WITH {RAW} SELECT * EXCLUDE (problem) FROM raw WHERE problem IS NULL",
+    "raw_quarter_counts": f"WITH {RAW} SELECT year, quarter, problem, count(*) AS n FROM raw GROUP BY ALL",
     "monthly_survival": MONTHLY_SURVIVAL,
     "monthly_dropout": MONTHLY_DROPOUT,
     "matched_waves": MATCHED_WAVES,

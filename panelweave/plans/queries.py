@@ -169,6 +169,36 @@ def fixed_width_read(spark, sf_dir):
     return microdata.read_fixed_width(spark, path, layout)
 
 
+RAW_QUARTERS = ((1996, 3), (1996, 4), (1997, 1), (1997, 2))
+RAW_LAYOUT = (
+    microdata.FixedField("o_orderkey", 1, 10, "bigint"),
+    microdata.FixedField("o_orderstatus", 11, 1),
+    microdata.FixedField("o_totalprice", 12, 12, "double"),
+)
+
+
+def _raw_quarters(spark, sf_dir) -> microdata.RawRecords:
+    """Orders landed as one folder of records per quarter, some of them broken; the first quarter isn't asked for."""
+    price = F.format_string("%12.2f", "o_totalprice")
+    broken = F.when(F.col("o_orderkey") % 25 == 1, F.lit("      12,5x ")).when(F.col("o_orderkey") % 25 == 2, " " * 12)
+    record = F.concat(F.format_string("%10d", "o_orderkey"), "o_orderstatus", F.coalesce(broken, price))
+    torn = F.when(F.col("o_orderkey") % 25 == 3, F.substring(record, 1, 15)).when(F.col("o_orderkey") % 25 == 4, F.concat(record, F.lit("7")))
+    path = _scratch(spark, "raw")
+    for year, quarter in ((1996, 2), *RAW_QUARTERS):
+        rows = b.table(spark, sf_dir, "orders").where((F.year("o_orderdate") == year) & (F.quarter("o_orderdate") == quarter))
+        rows.select(F.coalesce(torn, record).alias("value")).write.text(f"{path}/people_{quarter:02d}{year}")
+    pattern = r"people_(?P<quarter>\d{2})(?P<year>\d{4})"
+    return microdata.read_raw_periods(spark, f"{path}/*", RAW_LAYOUT, pattern, periods=RAW_QUARTERS)
+
+
+def raw_quarters(spark, sf_dir):
+    return _rounded(_raw_quarters(spark, sf_dir).good, {"o_totalprice": 2})
+
+
+def raw_quarter_counts(spark, sf_dir):
+    return _raw_quarters(spark, sf_dir).counts()
+
+
 # --- panel ---------------------------------------------------------------------------------------
 
 
@@ -645,6 +675,8 @@ QUERIES = {
     "quarterly_waves": quarterly_waves,
     "annual_files": annual_files,
     "fixed_width_read": fixed_width_read,
+    "raw_quarters": raw_quarters,
+    "raw_quarter_counts": raw_quarter_counts,
     "baseline_cohort": baseline_cohort,
     "pair_dropout": pair_dropout,
     "dropout_semi": dropout_semi,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +62,66 @@ def read_fixed_width(spark: SparkSession, path: str, layout: Sequence[FixedField
     return lines.select(*columns)
 
 
+@dataclass(frozen=True)
+class RawRecords:
+    """Raw records told apart: `good` has the period and the typed fields, `bad` the period, file, line and problem."""
+
+    good: DataFrame
+    bad: DataFrame
+    all: DataFrame
+    period: tuple[str, ...]
+
+    def counts(self) -> DataFrame:
+        """(period, problem, n): the records of every period, good ones with problem NULL, in one pass."""
+        return self.all.groupBy(*self.period, "problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def read_raw_periods(
+    spark: SparkSession,
+    path: str,
+    layout: Sequence[FixedField],
+    pattern: str,
+    period: Sequence[str] = ("year", "quarter"),
+    periods: Sequence[Sequence[int]] | None = None,
+) -> RawRecords:
+    """Fixed-width records of several periods, each period known from its file's path.
+
+    `pattern` has one named group of digits for each column of `period`. With `periods`, files of other periods aren't
+    opened: the condition is on the path, which Spark checks when it lists the files. A record is bad if its file names no
+    period, if it is shorter or longer than the layout, or if a field that should be a number is neither blank nor one;
+    the first of these is its `problem`. Blank fields are NULL.
+    """
+    groups = re.compile(pattern).groupindex
+    if set(groups) != set(period):
+        raise ValueError(f"the pattern must name the groups {list(period)}")
+    plain = re.sub(r"\(\?P<\w+>", "(", pattern)
+    file = F.col("_metadata.file_path")
+    of_file = {name: F.regexp_extract(file, plain, groups[name]).try_cast("int") for name in period}
+    lines = spark.read.text(path)
+    if periods is not None:
+        here = [reduce(and_, [of_file[n] == v for n, v in zip(period, wanted, strict=True)]) for wanted in periods]
+        lines = lines.where(reduce(or_, here, F.lit(False)))
+    width = max(f.start + f.width - 1 for f in layout)
+    raw, typed, unreadable = {}, {}, []
+    for field in layout:
+        text = F.trim(F.substring("value", field.start, field.width))
+        raw[field.name] = F.when(text != "", text)
+        typed[field.name] = raw[field.name] if field.type == "string" else raw[field.name].try_cast(field.type)
+        if field.type != "string":
+            unreadable.append((field.name, raw[field.name].isNotNull() & typed[field.name].isNull()))
+    problem = F.when(reduce(or_, [of_file[n].isNull() for n in period]), "no period")
+    problem = problem.when(F.length("value") < width, "short").when(F.length("value") > width, "long")
+    for name, broken in unreadable:
+        problem = problem.when(broken, f"unreadable {name}")
+    told = lines.select(*[c.alias(n) for n, c in of_file.items()], file.alias("file"), "value", problem.alias("problem"))
+    return RawRecords(
+        good=told.where(F.col("problem").isNull()).select(*period, *[c.alias(n) for n, c in typed.items()]),
+        bad=told.where(F.col("problem").isNotNull()).select(*period, "file", F.col("value").alias("line"), "problem"),
+        all=told.select(*period, "problem"),
+        period=tuple(period),
+    )
+
+
 def decode_labels(rows: DataFrame, dictionary: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Replace codes by labels; the code stays in `<name>_code`. An unknown code has a NULL label.
 
