@@ -121,8 +121,8 @@ MONTHS = tuple(range(1, 61))
 
 
 def monthly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shipments as monthly waves of suppliers from 1993 on; several rows of a supplier in a month are the rule."""
-    month = F.expr("(year(l_shipdate) - 1993) * 12 + month(l_shipdate)")
+    """Shipments as monthly waves of suppliers from 1995 on; several rows of a supplier in a month are the rule."""
+    month = F.expr("(year(l_shipdate) - 1995) * 12 + month(l_shipdate)")
     return table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_tax", month.alias("wave"))
 
 

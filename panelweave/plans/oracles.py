@@ -225,9 +225,9 @@ raw AS (
 
 MONTHLY = """
 monthly AS (
-  SELECT l_suppkey, (year(l_shipdate) - 1993) * 12 + month(l_shipdate) AS wave,
+  SELECT l_suppkey, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS wave,
     bool_and(l_quantity > 10) AS gone, bool_or(l_quantity <= 10 AND l_tax > 0.02) AS starts
-  FROM lineitem WHERE year(l_shipdate) BETWEEN 1993 AND 1997 GROUP BY ALL
+  FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 1999 GROUP BY ALL
 )"""
 
 MONTHLY_SURVIVAL = f"""
