@@ -12,6 +12,7 @@ from panelweave.functions.scalars import inverse_mills, text_key
 from panelweave.operators.design import SurveyDesign
 from panelweave.operators.glm import fit_linear, fit_probit
 from panelweave.operators.model import Fit, Number, Term
+from panelweave.session import checkpointed
 
 # Donors are numbered bucket by bucket, a bucket being this many leading hex digits of the donor's hash.
 BUCKET_DIGITS = 4
@@ -58,7 +59,8 @@ def _numbered(donors: DataFrame, keys: Sequence[str], value: str) -> tuple[DataF
     """
     known = donors.where(F.col(value).isNotNull()).select(F.md5(text_key(*keys, sep="|")).alias("__hash"), value)
     distinct = known.groupBy("__hash", value).agg(F.count(F.lit(1)).alias("__copies"))
-    distinct = distinct.withColumn("__bucket", F.substring("__hash", 1, BUCKET_DIGITS))
+    # Written once: the bucket totals, the numbering and the size all read the narrow table, not the donors' rows.
+    distinct = checkpointed(distinct.withColumn("__bucket", F.substring("__hash", 1, BUCKET_DIGITS)))
     totals = distinct.groupBy("__bucket").agg(F.sum("__copies").alias("__total"))
     # At most 16^BUCKET_DIGITS rows: small enough for one running sum and for a broadcast.
     before = F.sum("__total").over(Window.orderBy("__bucket")) - F.col("__total")
