@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+import zlib
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,21 @@ def recode(value: str | Column, mapping: Mapping) -> Column:
     return out
 
 
+def number_of(value: str | Column, numbers: Mapping[str, float]) -> Column:
+    """The number that belongs to a text, NULL for any other; other types are compared as text.
+
+    The texts are dealt to buckets of about four by their CRC, so thousands of them are found as fast as a few.
+    """
+    text = _column(value).cast("string")
+    buckets: list[dict[str, float]] = [{} for _ in range(len(numbers) // 4 + 1)]
+    for key, number in numbers.items():
+        buckets[zlib.crc32(str(key).encode()) % len(buckets)][str(key)] = float(number)
+    # One constant, folded before the query runs.
+    table = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<map<string,double>>")
+    bucket = F.get(table, (F.crc32(text.cast("binary")) % len(buckets)).cast("int"))
+    return F.try_element_at(bucket, text)
+
+
 def region_from_key(key: str | Column, names: Mapping[str, str]) -> Column:
     """Region name from the first character of a cluster key."""
     return recode(F.substring(_column(key).cast("string"), 1, 1), names)

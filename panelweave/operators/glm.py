@@ -33,6 +33,7 @@ from panelweave.operators.model import (
     Fit,
     Layout,
     Term,
+    cell_rows,
     collected_vector,
     complete_rows,
     independent_columns,
@@ -41,13 +42,19 @@ from panelweave.operators.model import (
     symmetric,
     vector_rows,
 )
+from panelweave.operators.products import CrossProduct, Shape
+from panelweave.operators.skew import lookup_join
 from panelweave.session import checkpointed, staged
 
 MAX_ITERATIONS = 25
 MAX_HALVINGS = 10
 DEVIANCE_TOLERANCE = 1e-10
 # Partial cluster sums a task keeps in memory before it hands them on.
-HELD_CLUSTERS = 50_000
+HELD_CLUSTERS = 500_000
+# The position of a cluster's weight among its scores.
+WEIGHT = -1
+# Numbers a task unpacks at a time when it multiplies cluster totals.
+HELD_VALUES = 4_000_000
 
 
 def fit_linear(
@@ -182,24 +189,27 @@ def _frame(design: SurveyDesign, layout: Layout, response: Column, domain: Colum
 
 
 def _linear_sums(frame: DataFrame, layout: Layout):
-    build, width = layout.matrix_builder(), layout.width
-    upper = np.triu_indices(width)
-    size = len(upper[0]) + 2 * width + 1
+    shape, cells = Shape.of(layout), _cells(layout.width)
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size)
+        products, rest = CrossProduct(shape), np.zeros(2 * shape.width + 1)
         for batch in batches:
-            x, w, y = build(batch), batch["w"].to_numpy(float), batch["y"].to_numpy(float)
-            weighted = x * w[:, None]
-            total += np.concatenate([(x.T @ weighted)[upper], weighted.T @ y, (x != 0).sum(axis=0), [len(x)]])
-        yield vector_rows(total)
+            block, w, y = shape.block(batch), batch["w"].to_numpy(float), batch["y"].to_numpy(float)
+            products.add(block, w)
+            rest += np.concatenate([block.sums(w * y), block.counts(), [len(block)]])
+        yield cell_rows(*products.cells())
+        yield cell_rows(cells + np.arange(len(rest)), rest)
 
     names = [*layout.column_names(), "w", "y"]
-    return _split(collected_vector(frame.select(*names), partials, size), width)
+    return _split(collected_vector(frame.select(*names), partials, cells + 2 * layout.width + 1), layout.width)
+
+
+def _cells(width: int) -> int:
+    return width * (width + 1) // 2
 
 
 def _split(total: np.ndarray, width: int):
-    cells = width * (width + 1) // 2
+    cells = _cells(width)
     gram = symmetric(total[:cells], width)
     return gram, total[cells : cells + width], total[cells + width : cells + 2 * width], int(total[cells + 2 * width])
 
@@ -210,23 +220,25 @@ def _probit_sums(frame: DataFrame, layout: Layout, beta: np.ndarray) -> tuple:
 
 def _all_probit_sums(frame: DataFrame, layout: Layout, betas: Mapping[int, np.ndarray]) -> dict[int, tuple]:
     """(information, score, deviance, counts, rows) of each model at its coefficients; model k holds for rows with `in<k>`."""
-    build, width = layout.matrix_builder(), layout.width
-    upper = np.triu_indices(width)
-    size = len(upper[0]) + 2 * width + 2
-
-    def sums(x: np.ndarray, w: np.ndarray, y: np.ndarray, beta: np.ndarray) -> np.ndarray:
-        score, fisher, log_likelihood = _probit_parts(x @ beta, y)
-        gram = (x.T @ (x * (w * fisher)[:, None]))[upper]
-        return np.concatenate([gram, x.T @ (w * score), (x != 0).sum(axis=0), [len(x), -2.0 * float(w @ log_likelihood)]])
+    shape, width, cells = Shape.of(layout), layout.width, _cells(layout.width)
+    size = cells + 2 * width + 2
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(betas), size))
+        products = {k: CrossProduct(shape) for k in betas}
+        rest = {k: np.zeros(2 * width + 2) for k in betas}
         for batch in batches:
-            x, w, y = build(batch), batch["w"].to_numpy(float), batch["y"].to_numpy(float)
-            for row, (k, beta) in zip(total, betas.items(), strict=True):
+            whole, w, y = shape.block(batch), batch["w"].to_numpy(float), batch["y"].to_numpy(float)
+            for k, beta in betas.items():
                 mine = batch[f"in{k}"].to_numpy(bool)
-                row += sums(x[mine], w[mine], y[mine], beta)
-        yield vector_rows(total.ravel())
+                block, weight = whole.of_rows(mine), w[mine]
+                score, fisher, log_likelihood = _probit_parts(block.predictor(beta), y[mine])
+                products[k].add(block, weight * fisher)
+                deviance = -2.0 * float(weight @ log_likelihood)
+                rest[k] += np.concatenate([block.sums(weight * score), block.counts(), [len(block), deviance]])
+        for number, k in enumerate(betas):
+            positions, values = products[k].cells()
+            yield cell_rows(number * size + positions, values)
+            yield cell_rows(number * size + cells + np.arange(2 * width + 2), rest[k])
 
     names = [*layout.column_names(), "w", "y", *[f"in{k}" for k in betas]]
     totals = collected_vector(frame.select(*names), partials, size * len(betas)).reshape(len(betas), size)
@@ -297,88 +309,92 @@ def _score_covariances(
 ) -> list[tuple[np.ndarray, int, int]]:
     """For each model (flag, columns, beta) the between-cluster covariance of its score totals, and its clusters and strata.
 
-    Scores of all models sit side by side in one row per cluster; their covariances are blocks of one cross-product.
+    A cluster's scores are rows (pos, value), only of the columns that its rows have, each model at its own positions
+    and then one position a model for its rows. With post-strata the score is net of the weight times the mean score of
+    the post-stratum; the weights follow at positions of their own, and the driver takes the means off the cross-product.
     """
-    scores = [[f"s{k}_{i}" for i in range(len(columns))] for k, (_, columns, _) in enumerate(models)]
-    names, used = [s for each in scores for s in each], [f"n{k}" for k in range(len(models))]
-    places = [F.col(design.strata).alias("h"), F.col(design.psu).alias("c")]
-    keys = ["h", "c"]
+    keys = ["h", "c"] + (["g"] if design.poststratum else [])
+    names = dict(zip(keys, [design.strata, design.psu, design.poststratum], strict=False))
+    # Every cluster of the design takes part, also one without a row in the fit: its weight stands at WEIGHT.
+    places = [F.col(name).alias(k) for k, name in names.items()]
+    whole = design.data.select(*places, F.lit(WEIGHT).alias("pos"), F.col(design.weight).cast("double").alias("value"))
+    rows = _score_rows(frame, layout, models, score, keys).unionByName(whole)
+    sums = checkpointed(rows.groupBy(*keys, "pos").agg(F.sum("value").alias("value")))
+    places = sums.where(F.col("pos") == WEIGHT).select(*keys, F.col("value").alias("w"))
+    cells = sums.where(F.col("pos") != WEIGHT)
+    factors = SurveyDesign(places, "w", "h", "c", lonely_psu=design.lonely_psu).stratum_factors(places)
+
+    starts = np.cumsum([0, *[len(columns) for _, columns, _ in models]])
+    width = int(starts[-1])
+    totals, means = cells, None
     if design.poststratum:
-        places.append(F.col(design.poststratum).alias("g"))
-        keys.append("g")
-    plain = SurveyDesign(frame, "w", "h", "c", "g" if design.poststratum else None, lonely_psu=design.lonely_psu)
-
-    # Every cluster of the design takes part, with zero scores where it has no row in the fit.
-    rows = _score_rows(frame, layout, models, scores, score, keys).withColumn("w", F.lit(0.0))
-    nothing = [F.lit(0.0).alias(s) for s in [*names, *used]]
-    whole = design.data.select(*places, *nothing, F.col(design.weight).cast("double").alias("w"))
-    sums = [F.sum(s).alias(s) for s in [*names, *used]]
-    cells = checkpointed(rows.unionByName(whole).groupBy(*keys).agg(*sums, F.sum("w").alias("w")))
-    totals = cells
-    if design.poststratum:
-        counts = cells.groupBy("h", "c").agg(*[F.sum(n).alias(n) for n in used])
-        totals = checkpointed(_net_of_poststrata(cells, names).join(counts, ["h", "c"]))
-
-    # The covariance is a weighted cross-product of cluster rows minus one of stratum rows. Both kinds
-    # of row also say whether each fit used them, for the degrees of freedom.
-    factors = plain.stratum_factors(totals)
-    flags = {kind: [f"{kind}{k}" for k in range(len(models))] for kind in ("clusters", "strata")}
-    in_fit = [(F.col(n) > 0).cast("double") for n in used]
-    no = [F.lit(0.0)] * len(models)
-    flagged = lambda kind, columns: [c.alias(name) for c, name in zip(columns, flags[kind], strict=True)]
-    per_cluster = totals.join(factors, "h").select(
-        F.col("factor").alias("w"), *names, *flagged("clusters", in_fit), *flagged("strata", no)
-    )
-    per_stratum = (
-        totals.groupBy("h")
-        .agg(*sums)
-        .join(factors, "h")
-        .select((-F.col("factor") / F.col("n_psu")).alias("w"), *names, *flagged("clusters", no), *flagged("strata", in_fit))
-    )
-    gram, counted = _gram(per_cluster.unionByName(per_stratum), names, [*flags["clusters"], *flags["strata"]])
-    out, start = [], 0
-    for k, each in enumerate(scores):
-        end = start + len(each)
-        out.append((gram[start:end, start:end], int(counted[k]), int(counted[len(models) + k])))
-        start = end
+        cells = cells.where(F.col("g").isNotNull())
+        weights = places.where(F.col("g").isNotNull())
+        groups = {row["g"]: (k, row["w"]) for k, row in enumerate(weights.groupBy("g").agg(F.sum("w").alias("w")).collect())}
+        first = width + len(models)
+        schema = T.StructType([places.schema["g"], T.StructField("pos", T.IntegerType())])
+        numbers = frame.sparkSession.createDataFrame([(g, first + k) for g, (k, _) in groups.items()], schema)
+        totals = cells.drop("g").unionByName(lookup_join(weights, numbers, ["g"]).select("h", "c", "pos", F.col("w").alias("value")))
+        totals = totals.groupBy("h", "c", "pos").agg(F.sum("value").alias("value"))
+        means = np.zeros((len(groups), width))
+        for row in cells.where(F.col("pos") < width).groupBy("g", "pos").agg(F.sum("value").alias("value")).toLocalIterator():
+            k, weight = groups[row["g"]]
+            means[k, row["pos"]] = row["value"] / weight if weight else 0.0
+
+    # The covariance is a weighted cross-product of cluster rows less one of stratum rows. A row's cells are at most
+    # as many as the models have terms.
+    vector = F.collect_list(F.struct("pos", "value")).alias("cells")
+    by_stratum = totals.groupBy("h", "pos").agg(F.sum("value").alias("value")).groupBy("h").agg(vector)
+    by_stratum = by_stratum.join(factors, "h").select((-F.col("factor") / F.col("n_psu")).alias("w"), "cells", F.lit(True).alias("stratum"))
+    by_cluster = totals.groupBy("h", "c").agg(vector).join(factors, "h")
+    vectors = by_cluster.select(F.col("factor").alias("w"), "cells", F.lit(False).alias("stratum")).unionByName(by_stratum)
+    shared = width + len(models) + np.arange(0 if means is None else len(means))
+    spans = [np.r_[start:end, shared] for start, end in zip(starts, starts[1:], strict=False)]
+    out = []
+    grams, clusters, strata = _grams(vectors, spans, width)
+    for k, gram in enumerate(grams):
+        size = starts[k + 1] - starts[k]
+        if means is not None:
+            net = np.vstack([np.eye(size), -means[:, starts[k] : starts[k + 1]]])
+            gram = net.T @ gram @ net
+        out.append((gram, int(clusters[k]), int(strata[k])))
     return out
 
 
-def _net_of_poststrata(cells: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Cluster scores (h, c, names) from (h, c, g) cells, each less its weight times the post-stratum's mean score."""
-    means = cells.groupBy("g").agg(*[F.try_divide(F.sum(s), F.sum("w")).alias(f"__mean_{s}") for s in names])
-    net = [F.sum(F.col(s) - F.coalesce(F.col("w") * F.col(f"__mean_{s}"), F.lit(0.0))).alias(s) for s in names]
-    return cells.join(means, "g").groupBy("h", "c").agg(*net)
-
-
-def _score_rows(frame, layout, models, scores, score, keys) -> DataFrame:
-    """Score sums per cluster, folded within each task; tasks meet in the following grouped sum.
+def _score_rows(frame, layout, models, score, keys) -> DataFrame:
+    """Score sums (keys, pos, value) per cluster, folded within each task; tasks meet in the following grouped sum.
 
     A task holds at most HELD_CLUSTERS partial rows before it hands them on.
     """
-    build, limit = layout.matrix_builder(), HELD_CLUSTERS
-    names = [*[s for each in scores for s in each], *[f"n{k}" for k in range(len(models))]]
+    shape, limit = Shape.of(layout), HELD_CLUSTERS
     flags = [flag for flag, _, _ in models if flag]
-    types = [frame.schema[k] for k in keys]
-    schema = T.StructType([*types, *[T.StructField(s, T.DoubleType()) for s in names]])
+    schema = T.StructType([*[frame.schema[k] for k in keys], T.StructField("pos", T.IntegerType()), T.StructField("value", T.DoubleType())])
+    width = sum(len(columns) for _, columns, _ in models)
 
     def folded(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        return pd.concat(parts).groupby(keys, sort=False).sum().reset_index()
+        return pd.concat(parts).groupby([*keys, "pos"], sort=False, dropna=False)["value"].sum().reset_index()
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for batch in batches:
-            x, w, y = build(batch), batch["w"].to_numpy(float), batch["y"].to_numpy(float)
-            blocks, counts = [], []
-            for flag, columns, beta in models:
-                inside = batch[flag].to_numpy(bool) if flag else np.ones(len(x), bool)
-                residual = np.where(inside, score(x @ beta, y) * w, 0.0)
-                blocks.append(x[:, columns] * residual[:, None])
-                counts.append(inside.astype(float)[:, None])
-            out = pd.DataFrame(np.hstack([*blocks, *counts]), columns=names)
-            for k in reversed(keys):
-                out.insert(0, k, batch[k].to_numpy())
-            held.append(folded([out]))
+            block, w, y = shape.block(batch), batch["w"].to_numpy(float), batch["y"].to_numpy(float)
+            start, rows, positions, values = 0, [], [], []
+            for k, (flag, columns, beta) in enumerate(models):
+                inside = batch[flag].to_numpy(bool) if flag else np.ones(len(block), bool)
+                place = np.full(shape.width, -1)
+                place[list(columns)] = start + np.arange(len(columns))
+                start += len(columns)
+                mine = np.flatnonzero(inside)
+                part = block.of_rows(mine)
+                row, at, value = part.entries(score(part.predictor(beta), y[mine]) * w[mine])
+                kept = place[at] >= 0
+                rows += [mine[row[kept]], mine]
+                positions += [place[at[kept]], np.full(len(mine), width + k)]
+                values += [value[kept], np.ones(len(mine))]
+            row = np.concatenate(rows)
+            out = {key: batch[key].to_numpy()[row] for key in keys}
+            out |= {"pos": np.concatenate(positions).astype("int32"), "value": np.concatenate(values)}
+            held.append(folded([pd.DataFrame(out)]))
             if sum(map(len, held)) > limit:
                 held = [folded(held)]
                 if len(held[0]) > limit // 2:
@@ -389,19 +405,34 @@ def _score_rows(frame, layout, models, scores, score, keys) -> DataFrame:
     return frame.select(*keys, *layout.column_names(), "w", "y", *flags).mapInPandas(partials, schema)
 
 
-def _gram(frame: DataFrame, names: Sequence[str], flags: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted cross-products of a frame with one row per cluster or stratum, and the sums of its flags."""
-    width, names, flags = len(names), list(names), list(flags)
-    upper = np.triu_indices(width)
-    size = len(upper[0]) + len(flags)
+def _grams(frame: DataFrame, spans: Sequence[np.ndarray], first: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each span of positions the weighted cross-product of the rows' vectors there; a vector is its (pos, value) cells.
+
+    Also how many cluster rows and stratum rows hold each of the positions from `first` on, one a span: a
+    model's clusters and strata.
+    """
+    uppers = [np.triu_indices(len(span)) for span in spans]
+    ends = np.cumsum([0, *[len(upper[0]) for upper in uppers]])
+    size = max([first + len(spans), *[int(span.max()) + 1 for span in spans if len(span)]])
+    step = max(1, HELD_VALUES // max(size, 1))
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size)
+        totals = [np.zeros((len(span), len(span))) for span in spans]
+        held = np.zeros((2, len(spans)))
         for batch in batches:
-            block, w = batch[names].to_numpy(float), batch["w"].to_numpy(float)
-            total += np.concatenate([(block.T @ (block * w[:, None]))[upper], batch[flags].to_numpy(float).sum(axis=0)])
-        yield vector_rows(total)
-
-    total = collected_vector(frame, partials, size)
-    cut = size - len(flags)
-    return symmetric(total[:cut], width), total[cut:]
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at : at + step]
+                dense = np.zeros((len(part), size))
+                for row, cells in zip(dense, part["cells"], strict=True):
+                    row[[cell["pos"] for cell in cells]] = [cell["value"] for cell in cells]
+                by_stratum = part["stratum"].to_numpy(bool)
+                present = dense[:, first : first + len(spans)] > 0
+                held += [present[~by_stratum].sum(axis=0), present[by_stratum].sum(axis=0)]
+                weighted = dense * part["w"].to_numpy(float)[:, None]
+                for total, span in zip(totals, spans, strict=True):
+                    total += dense[:, span].T @ weighted[:, span]
+        yield vector_rows(np.concatenate([*[total[upper] for total, upper in zip(totals, uppers, strict=True)], held.ravel()]))
+
+    found = collected_vector(frame, partials, int(ends[-1]) + 2 * len(spans))
+    clusters, strata = found[ends[-1] :].reshape(2, -1)
+    return [symmetric(found[a:b], len(span)) for a, b, span in zip(ends, ends[1:], spans, strict=False)], clusters, strata

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelweave.functions.scalars import number_of
+
 INTERCEPT = "(Intercept)"
 COEFFICIENT_SCHEMA = (
     "model string, term string, estimate double, std_error double, statistic double, p_value double, converged boolean"
@@ -70,11 +72,8 @@ class Layout:
         out = []
         for i, term in enumerate(self.terms):
             if isinstance(term, Factor):
-                value = None
-                for position, level in enumerate(term.levels):
-                    hit = term.value == F.lit(level)
-                    value = F.when(hit, position) if value is None else value.when(hit, position)
-                out.append(value.cast("double").alias(f"t{i}"))
+                positions = {level: k for k, level in enumerate(term.levels)}
+                out.append(number_of(term.value, positions).alias(f"t{i}"))
             else:
                 out.append(term.value.cast("double").alias(f"t{i}"))
         return out
@@ -121,11 +120,8 @@ class Layout:
         out = F.lit(float(coefficients.get(INTERCEPT) or 0.0))
         for term in self.terms:
             if isinstance(term, Factor):
-                part = None
-                for level in term.levels:
-                    hit, weight = term.value == F.lit(level), F.lit(float(coefficients.get(f"{term.name}{level}") or 0.0))
-                    part = F.when(hit, weight) if part is None else part.when(hit, weight)
-                out = out + part
+                weights = {level: coefficients.get(f"{term.name}{level}") or 0.0 for level in term.levels}
+                out = out + number_of(term.value, weights)
             else:
                 out = out + term.value.cast("double") * F.lit(float(coefficients.get(term.name) or 0.0))
         return out
@@ -158,14 +154,18 @@ def summed_vectors(frame: DataFrame, partials, keys: str = "") -> DataFrame:
 
 def collected_vector(frame: DataFrame, partials, size: int) -> np.ndarray:
     out = np.zeros(size)
-    for row in summed_vectors(frame, partials).collect():
-        out[row["pos"]] = row["value"]
+    found = summed_vectors(frame, partials).toArrow()
+    out[found["pos"].to_numpy()] = found["value"].to_numpy()
     return out
 
 
 def vector_rows(vector: np.ndarray) -> pd.DataFrame:
     (positions,) = np.nonzero(vector)
-    return pd.DataFrame({"pos": positions.astype("int32"), "value": vector[positions]})
+    return cell_rows(positions, vector[positions])
+
+
+def cell_rows(positions: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"pos": positions.astype("int32"), "value": values})
 
 
 def symmetric(upper: np.ndarray, width: int) -> np.ndarray:
@@ -175,16 +175,24 @@ def symmetric(upper: np.ndarray, width: int) -> np.ndarray:
 
 
 def independent_columns(gram: np.ndarray, columns: Sequence[int]) -> list[int]:
-    """Columns not explained by earlier ones, found by sweeping the cross-product matrix in order."""
+    """Columns not explained by earlier ones, found by sweeping the cross-product matrix in order.
+
+    Where nothing is explained, the triangular factor shows it at once: the squares of its diagonal are the sweep's pivots.
+    """
     columns = list(columns)
     scale = np.sqrt(np.maximum(np.diag(gram)[columns], 0.0))
     scale[scale == 0] = 1.0
     work = gram[np.ix_(columns, columns)] / np.outer(scale, scale)
+    try:
+        if np.all(np.diag(np.linalg.cholesky(work)) ** 2 > ALIAS_TOLERANCE):
+            return columns
+    except np.linalg.LinAlgError:
+        pass
     keep = []
     for i in range(len(columns)):
         if work[i, i] > ALIAS_TOLERANCE:
             keep.append(columns[i])
-            work = work - np.outer(work[:, i], work[i, :]) / work[i, i]
+            work[i + 1 :, i + 1 :] -= np.outer(work[i + 1 :, i], work[i, i + 1 :] / work[i, i])
     return keep
 
 

@@ -177,6 +177,13 @@ def status_factor() -> Factor:
     return Factor("status", F.col("l_linestatus"), ("F", "O"))
 
 
+PART_LEVELS = 2000
+
+
+def part_factor() -> Factor:
+    return Factor("part", F.col("l_partkey") % PART_LEVELS, [str(k) for k in range(PART_LEVELS)])
+
+
 def quantity() -> Number:
     return Number("quantity", F.col("l_quantity"))
 

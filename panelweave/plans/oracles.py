@@ -586,6 +586,63 @@ WLS_ONE_NUMBER = f"WITH {DESIGN}, {_number_fit('true', None)} {_SHOW_FIT}"
 WLS_SANDWICH_SE = f"WITH {POSTSTRATIFIED}, {_number_fit('l_discount >= 0.09', 'l_returnflag')} {_SHOW_FIT}"
 
 
+# Effects of levels from means within each level; a level's error is that of its mean less the slope's share.
+WLS_MANY_LEVELS = f"""
+WITH {DESIGN},
+rows AS (
+  SELECT l_partkey % 2000 AS level, l_linenumber AS h, psu, w, ln(l_extendedprice) AS y, l_quantity AS x FROM design
+),
+means AS (SELECT level, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w) AS size FROM rows GROUP BY level),
+line AS (
+  SELECT sum(w * (x - mx) * (x - mx)) AS sxx, sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) AS slope
+  FROM rows JOIN means USING (level)
+),
+parts AS (
+  SELECT level, h, psu, size, w * (y - my - slope * (x - mx)) AS e, (x - mx) / sxx AS lever
+  FROM rows JOIN means USING (level), line
+),
+places AS (SELECT h, psu, sum(e * lever) AS slope_z FROM parts GROUP BY h, psu),
+own AS (SELECT level, h, psu, sum(e / size) AS z FROM parts GROUP BY level, h, psu),
+base AS (SELECT level, mx, my FROM means WHERE level = (SELECT min(level) FROM means)),
+clusters AS (
+  SELECT 'quantity' AS term, h, psu, slope_z AS z FROM places
+  UNION ALL SELECT '(Intercept)', places.h, places.psu, coalesce(z, 0) - mx * slope_z
+  FROM places CROSS JOIN base LEFT JOIN own f ON f.level = base.level AND f.h = places.h AND f.psu = places.psu
+  UNION ALL SELECT 'part' || m.level, places.h, places.psu, coalesce(o.z, 0) - coalesce(f.z, 0) - (m.mx - base.mx) * slope_z
+  FROM places CROSS JOIN base JOIN means m ON m.level <> base.level
+    LEFT JOIN own o ON o.level = m.level AND o.h = places.h AND o.psu = places.psu
+    LEFT JOIN own f ON f.level = base.level AND f.h = places.h AND f.psu = places.psu
+),
+strata AS (SELECT term, h, count(*) * var_samp(z) AS v FROM clusters GROUP BY term, h),
+errors AS (SELECT term, sqrt(sum(v)) AS se FROM strata GROUP BY term),
+estimates AS (
+  SELECT 'quantity' AS term, slope AS estimate FROM line
+  UNION ALL SELECT '(Intercept)', my - slope * mx FROM base, line
+  UNION ALL SELECT 'part' || m.level, (m.my - slope * m.mx) - (base.my - slope * base.mx)
+  FROM line, base JOIN means m ON m.level <> base.level
+)
+SELECT term, round(estimate, 6) AS estimate, round(se, 6) AS std_error, true AS converged
+FROM estimates JOIN errors USING (term)"""
+
+# Student's t with an even number of degrees of freedom has a finite series in the angle.
+_TAX_FIT = _number_fit("true", None).replace("l_quantity AS x", "l_tax AS x").replace("'quantity'", "'tax'")
+WLS_SIGNIFICANCE = f"""
+WITH {DESIGN}, {_TAX_FIT},
+freedom AS (SELECT count(*) - count(DISTINCT h) + 1 - 2 AS df FROM (SELECT DISTINCT h, psu FROM parts)),
+angles AS (SELECT *, atan(abs(estimate / se) / sqrt(df)) AS angle FROM fit, freedom),
+series AS (
+  SELECT k, exp(sum(CASE WHEN k = 0 THEN 0 ELSE ln((2 * k - 1) / (2 * k)) END) OVER (ORDER BY k)) AS factor
+  FROM (SELECT unnest(range(0, 1000)) AS k)
+),
+tails AS (
+  SELECT term, 1 - sin(any_value(angle)) * sum(factor * cos(angle) ** (2 * k)) AS p
+  FROM angles JOIN series ON 2 * k <= df - 2 WHERE df % 2 = 0 GROUP BY term
+)
+SELECT 'tax' AS model, term, round(estimate, 6) AS estimate, round(se, 6) AS std_error,
+  round(estimate / se, 6) AS statistic, round(p, 6) AS p_value, true AS converged
+FROM fit LEFT JOIN tails USING (term)"""
+
+
 def _several_terms(terms: dict[str, str], y: str, source: str = "design", extra: str = "") -> str:
     """Least squares of several terms: each coefficient from its term made orthogonal to all others."""
     names = list(terms)
@@ -1186,6 +1243,8 @@ ORACLES = {
     "wls_one_factor": WLS_ONE_FACTOR,
     "wls_one_number": WLS_ONE_NUMBER,
     "wls_sandwich_se": WLS_SANDWICH_SE,
+    "wls_many_levels": WLS_MANY_LEVELS,
+    "wls_significance": WLS_SIGNIFICANCE,
     "mincer_fit": MINCER_FIT,
     "probit_one_factor": PROBIT_ONE_FACTOR,
     "probit_fit": PROBIT_FIT,

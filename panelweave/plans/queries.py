@@ -431,6 +431,19 @@ def mincer_fit(spark, sf_dir):
     return _fit_rows(fit_linear(b.design(spark, sf_dir), b.log_price(), terms, plain_scan=True), spark, "linear")
 
 
+def wls_many_levels(spark, sf_dir):
+    """A factor of 2,000 levels next to a number."""
+    fit = fit_linear(b.design(spark, sf_dir), b.log_price(), [b.part_factor(), b.quantity()], plain_scan=True)
+    table = fit.table(spark, "parts").select("term", "estimate", "std_error", "converged")
+    return _rounded(table, {"estimate": 6, "std_error": 6})
+
+
+def wls_significance(spark, sf_dir):
+    """Every column of a coefficient table, for a term without an effect."""
+    fit = fit_linear(b.design(spark, sf_dir), b.log_price(), [Number("tax", F.col("l_tax"))], plain_scan=True)
+    return _rounded(fit.table(spark, "tax"), dict.fromkeys(("estimate", "std_error", "statistic", "p_value"), 6))
+
+
 def _has_left_number() -> Column:
     return b.has_left().cast("int")
 
@@ -705,6 +718,8 @@ QUERIES = {
     "wls_one_factor": wls_one_factor,
     "wls_one_number": wls_one_number,
     "wls_sandwich_se": wls_sandwich_se,
+    "wls_many_levels": wls_many_levels,
+    "wls_significance": wls_significance,
     "mincer_fit": mincer_fit,
     "probit_fit": probit_fit,
     "probit_populations": probit_populations,
