@@ -10,9 +10,14 @@ Kinds: e-mail names, telephone and card numbers, IPv4 addresses, account numbers
 dates, access keys and secrets. The separators and everything else stay as they are. Where spans overlap, the kind
 listed first wins. Null texts stay null, empty texts empty; texts are treated whole.
 
-A secret is a value after password, token, secret or api_key in any case and `=` or `:`, of at least eight letters
-and digits, with `_ . + / -` between them. It is either hexadecimal in one case or has both a letter and a digit;
+A secret is a value after password, passwd, pwd, token, secret or api_key in any case and `=` or `:`, or after the
+word bearer, of at least eight letters and digits, with `_ . + / -` between them. It is either hexadecimal in one case or has both a letter and a digit;
 other words and plain words, such as `Password: required`, are not taken for secrets.
+
+Cards stand in one piece or in groups of four or 4-6-5, account numbers in one piece or in groups of four. Of
+the latter the whole run of groups must pass the check: one followed by another short group of capitals stays as it is.
+Dates have days from 1900 to 2099; one-digit days and months stay ones, as a format of its own. International numbers
+need a `+` and one separator, blank or `-`; their country code stays. Other forms are not covered.
 """
 
 from __future__ import annotations
@@ -120,6 +125,18 @@ def _phone(text: str, key: bytes, back: bool) -> str | None:
     return _with_digits(text, country + permute_symbols(national, alphabets, key, "phone", back))
 
 
+def _international(text: str, key: bytes, back: bool) -> str | None:
+    """The digits after the country code; a first one that isn't zero stays so. Ten digits are those of other phone forms."""
+    country, digits = re.match(r"[+]([0-9]+)", text)[1], _digits(text)
+    national = digits[len(country) :]
+    if not 8 <= len(digits) <= 15:
+        return None
+    if len(national) == 10:
+        return _phone(text, key, back)
+    alphabets = ["0" if national[0] == "0" else "123456789", *["0123456789"] * (len(national) - 1)]
+    return _with_digits(text, country + permute_symbols(national, alphabets, key, "phone", back))
+
+
 def _address(text: str, key: bytes, back: bool) -> str | None:
     parts = [int(p) for p in text.split(".")]
     if max(parts) > 255:
@@ -152,6 +169,12 @@ def _iban(text: str, key: bytes, back: bool) -> str | None:
     return country + _iban_check(country, account) + account
 
 
+def _spaced_iban(text: str, key: bytes, back: bool) -> str | None:
+    symbols = _iban(text.replace(" ", ""), key, back)
+    following = iter(symbols or "")
+    return "".join(x if x == " " else next(following) for x in text) if symbols else None
+
+
 def _day(year: int, month: int, day: int) -> int | None:
     try:
         at = (date(year, month, day) - FIRST_DAY).days
@@ -167,10 +190,16 @@ def _date(text: str, key: bytes, back: bool) -> str | None:
     at = _day(*{"ymd": (a, b, c), "dmy": (c, b, a), "mdy": (c, a, b)}[order])
     if at is None:
         return None
-    late = lambda value: order != "mdy" or (FIRST_DAY + timedelta(value)).day > 12
-    new = FIRST_DAY + timedelta(_permute_until(at, _DAYS, key, "date", back, late))
-    parts = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-    return mark.join(parts[x] for x in order)
+    widths = [len(x) for x in re.split(r"[-/.]", text)]
+    short = [x for x, width in zip(order, widths, strict=True) if width == 1]
+
+    def fits(value: int) -> bool:
+        new = FIRST_DAY + timedelta(value)
+        return (order != "mdy" or new.day > 12) and ("d" not in short or new.day < 10) and ("m" not in short or new.month < 10)
+
+    new = FIRST_DAY + timedelta(_permute_until(at, _DAYS, key, "date", back, fits))
+    parts = {"y": new.year, "m": new.month, "d": new.day}
+    return mark.join(f"{parts[x]:0{width}d}" for x, width in zip(order, widths, strict=True))
 
 
 def _mail(text: str, key: bytes, back: bool) -> str | None:
@@ -211,16 +240,18 @@ def _access_key(text: str, key: bytes, back: bool) -> str | None:
 _RUN = re.compile(r"[0-9][0-9 ().+/-]*[0-9]")
 _IN_RUN: list[tuple[str, re.Pattern, Callable]] = [
     ("ip", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])", re.A), _address),
-    ("date", re.compile(r"(?<![\w/.-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![\w/-]|\.[0-9])", re.A), _date),
+    ("date", re.compile(r"(?<![\w/.-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![\w/-]|\.[0-9])", re.A), _date),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", re.A), _social),
-    ("card", re.compile(r"(?<![\w-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})(?![\w-])", re.A), _card),
+    ("card", re.compile(r"(?<![\w-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![\w-])", re.A), _card),
     ("phone", re.compile(r"(?<![\w+])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])", re.A), _phone),
     ("phone", re.compile(r"(?<![\w+])\+[0-9]{11,13}(?!\w)", re.A), _phone),
+    ("phone", re.compile(r"(?<![\w+])\+[0-9]{1,3}([ -])[0-9]{2,5}(?:\1[0-9]{2,8}){1,4}(?![\w-])", re.A), _international),
 ]
 _ANYWHERE: list[tuple[str, re.Pattern, Callable]] = [
     ("access_key", re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"), _access_key),
-    ("secret", re.compile(r"(?i:password|token|secret|api[_-]?key)[\"']?\s*[=:]\s*[\"']?([0-9A-Za-z](?:[0-9A-Za-z_.+/-]*[0-9A-Za-z])?)"), _secret),
+    ("secret", re.compile(r"(?i:(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s*[=:]\s*[\"']?(?:bearer\s+)?|bearer\s+)([0-9A-Za-z](?:[0-9A-Za-z_.+/-]*[0-9A-Za-z])?)"), _secret),
     ("iban", re.compile(r"[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}(?![0-9A-Za-z])"), _iban),
+    ("iban", re.compile(r"[A-Z]{2}[0-9]{2}(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?(?![0-9A-Za-z])"), _spaced_iban),
 ]
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NAME_CHARS = frozenset("".join(_CLASSES) + "._%+-")

@@ -128,3 +128,68 @@ def test_planted_secrets_are_replaced(spark, medium_dir):
     found = {r.doc_id: r.text for r in p.pseudonymise(docs, KEY).collect()}
     values = [(r.doc_id, v) for r in docs.collect() for v in shape.findall(r.text or "")]
     assert values and not [(i, v) for i, v in values if v in found[i]]
+
+
+def test_other_printed_forms():
+    values = {
+        "card": ["3782 822463 10005", "3714-496353-98431"],
+        "iban": ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"],
+        "date": ["1/2/2020", "25/3/2020", "3/25/2020", "1.12.1999", "9-10-2001"],
+        "phone": ["+44 20 7946 0958", "+49 30 123456", "+33 06 12 34 56 78", "+49-30-1234-567"],
+        "secret": ["Zx81kkk99", "abc123def456"],
+    }
+    for kind, samples in values.items():
+        for value in samples:
+            for text in (f"before {value} after, {value}.", f"({value})", value) if kind != "secret" else (f"pwd: {value} x", f"passwd={value}", f"Authorization: Bearer {value}", f"token: bearer {value}"):
+                new, spans = p.replace(text, KEY)
+                assert {s[0] for s in spans} == {kind} and {text[s[1] : s[2]] for s in spans} == {value}, text
+                assert value not in new and len(new) == len(text)
+                assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", text) or kind in ("secret", "iban")
+                assert p.replace(new, KEY, back=True)[0] == text
+    for text in ("3782 822463 10006", "DE88 3704 0044 0532 0130 00", "1/32/2020", "31/2/2020", "bearer of bad news", "+1 22 33", "pwd: none"):
+        assert p.replace(text, KEY) == (text, []), text
+
+
+def test_linked_across_printed_forms():
+    spaced, compact = p.replace("DE89 3704 0044 0532 0130 00", KEY)[0], p.replace("DE89370400440532013000", KEY)[0]
+    assert spaced.replace(" ", "") == compact
+    assert p._digits(p.replace("3782 822463 10005", KEY)[0]) == p.replace("378282246310005", KEY)[0]
+    assert p._digits(p.replace("+44 20 7946 0958", KEY)[0]) == p.replace("+442079460958", KEY)[0][1:]
+
+
+def test_random_printed_forms_round_trip():
+    draw = random.Random(11)
+    for _ in range(3000):
+        day, month = draw.randint(1, 28), draw.randint(1, 12)
+        body = "37" + "".join(draw.choices("0123456789", k=12))
+        amex = body + p.luhn_digit(body)
+        forms = [f"{day}/{month}/19{draw.randint(10, 99)}", f"{month}/{draw.randint(13, 28)}/2011", f"{amex[:4]} {amex[4:10]} {amex[10:]}",
+                 f"+{draw.randint(1, 999)}" + "".join(f" {draw.randint(10, 99999)}" for _ in range(draw.randint(2, 3))), "pwd=" + "".join(draw.choices("ab12", k=9)), "word"]
+        text = draw.choice([" ", ", ", "; "]).join(draw.choices(forms, k=draw.randint(1, 5)))
+        assert p.replace(p.replace(text, KEY)[0], KEY, back=True)[0] == text, text
+
+
+def test_permutation_against_a_plain_feistel_network():
+    """The definition written out: ten rounds of keyed hashes on two halves, walked on until the value is in range."""
+    import hashlib
+
+    def plain(value, size, kind):
+        bits = max(2, (size - 1).bit_length() + (size - 1).bit_length() % 2)
+        half = bits // 2
+        while True:
+            a, b = divmod(value, 2**half)
+            for turn in range(10):
+                word = f"{kind}/{size}/".encode() + bytes([turn]) + b.to_bytes((half + 7) // 8, "big")
+                digest = hashlib.blake2b(word, key=KEY, digest_size=(half + 7) // 8).digest()
+                a, b = b, a ^ int.from_bytes(digest, "big") % 2**half
+            value = a * 2**half + b
+            if value < size:
+                return value
+
+    for size in (10, 1000, 73049, 10**9, 10**14, 2**32):
+        for value in (0, 1, size // 3, size - 1):
+            assert p.permute(value, size, KEY, "k") == plain(value, size, "k")
+    number = "4000123412341230"
+    number = number[:-1] + p.luhn_digit(number[:-1])
+    inner = f"{plain(int(number[1:-1]), 10**14, 'card/' + ','.join(['10'] * 14)):014d}"
+    assert p.replace(number, KEY)[0] == "4" + inner + p.luhn_digit("4" + inner)
