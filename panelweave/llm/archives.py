@@ -11,7 +11,8 @@ equal payloads, block and payload digests as base32 SHA-1. Of records with equal
 bytes, the one with the largest page id is the response and the others revisit it; smaller ones are responses.
 
 Files are written and read by Spark alone, so any file system it knows serves. A file holds at most
-`RECORDS_PER_FILE` records, since a file is read by one task, and is compressed as a whole.
+`RECORDS_PER_FILE` records, since a file is read by one task, and is compressed as a whole, at gzip's fastest level:
+the usual one costs about four times the CPU time for files a ninth smaller.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,7 +51,8 @@ def payload_digest(payload: bytes) -> str:
 
 def _save(frame: DataFrame, path: str, separator: str) -> None:
     """One text value per record; `separator` ends each, as the format asks."""
-    frame.write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    options = {"lineSep": separator, "compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": RECORDS_PER_FILE}
+    frame.write.options(**options).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -119,24 +121,29 @@ def parse_arc(data: bytes) -> Iterator[tuple[str, str, str, str, bytes]]:
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """The records of all ARC files below `path`, with their file and place in it."""
-    names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
+    return _map_records(spark, path, lambda *record: record, RECORD_SCHEMA, RECORD_TYPES)
+
+
+RECORD_TYPES = [pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64()]
+
+
+def _map_records(spark: SparkSession, path: str, row: Callable[..., tuple], schema: str, kinds: list[pa.DataType]) -> DataFrame:
+    """A row for each record of all ARC files below `path`: `row` of the record's fields, file and place."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 name, rows, size = file.as_py().rpartition("/")[2], [], 0
                 for place, record in enumerate(parse_arc(_unpacked(content.as_py()))):
-                    rows.append((*record, name, place))
+                    rows.append(row(*record, name, place))
                     size += len(record[4])
                     if size > 1 << 23:
-                        yield _batch(rows, names, RECORD_TYPES)
+                        yield _batch(rows, names, kinds)
                         rows, size = [], 0
-                yield _batch(rows, names, RECORD_TYPES)
+                yield _batch(rows, names, kinds)
 
-    return _files(spark, path).mapInArrow(run, RECORD_SCHEMA)
-
-
-RECORD_TYPES = [pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64()]
+    return _files(spark, path).mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -163,39 +170,60 @@ def _as_text(payload: bytes) -> tuple[str, bool]:
         return base64.b64encode(payload).decode(), True
 
 
-DESCRIBED = "page_id long, url string, date string, head string, payload string, encoded boolean, payload_bytes long, digest string, record_id string"
-_DESCRIBED_TYPES = [pa.int64(), *[pa.string()] * 4, pa.bool_(), pa.int64(), pa.string(), pa.string()]
+BRIEF = "page_id long, url string, payload_bytes long, digest string, record_id string"
+_BRIEF_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
+DESCRIBED = f"{BRIEF}, date string, head string, payload string, encoded boolean"
+_DESCRIBED_TYPES = [*_BRIEF_TYPES, *[pa.string()] * 3, pa.bool_()]
+
+
+def _brief(url: str, _ip: str, date: str, _kind: str, message: bytes, file: str, place: int) -> tuple:
+    return _row(url, date, *_split_message(message), file, place)
+
+
+def _described(url: str, _ip: str, date: str, _kind: str, message: bytes, file: str, place: int) -> tuple:
+    head, payload = _split_message(message)
+    stamp = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+    return (*_row(url, date, head, payload, file, place), stamp, head.decode("utf-8", "replace"), *_as_text(payload))
+
+
+def _row(url: str, date: str, head: bytes, payload: bytes, file: str, place: int) -> tuple:
+    ident = _header(head.decode("utf-8", "replace"), ID_HEADER)
+    digest = payload_digest(payload)
+    record_id = uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {date} {digest} {file} {place}")
+    return int(ident) if ident else None, url, len(payload), digest, f"<urn:uuid:{record_id}>"
 
 
 def describe(records: DataFrame) -> DataFrame:
     """ARC records with the parts of a WARC record: timestamp, header and payload, digest, record id."""
     names = [x.split()[0] for x in DESCRIBED.split(", ")]
+    fields = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                head, payload = _split_message(r["message"])
-                ident = _header(head.decode("utf-8", "replace"), ID_HEADER)
-                digest = payload_digest(payload)
-                record_id = uuid.uuid5(uuid.NAMESPACE_URL, f"{r['url']} {r['date']} {digest} {r['file']} {r['place']}")
-                d = r["date"]
-                stamp = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-                head_text, (body, encoded) = head.decode("utf-8", "replace"), _as_text(payload)
-                rows.append((int(ident) if ident else None, r["url"], stamp, head_text, body, encoded, len(payload), digest, f"<urn:uuid:{record_id}>"))
-            yield _batch(rows, names, _DESCRIBED_TYPES)
+            yield _batch([_described(*(r[f] for f in fields)) for r in batch.to_pylist()], names, _DESCRIBED_TYPES)
 
     return records.mapInArrow(run, DESCRIBED)
 
 
-def write_warc(described: DataFrame, path: str, least: int = 0) -> None:
+def read_described(spark: SparkSession, path: str) -> DataFrame:
+    """`describe` of `read_arc`, with each record passed through Python once."""
+    return _map_records(spark, path, _described, DESCRIBED, _DESCRIBED_TYPES)
+
+
+def read_brief(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of `read_described` that tell equal payloads; no payload leaves the task's Python."""
+    return _map_records(spark, path, _brief, BRIEF, _BRIEF_TYPES)
+
+
+def write_warc(described: DataFrame, path: str, least: int = 0, brief: DataFrame | None = None) -> None:
     """WARC files: a response for the largest page id of each digest, revisits for the others.
 
     A filter of bounded size tells which digests may be repeated; all other records are written where they
-    were read, without a shuffle.
+    were read, without a shuffle. `brief` has the same records without payloads, if they can be had at less cost.
     """
     named = described.withColumn("hash", F.xxhash64("digest"))
-    narrow = written(named.select("page_id", "record_id", "url", "digest", "hash", "payload_bytes").where(F.col("payload_bytes") >= least), "digests")
+    digests = (described if brief is None else brief).where(F.col("payload_bytes") >= least)
+    narrow = written(digests.select("page_id", "record_id", "url", "digest", F.xxhash64("digest").alias("hash"), "payload_bytes"), "digests")
     bits = filter_bits(narrow.count())
     words = written(filter_words(narrow, "hash", bits, at_least=2), "repeated")
     tested = with_membership(named, "hash", words, bits, "repeated")
@@ -278,7 +306,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0) -> None:
     """Rewrite all ARC files below `arc_path` as WARC files."""
-    write_warc(describe(read_arc(spark, arc_path)), warc_path, least)
+    write_warc(read_described(spark, arc_path), warc_path, least, read_brief(spark, arc_path))
 
 
 def archived_pages(pages: DataFrame, least: int = 0) -> DataFrame:

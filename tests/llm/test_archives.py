@@ -1,4 +1,7 @@
 import gzip
+import random
+import zlib
+from pathlib import Path
 
 import pytest
 
@@ -93,3 +96,33 @@ def test_record_ids_are_stable_and_distinct(spark):
 def test_page_with_the_url_of_a_file_description_stays(spark):
     pages = [(1, "filedesc://a.arc", "one"), (2, "filedesc://b.arc", "two"), (3, "http://a.org/", "two")]
     assert sorted(map(tuple, archives.archived_pages(frame(spark, pages)).collect()), key=str) == brute(pages)
+
+
+def test_files_are_compressed_at_the_fastest_level(spark, tmp_path):
+    """The usual level costs about four times the CPU time; sizes tell the level."""
+    draw = random.Random(9)
+    words = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(2000)]
+    pages = [(i, f"http://a.org/{i}", " ".join(draw.choices(words, k=2000))) for i in range(40)]
+    arc, warc = str(tmp_path / "arc"), str(tmp_path / "warc")
+    archives.write_arc(frame(spark, pages).coalesce(1), arc, archives.F.lit(1))
+    archives.convert(spark, arc, warc)
+    for folder in (arc, warc):
+        data = max((f.read_bytes() for f in Path(folder).glob("*.gz")), key=len)
+        fast, usual = (len(zlib.compress(gzip.decompress(data), level)) for level in (1, 6))
+        assert fast > 1.05 * usual and abs(len(data) - fast) < abs(len(data) - usual)
+
+
+def test_records_pass_through_python_once(spark):
+    """`read_described` is `describe` of `read_arc`, `read_brief` its columns without payloads; either tells the same copies."""
+    arc, warcs = scratch_path(spark, "arc"), [scratch_path(spark, "warc") for _ in range(2)]
+    archives.write_arc(frame(spark), arc, archives.F.col("page_id") % 2 + 1)
+    slow, once, brief = archives.describe(archives.read_arc(spark, arc)), archives.read_described(spark, arc), archives.read_brief(spark, arc)
+    rows = sorted(map(tuple, slow.collect()), key=str)
+    assert len(rows) == len(PAGES) and sorted(map(tuple, once.collect()), key=str) == rows
+    assert sorted(map(tuple, brief.collect()), key=str) == sorted(map(tuple, slow.select(*brief.columns).collect()), key=str)
+    assert not {"payload", "head"} & set(brief.columns)
+    assert [f._jdf.queryExecution().executedPlan().toString().count("MapInArrow") for f in (slow, once, brief)] == [2, 1, 1]
+    archives.write_warc(slow, warcs[0])
+    archives.convert(spark, arc, warcs[1])
+    first, second = (sorted(map(tuple, archives.read_warc(spark, w).collect()), key=str) for w in warcs)
+    assert first == second and len(first) == len(PAGES)
