@@ -100,8 +100,9 @@ def host_scores(pages: DataFrame, damping: float = DAMPING, iterations: int = IT
     ways = attach_groups(ways, out, ["kind", "a"]).select("kind", "a", "b", (F.lit(damping) * F.col("n") / F.col("out")).alias("weight"))
     ways = written(ways, "ways")
     allowed, blocked = (x or 0 for x in seeds.agg(F.sum("allow"), F.sum("block")).first())
+    # As a double, since all mass times the pages of one host outgrows 64 bits at 8,192 pages; a power of two keeps the product exact.
     sources = [
-        seeds.select(F.lit(kind).alias("kind"), "host", F.floor(F.lit(UNIT) * F.col(column) / max(total, 1)).alias("mass"))
+        seeds.select(F.lit(kind).alias("kind"), "host", F.floor(F.lit(float(UNIT)) * F.col(column) / max(total, 1)).alias("mass"))
         for kind, column, total in (("trust", "allow", allowed), ("distrust", "block", blocked))
     ]
     start = written(sources[0].unionByName(sources[1]).where("mass > 0"), "mass")
